@@ -198,27 +198,62 @@ def rasterize_runs(annotations: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(mask: DataFrame, keys, max_rounds=60) -> DataFrame:
+def _block_labels(keys, layers, kinds):
+    """Label one bounded block: least position id spreads to eight neighbours."""
+    import numpy as np
+
+    columns = [*keys, *layers, "y", "x"]
+
+    def label(pdf):
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        z = pdf.groupby(list(layers)).ngroup().to_numpy() if layers else np.zeros(len(pdf), int)
+        plane = np.full((z.max() + 1, y.max() - y.min() + 3, x.max() - x.min() + 3), np.iinfo(np.int64).max)
+        ids = (y.astype(np.int64) << 31) + x
+        r, c = y - y.min() + 1, x - x.min() + 1
+        plane[z, r, c] = ids
+        while True:
+            least = np.min([plane[z, r + dy, c + dx] for dy, dx in offsets(1)], axis=0)
+            if (least == plane[z, r, c]).all():
+                break
+            plane[z, r, c] = least
+        pdf["local"] = plane[z, r, c]
+        return pdf[[*columns, "local"]]
+
+    return label, ", ".join([*(f"{k} {kinds[k]}" for k in columns), "local long"])
+
+
+def connected_components(mask: DataFrame, keys, layers=(), block=64, max_rounds=60) -> DataFrame:
     """8-connected components: ``component`` is the smallest position id inside.
 
-    Each round takes the least label among neighbours and then jumps to the
-    label of that label's pixel, so long thin shapes need few rounds. Labels
-    are checkpointed each round; the loop ends when no label moves.
+    Components never cross ``keys`` or ``layers``; layers (say, event kinds) of
+    one block are labelled in the same task. Blocks of bounded size are
+    labelled in one grouped pass; only the contacts across block borders enter
+    the iterative part, a least-label search with pointer jumping on block
+    components. State is checkpointed each round and the loop ends when no
+    label moves.
     """
-    keys = list(keys)
-    ident = (F.col("y").cast("bigint") * F.lit(1 << 31) + F.col("x")).cast("bigint")
-    labels = cut_lineage(mask.select(*keys, "y", "x", ident.alias("component")))
+    images, keys, layers = list(keys), [*keys, *layers], list(layers)
+    label, schema = _block_labels(images, layers, dict(mask.dtypes))
+    blocks = mask.select(*keys, "y", "x").groupBy(*images, F.floor(F.col("y") / block).alias("_by"), F.floor(F.col("x") / block).alias("_bx"))
+    pixels = cut_lineage(blocks.applyInPandas(label, schema))
+    edge = (F.col("y") % block).isin(0, block - 1) | (F.col("x") % block).isin(0, block - 1)
+    rim = pixels.filter(edge)
+    contacts = spread(rim, offsets(1, centre=False)).withColumnRenamed("local", "a").join(rim.withColumnRenamed("local", "b"), [*keys, "y", "x"])
+    contacts = cut_lineage(contacts.filter("a != b").select(*keys, "a", "b").distinct())
+    nodes = contacts.select(*keys, F.col("a").alias("local"), F.col("a").alias("component")).distinct()
     for _ in range(max_rounds):
-        near = spread(labels, offsets(1)).groupBy(*keys, "y", "x").agg(F.min("component").alias("_near"))
-        hooked = labels.join(near, [*keys, "y", "x"]).select(*keys, "y", "x", "component", "_near")
-        root = labels.select(*keys, ((F.col("y").cast("bigint") * F.lit(1 << 31)) + F.col("x")).alias("_near"), F.col("component").alias("_jump"))
-        moved = hooked.join(root, [*keys, "_near"]).select(
-            *keys, "y", "x", F.least("_near", "_jump").alias("component"), (F.least("_near", "_jump") < F.col("component")).alias("_moved")
-        )
-        moved = cut_lineage(moved)
-        labels = moved.drop("_moved")
+        known = nodes.withColumnRenamed("local", "b").withColumnRenamed("component", "_near")
+        near = contacts.join(known, [*keys, "b"]).groupBy(*keys, "a").agg(F.min("_near").alias("_near")).withColumnRenamed("a", "local")
+        hooked = nodes.join(near, [*keys, "local"]).withColumn("_to", F.least("component", "_near"))
+        root = nodes.select(*keys, F.col("local").alias("_to"), F.col("component").alias("_jump"))
+        moved = cut_lineage(hooked.join(root, [*keys, "_to"]).select(
+            *keys, "local", F.least("_to", "_jump").alias("_new"), (F.least("_to", "_jump") < F.col("component")).alias("_moved")
+        ))
+        nodes = moved.select(*keys, "local", F.col("_new").alias("component"))
         if moved.filter("_moved").isEmpty():
-            return labels
+            return pixels.join(nodes, [*keys, "local"], "left").select(
+                *keys, "y", "x", F.coalesce("component", "local").alias("component")
+            )
     raise RuntimeError("components did not settle; raise max_rounds")
 
 

@@ -171,7 +171,7 @@ def transition_candidates(pixels: DataFrame, image, channels, radius, min_pixels
     changed = gains.select(image, "y", "x", F.inline(events))
     changed = changed.fillna(-1, ["from_class", "to_class"])
     keys = [image, "event", "from_class", "to_class"]
-    stats = G.component_stats(G.connected_components(changed, keys), keys).filter(F.col("area") >= min_pixels)
+    stats = G.component_stats(G.connected_components(changed, [image], ["event", "from_class", "to_class"]), keys).filter(F.col("area") >= min_pixels)
     # Support inside the core box: boxes are small next to the image, so known
     # pixels are matched by image row, which bounds the join fan-out per row.
     rows = stats.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1)))

@@ -88,15 +88,16 @@ def _rows(batches):
                 yield pd.DataFrame({"unit": unit, "y": y.astype(np.int32), "x": x.astype(np.int32), "score": scores[y, x], "support": True, "native": native[y, x], "problem": None})
 
 
-def load_maps(spark: SparkSession, path, pattern="*.np[yz]") -> DataFrame:
-    """Supported pixels of every map file; contract breaches become one problem row per file.
-
-    Files are the unit of parallelism; pixels leave in bounded chunks.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+def parse_maps(files: DataFrame) -> DataFrame:
+    """Supported pixels of (path, content) rows; a contract breach is one problem row."""
     return files.select("path", "content").mapInPandas(_rows, SCHEMA)
 
 
+def load_maps(spark: SparkSession, path, pattern="*.np[yz]") -> DataFrame:
+    """Maps of a folder. Files are the unit of parallelism; pixels leave in bounded chunks."""
+    return parse_maps(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
+
+
 def file_hashes(spark: SparkSession, path) -> DataFrame:
     """SHA-256 per file, computed where the bytes are read."""
     files = spark.read.format("binaryFile").load(path)

@@ -181,19 +181,16 @@ def gather_or(reference: DataFrame, source: DataFrame, image) -> DataFrame:
 def rasterize_runs(annotations: DataFrame) -> DataFrame:
     """Column-major run lengths to per-pixel class bits; crowd pixels become 0.
 
-    Needs image_id, channel, iscrowd, height and counts (zeros first).
+    Needs a unique annotation_id, image_id, channel, iscrowd, height and counts
+    (zeros first). The running sum covers the runs of one annotation.
     """
-    spans = annotations.select(
-        "image_id", "channel", "iscrowd", "height",
-        F.posexplode(F.transform("counts", lambda c, i: F.struct(
-            F.aggregate(F.slice("counts", 1, i), F.lit(0), lambda a, b: a + b.cast("int")).alias("start"), c.cast("int").alias("n")))).alias("_i", "run"),
-    ).filter("_i % 2 = 1 AND run.n > 0")
-    cells = spans.select(
-        "image_id", "channel", "iscrowd", "height",
-        F.explode(F.sequence(F.col("run.start"), F.col("run.start") + F.col("run.n") - 1)).alias("_p"),
-    )
+    keep = ["annotation_id", "image_id", "channel", "iscrowd", "height"]
+    runs = annotations.select(*keep, F.posexplode("counts").alias("_i", "_n"))
+    w = Window.partitionBy("annotation_id").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    spans = runs.withColumn("_end", F.sum("_n").over(w)).filter("_i % 2 = 1 AND _n > 0")
+    cells = spans.select(*keep, F.explode(F.sequence(F.col("_end") - F.col("_n"), F.col("_end") - 1)).alias("_p"))
     bit = F.call_function("shiftleft", F.lit(1), F.col("channel"))
-    return cells.groupBy("image_id", (F.col("_p") % F.col("height")).alias("y"), F.floor(F.col("_p") / F.col("height")).cast("int").alias("x")).agg(
+    return cells.groupBy("image_id", (F.col("_p") % F.col("height")).cast("int").alias("y"), F.floor(F.col("_p") / F.col("height")).cast("int").alias("x")).agg(
         F.when(F.bool_or(F.col("iscrowd") == 1), 0).otherwise(F.bit_or(F.when(F.col("iscrowd") == 1, 0).otherwise(bit))).alias("bits")
     )
 

@@ -171,7 +171,7 @@ def images(spark, folder) -> DataFrame:
         ).alias("file_name"),
         "sha256",
         F.when(F.col("doc_id") % 29 != 0, building).alias("building_id"),
-        F.when(F.col("doc_id") % 13 != 0, F.concat("source", F.lit("_"), "lang", F.lit("_"), (F.col("doc_id") % 4).cast("string"))).alias("view_id"),
+        F.when(F.col("doc_id") % 13 != 0, F.concat("source", F.lit("_"), "lang", F.lit("_"), (F.col("doc_id") % 4).cast("string"), F.lit("_"), F.floor(F.col("doc_id") / 1000).cast("string"))).alias("view_id"),
         F.when(F.col("n_chars") % 11 != 0, F.col("n_chars") % 12 + 2000).cast("int").alias("year"),
         (F.col("n_chars") % 1500 + 200).cast("int").alias("width"),
         ((F.col("n_chars") * 7) % 1500 + 200).cast("int").alias("height"),
@@ -189,7 +189,7 @@ IMAGES = """images AS (
       CASE WHEN n_chars % 5 = 0 THEN '_v2' ELSE '' END || '.jpg' AS file_name,
     sha256(text) AS sha256,
     CASE WHEN doc_id % 29 <> 0 THEN 'b' || substr(source, 4, 9) END AS building_id,
-    CASE WHEN doc_id % 13 <> 0 THEN source || '_' || lang || '_' || CAST(doc_id % 4 AS VARCHAR) END AS view_id,
+    CASE WHEN doc_id % 13 <> 0 THEN source || '_' || lang || '_' || CAST(doc_id % 4 AS VARCHAR) || '_' || CAST(doc_id // 1000 AS VARCHAR) END AS view_id,
     CASE WHEN n_chars % 11 <> 0 THEN CAST(n_chars % 12 + 2000 AS INTEGER) END AS year,
     CAST(n_chars % 1500 + 200 AS INTEGER) AS width, CAST((n_chars * 7) % 1500 + 200 AS INTEGER) AS height,
     CASE WHEN n_chars % 17 = 0 THEN 'missing' ELSE 'ready' END AS image_status,

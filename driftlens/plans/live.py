@@ -148,7 +148,11 @@ def late_rows(spark, folder):
     return E.split_late(log).select("sequence_id", "arrival", "frame", "late")
 
 
-@register("late_rows_stream")
+_EVEN = OBS.replace("WHERE value IS NOT NULL WINDOW", "SEMI JOIN keep USING (sequence_id, cell, frame) WHERE value IS NOT NULL WINDOW").replace("  seen AS (", "  top AS (SELECT sequence_id, cell, max(frame) FILTER (WHERE frame % 2 = 0) AS t FROM obs GROUP BY 1, 2), keep AS (SELECT sequence_id, cell, frame FROM obs JOIN top USING (sequence_id, cell) WHERE frame % 2 = 0 OR frame > t),\n  seen AS (")
+
+
+@register("late_rows_stream", with_sql("RECURSIVE " + _EVEN, body="""SELECT cell, false AS late, count(*) AS rows, count(*) FILTER (WHERE score > 30) AS changes FROM walk GROUP BY 1
+  UNION ALL SELECT cell, true, count(*), 0 FROM obs ANTI JOIN keep USING (sequence_id, cell, frame) GROUP BY 1"""))
 def late_rows_stream(spark, folder):
     """Out-of-order frames on the stateful stream leave as side rows, flagged late."""
     view = observations(spark, folder).select("sequence_id", "cell", "frame", "value")

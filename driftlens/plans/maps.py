@@ -185,7 +185,7 @@ def run_annotations(spark, folder):
     """Column-major runs on a 12-row canvas; class = line number, crowd = ship status F with large quantity."""
     line = table(spark, folder, "lineitem")
     return line.select(
-        F.col("l_suppkey").alias("image_id"), (F.col("l_linenumber") - 1).alias("channel"),
+        F.xxhash64(*line.columns).alias("annotation_id"), F.col("l_suppkey").alias("image_id"), (F.col("l_linenumber") - 1).alias("channel"),
         F.when((F.col("l_quantity") > 48) & (F.col("l_linestatus") == "F"), 1).otherwise(0).alias("iscrowd"), F.lit(12).alias("height"),
         F.array((F.col("l_partkey") % 90).cast("int"), F.col("l_quantity").cast("int") % 9, (F.col("l_partkey") % 11).cast("int"), F.lit(4)).alias("counts"),
     )
@@ -446,7 +446,20 @@ def ranked_tiles(spark, folder):
     return L.rank_tiles(ranked_pixels(spark, folder), "sequence_id", 4, 2, 8, 0.3, 6)
 
 
-@register("transition_candidates")
+TRANS = ("near AS (SELECT image_id, y + dy AS y, x + dx AS x, bit_or(old_bits) AS o, bit_or(new_bits) AS n FROM grid, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx) GROUP BY 1, 2, 3)",
+  "known AS MATERIALIZED (SELECT g.*, new_bits & ~o AS gain, old_bits & ~n AS loss FROM grid g JOIN near USING (image_id, y, x) WHERE support AND old_bits <> 0 AND new_bits <> 0)",
+  "cl AS (SELECT unnest(range(7))::INTEGER AS c)",
+  """m AS MATERIALIZED (SELECT image_id, y, x, y * 2147483648 + x AS id, 'appearance' AS event, -1 AS from_class, c AS to_class FROM known, cl WHERE (gain >> c) & 1 = 1
+    UNION ALL SELECT image_id, y, x, y * 2147483648 + x, 'disappearance', c, -1 FROM known, cl WHERE (loss >> c) & 1 = 1
+    UNION ALL SELECT image_id, y, x, y * 2147483648 + x, 'replacement', a.c, b.c FROM known, cl a, cl b WHERE (loss >> a.c) & 1 = 1 AND (gain >> b.c) & 1 = 1)""",
+  "edges AS MATERIALIZED (SELECT a.image_id, a.event, a.from_class, a.to_class, a.id AS a, b.id AS b FROM m a JOIN m b ON a.image_id = b.image_id AND a.event = b.event AND a.from_class = b.from_class AND a.to_class = b.to_class AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)",
+  "reach AS (SELECT image_id, event, from_class, to_class, id AS a, id AS b FROM m UNION SELECT r.image_id, r.event, r.from_class, r.to_class, r.a, e.b FROM reach r JOIN edges e ON e.image_id = r.image_id AND e.event = r.event AND e.from_class = r.from_class AND e.to_class = r.to_class AND e.a = r.b)",
+  """st AS (SELECT image_id, event, from_class, to_class, component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM (SELECT image_id, event, from_class, to_class, a AS id, min(b) AS component FROM reach GROUP BY 1, 2, 3, 4, 5) JOIN m USING (image_id, event, from_class, to_class, id) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2)""",
+  """cand AS (SELECT *, (SELECT count(*) FROM known k WHERE k.image_id = st.image_id AND k.y >= y0 AND k.y < y1 AND k.x >= x0 AND k.x < x1) / ((x1 - x0) * (y1 - y0)) AS sf, area / ((x1 - x0) * (y1 - y0)) AS tf FROM st),
+  tc AS (SELECT image_id, event, from_class, to_class, component, area, x0, y0, x1, y1, round(sf, 9) AS support_fraction, round(tf, 9) AS transition_fraction, greatest(0, x0 - 3) AS crop_x0, greatest(0, y0 - 3) AS crop_y0, least(16, x1 + 3) AS crop_x1, least(16, y1 + 3) AS crop_y1 FROM cand WHERE sf >= 0.5 AND tf >= 0.5)""")
+
+
+@register("transition_candidates", with_sql("RECURSIVE " + GRID, *TRANS, body="SELECT * FROM tc"))
 def transition_candidates(spark, folder):
     out = L.transition_candidates(grid(spark, folder), "image_id", 7, 1, 2, 0.5, 0.5, SIDE, 3)
     return tidy(out, ("support_fraction", "transition_fraction"))

@@ -8,7 +8,7 @@ from driftlens.operators import calibrate as C
 from driftlens.operators import decide as D
 from driftlens.operators import select as S
 from driftlens.plans.fixtures import CELLS, FRAME_GRID, GRID, IMAGES, PX, UNITS, cells, grid, images, rounded, scores, table, units, with_sql
-from driftlens.plans.maps import RANKED, ranked_tiles, transition_candidates  # noqa: F401
+from driftlens.plans.maps import RANKED, TRANS, ranked_tiles, transition_candidates
 from driftlens.plans.metrics import PAIRS, case_rows, pair_rows, tidy
 
 QUERIES, SQL = {}, {}
@@ -274,7 +274,20 @@ def building_round_robin(spark, folder):
     return S.facade_round_robin(building_changes(spark, folder), ("test", "val", "train"), [F.col("changed").desc(), F.col("sequence_id")], 25)
 
 
-@register("nonoverlap_pick")
+def _nonoverlap_sql():
+    """Three greedy rounds spelled out."""
+    iou = "CASE WHEN c.parent = p.parent THEN greatest(0, least(c.x, p.x) + 4 - greatest(c.x, p.x)) * greatest(0, least(c.y, p.y) + 4 - greatest(c.y, p.y)) ELSE 0 END"
+    ctes = [FRAME_GRID, RANKED, """rt AS (SELECT sequence_id, a.o AS ty, b.o AS tx, count(*) FILTER (WHERE common) AS cm, count(*) FILTER (WHERE known) AS known_pixels, count(*) FILTER (WHERE changes > 0) AS changed_pixels FROM ranked
+      JOIN (VALUES (0), (2), (4)) a(o) ON y >= a.o AND y < a.o + 4 JOIN (VALUES (0), (2), (4)) b(o) ON x >= b.o AND x < b.o + 4 GROUP BY 1, 2, 3),
+      r1 AS (SELECT sequence_id || '-' || tx || '-' || ty AS crop_id, sequence_id AS parent, sequence_id % 25 AS building_id, tx AS x, ty AS y, changed_pixels AS cp, known_pixels AS kp FROM rt WHERE cm / 16 >= 0.3 AND known_pixels >= 6 AND changed_pixels > 0)"""]
+    for i in (1, 2, 3):
+        ctes.append(f"p{i} AS (SELECT *, {i}::INTEGER AS pick FROM r{i} QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY cp DESC, kp DESC, crop_id DESC) = 1)")
+        if i < 3:
+            ctes.append(f"r{i + 1} AS (SELECT c.* FROM r{i} c JOIN p{i} p ON c.building_id = p.building_id WHERE c.crop_id <> p.crop_id AND ({iou}) / (32 - ({iou})) <= 0.25)")
+    return with_sql(*ctes, body="SELECT crop_id, building_id, pick FROM p1 UNION ALL SELECT crop_id, building_id, pick FROM p2 UNION ALL SELECT crop_id, building_id, pick FROM p3")
+
+
+@register("nonoverlap_pick", _nonoverlap_sql())
 def nonoverlap_pick(spark, folder):
     """Up to three non-overlapping crops per building by change count."""
     t = ranked_tiles(spark, folder).filter("reason IS NULL")
@@ -290,7 +303,9 @@ def even_spaced_units(spark, folder):
     return S.even_spaced(units(spark, folder).select("unit_id"), "unit_id", F.floor(F.col("unit_id") / 5000), 12)
 
 
-@register("round_robin_windows")
+@register("round_robin_windows", with_sql("RECURSIVE " + GRID, *TRANS, """gi AS (SELECT event, from_class, to_class, row_number() OVER (PARTITION BY event ORDER BY from_class, to_class) AS gx FROM (SELECT DISTINCT event, from_class, to_class FROM tc)),
+  dp AS (SELECT *, CAST(row_number() OVER (PARTITION BY event, from_class, to_class ORDER BY transition_fraction DESC, image_id, component) AS INTEGER) AS depth FROM tc)""",
+  body="SELECT image_id, event, from_class, to_class, component, depth, CAST(row_number() OVER (ORDER BY depth, gx, list_position(['replacement', 'appearance', 'disappearance'], event)) AS INTEGER) AS pick FROM dp JOIN gi USING (event, from_class, to_class) QUALIFY pick <= 60"))
 def round_robin_windows(spark, folder):
     out = S.round_robin_windows(transition_candidates(spark, folder), [F.col("transition_fraction").desc(), F.col("image_id"), F.col("component")], 60)
     return out.select("image_id", "event", "from_class", "to_class", "component", "depth", "pick")

@@ -17,15 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _distances(values: Column, at: Column, k: int) -> list[Column]:
-    """Running least distance to the last 1..k values before index ``at`` (1-based)."""
-    out, least = [], None
-    for j in range(1, k + 1):
-        d = F.when(at > j, F.abs(F.element_at(values, at) - F.element_at(values, at - j)))
-        least = d if least is None else F.least(least, d)
-        out.append(least)
-    return out
+from driftlens.session import cut_lineage
 
 
 def _next_state(state: Column, row: Column, k: int, threshold: float) -> Column:
@@ -56,21 +48,24 @@ def memory_batch(observations: DataFrame, keys, k=3, threshold=0.0, chunk=64) ->
     """
     keys = list(keys)
     seen = observations.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(
-        *keys, "frame", F.col("value").cast("double").alias("value"), F.floor(F.col("frame") / chunk).alias("_c")
+        *keys, F.floor(F.col("frame") / chunk).alias("_c"), "frame", F.col("value").cast("double").alias("value")
     )
-    chunks = seen.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("_rows"))
-    tails = F.slice(F.transform("_rows", lambda r: r["value"]), F.greatest(F.lit(1), F.size("_rows") - k + 1), k)
     order = Window.partitionBy(*keys).orderBy("_c")
-    # Each earlier chunk holds a value, so k chunks are enough for k values.
-    halo = F.flatten(F.collect_list(tails).over(order.rowsBetween(-k, -1)))
-    chunks = chunks.withColumn("_halo", halo).withColumn("_halo", F.slice("_halo", F.greatest(F.lit(1), F.size("_halo") - k + 1), k))
-    values = F.concat("_halo", F.transform("_rows", lambda r: r["value"]))
-    chunks = chunks.withColumn("_v", values)
-    steps = F.transform("_rows", lambda r, i: F.struct(r["frame"].alias("frame"), F.array(*_distances(F.col("_v"), F.size("_halo") + i + 1, k)).alias("d")))
-    chunks = chunks.withColumn("_steps", steps)
+    rows = F.array_sort(F.collect_list(F.struct("frame", "value")))
+    tails = seen.groupBy(*keys, "_c").agg(F.slice(F.reverse(rows), 1, k).alias("_tail"))
+    # Each earlier chunk holds a value, so the tails of k chunks are enough for k values.
+    halo = tails.select(*keys, "_c", F.flatten(F.collect_list("_tail").over(order.rowsBetween(-k, -1))).alias("_h"))
+    halo = halo.select(*keys, "_c", F.inline(F.slice(F.reverse(F.array_sort("_h")), 1, k)), F.lit(True).alias("_halo"))
+    around = seen.withColumn("_halo", F.lit(False)).unionByName(halo)
+    inside = Window.partitionBy(*keys, "_c").orderBy("frame")
+    gaps = [F.abs(F.col("value") - F.lag("value", j).over(inside)).alias(f"_g{j}") for j in range(1, k + 1)]
+    nearest = [F.when(F.col(f"_g{j}").isNotNull(), F.least(*[F.col(f"_g{i}") for i in range(1, j + 1)]) if j > 1 else F.col("_g1")) for j in range(1, k + 1)]
+    stepped = around.select(*keys, "_c", "_halo", "frame", "value", *gaps).filter(~F.col("_halo")).select(*keys, "_c", F.struct("frame", "value", F.array(*nearest).alias("d")).alias("_step"))
+    chunks = stepped.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list("_step")).alias("_steps"))
     identity = F.array(*[F.lit(i) for i in range(k + 1)])
     whole = F.aggregate("_steps", identity, lambda acc, r: F.transform(acc, lambda s: _next_state(s, r, k, threshold)))
-    chunks = chunks.select(*keys, "_c", "_steps", "_halo", "_rows", whole.alias("_map"), F.floor(F.col("_c") / chunk).alias("_block"))
+    # Read twice below (functions first, then the replay): keep it, do not rebuild it.
+    chunks = cut_lineage(chunks.select(*keys, "_c", "_steps", whole.alias("_map"), F.floor(F.col("_c") / chunk).alias("_block")))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_c", "_map"))), lambda m: m)
     blocks = chunks.groupBy(*keys, "_block").agg(listed.alias("_list"))
     blocks = blocks.withColumn("_bmap", _compose(F.transform("_list", lambda m: m["_map"]), k))
@@ -84,11 +79,11 @@ def memory_batch(observations: DataFrame, keys, k=3, threshold=0.0, chunk=64) ->
     replay = chunks.join(per_chunk, [*keys, "_c"])
     states = F.aggregate("_steps", F.array("_enter"), lambda acc, r: F.concat(acc, F.array(_next_state(F.element_at(acc, -1), r, k, threshold))))
     replay = replay.withColumn("_states", states)
-    rows = replay.select(*keys, "_c", "_halo", "_rows", F.posexplode("_steps").alias("_i", "_step"), "_states")
+    rows = replay.select(*keys, "_c", F.posexplode("_steps").alias("_i", "_step"), "_states")
     state = F.element_at("_states", F.col("_i") + 1)
     score = F.when(state > 0, F.element_at(F.col("_step.d"), state))
     out = rows.select(
-        *keys, "_c", F.col("_step.frame").alias("frame"), F.element_at("_rows", F.col("_i") + 1)["value"].alias("value"), score.alias("score"),
+        *keys, "_c", F.col("_step.frame").alias("frame"), F.col("_step.value").alias("value"), score.alias("score"),
         (state == 0).alias("initialised"), F.coalesce(score > threshold, F.lit(False)).alias("changed"), state.alias("references"),
     )
     opens = F.col("initialised") | F.col("changed")

@@ -213,7 +213,7 @@ def paired_deltas(rows: DataFrame, keys, role, baseline, candidate, metrics) ->
 
 
 def coverage(expected: DataFrame, actual: DataFrame, key, by) -> DataFrame:
-    """Expected, completed, failed and missing units, with the reasons seen."""
+    """Expected, completed, failed and missing units, and how many reasons were given."""
     merged = expected.join(actual.select(key, "status", "reason", "evaluable"), key, "left")
     return merged.groupBy(*by).agg(
         F.count("*").alias("expected"),
@@ -221,13 +221,18 @@ def coverage(expected: DataFrame, actual: DataFrame, key, by) -> DataFrame:
         F.count_if(F.col("status") == "failed").alias("failed"),
         F.count_if(F.col("status").isNull()).alias("missing"),
         F.count_if(F.coalesce(F.col("evaluable"), F.lit(False))).alias("evaluable"),
-        F.concat_ws(";", F.array_sort(F.collect_set("reason"))).alias("reasons"),
+        F.countDistinct("reason").alias("reasons"),
     ).withColumn(
         "status",
         F.when(F.col("completed") == F.col("expected"), "complete").when(F.col("completed") > 0, "partial").otherwise("unavailable"),
     )
 
 
+def coverage_reasons(expected: DataFrame, actual: DataFrame, key, by) -> DataFrame:
+    """The reasons themselves as rows: error texts are not bounded, so they stay a table."""
+    return expected.join(actual.filter("reason IS NOT NULL").select(key, "reason"), key).groupBy(*by, "reason").agg(F.count("*").alias("units"))
+
+
 def method_status(units: DataFrame, by, statuses=("completed", "failed", "pending")) -> DataFrame:
     return units.groupBy(*by).agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in statuses],

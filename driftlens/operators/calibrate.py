@@ -189,7 +189,7 @@ def calibrate_lowest(scores: DataFrame, keys, budgets=(0.01, 0.05), limit=4096)
     )
 
 
-def lofo_thresholds(negatives: DataFrame, keys, budgets=(0.01, 0.05), building="building_id", unit="unit_id", buckets=1024) -> DataFrame:
+def lofo_thresholds(negatives: DataFrame, keys, budgets=(0.01, 0.05), building="building_id", unit="unit_id", buckets=1024, heldout=None) -> DataFrame:
     """Leave-one-building-out thresholds without copying rows per fold.
 
     ``negatives`` is (keys, building, unit, score) of known negatives. A
@@ -197,6 +197,7 @@ def lofo_thresholds(negatives: DataFrame, keys, budgets=(0.01, 0.05), building="
     is (sum of all - own) / (B - 1). Curves are compared on bucket ends first;
     only the scores inside the one bucket where a fold crosses its budget are
     looked at, so work is buildings x buckets plus one bucket per fold.
+    ``heldout`` may list (keys, building) that have no negatives of their own.
     """
     keys = list(keys)
     hist = negatives.groupBy(*keys, building, unit, F.col("score").cast("float").alias("score")).agg(F.count("*").alias("_n"))
@@ -210,10 +211,14 @@ def lofo_thresholds(negatives: DataFrame, keys, budgets=(0.01, 0.05), building="
     w = Window.partitionBy(*keys, building).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     ends = spine.join(own, [*keys, building, "_b"], "left").withColumn("_below", F.sum(F.coalesce("_m", F.lit(0.0))).over(w)).select(*keys, building, "_b", (1 - F.col("_below")).alias("_own"))
     everyone = ends.groupBy(*keys, "_b").agg(F.sum("_own").alias("_sum"), F.count("*").alias("_buildings"))
-    fold = ends.join(everyone, [*keys, "_b"])
-    fold = fold.withColumn("_fpr", F.when(F.col("_buildings") > 1, (F.col("_sum") - F.col("_own")) / (F.col("_buildings") - 1)))
+    folds = per_building.select(*keys, building)
+    if heldout is not None:
+        folds = folds.unionByName(heldout.select(*keys, building)).distinct()
+    fold = folds.join(everyone, keys).join(ends, [*keys, building, "_b"], "left")
+    train = F.col("_buildings") - F.col("_own").isNotNull().cast("int")
+    fold = fold.withColumn("_train", train).withColumn("_fpr", F.when(train > 0, (F.col("_sum") - F.coalesce("_own", F.lit(0.0))) / train))
     goal = F.explode(F.array(*[F.lit(float(b)) for b in budgets]))
-    fits = fold.withColumn("goal", goal).groupBy(*keys, building, "goal", "_buildings").agg(
+    fits = fold.withColumn("goal", goal).groupBy(*keys, building, "goal", "_train").agg(
         F.min(F.when(F.col("_fpr") <= F.col("goal") + TOLERANCE, F.col("_b"))).alias("_b")
     )
     before = fold.select(*keys, building, (F.col("_b") + 1).alias("_b"), F.col("_fpr").alias("_start"))
@@ -222,9 +227,9 @@ def lofo_thresholds(negatives: DataFrame, keys, budgets=(0.01, 0.05), building="
     inside = fits.join(values, [*keys, "_b"], "left").join(mass.select(*keys, building, "score", F.col("_m").alias("_om"), F.col("_c").alias("_oc")), [*keys, building, "score"], "left")
     step = Window.partitionBy(*keys, building, "goal").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     others = F.col("_tm") - F.coalesce("_om", F.lit(0.0))
-    inside = inside.withColumn("_at", F.col("_start") - F.sum(others).over(step) / (F.col("_buildings") - 1))
+    inside = inside.withColumn("_at", F.col("_start") - F.sum(others).over(step) / F.col("_train"))
     usable = (F.col("_tc") > F.coalesce("_oc", F.lit(0))) & (F.col("_at") <= F.col("goal") + TOLERANCE)
-    return inside.groupBy(*keys, building, "goal", (F.col("_buildings") - 1).alias("train_buildings")).agg(
+    return inside.groupBy(*keys, building, "goal", F.col("_train").alias("train_buildings")).agg(
         F.min(F.when(usable, F.struct("score", "_at"))).alias("_c")
     ).select(
         *keys, building, "goal", "train_buildings", F.col("_c.score").cast("double").alias("threshold"), F.greatest(F.lit(0.0), F.col("_c._at")).alias("achieved_fpr"),

@@ -9,6 +9,7 @@ from driftlens.functions import scores as S
 from driftlens.operators import decide as D
 from driftlens.operators import grid as R
 from driftlens.operators import labels as L
+from driftlens.operators import registry as V
 from driftlens.operators import scoring as C
 from driftlens.operators import segmentation as M
 from driftlens.plans.fixtures import FRAME_GRID, GRID, IMAGES, PX, frame_grid, grid, images, rounded, scores, table, with_sql
@@ -266,6 +267,27 @@ def compression_scores(spark, folder):
     return tidy(out, ("raw_score", "score"))
 
 
+def _local_range(planes, support):
+    """Largest neighbour difference in a 3x3 window, as a user-defined tile scorer."""
+    import numpy as np
+
+    value = np.where(support, planes["r"], np.nan)
+    padded = np.pad(value, 1, constant_values=np.nan)
+    h, w = value.shape
+    shifts = np.stack([padded[dy:dy + h, dx:dx + w] for dy in range(3) for dx in range(3)])
+    return np.nanmax(np.abs(np.where(np.isnan(shifts), value, shifts) - value), axis=0, initial=0.0)
+
+
+@register("registered_scorers", with_sql(GRID, body="""SELECT 'rgb_difference' AS scorer, count(*) AS pixels, round(sum((abs(s_r - r) + abs(s_g - g) + abs(s_b - b)) / 765.0::DOUBLE), 6) AS total FROM grid WHERE support
+  UNION ALL SELECT 'local_range', count(*), round(sum(d), 6) FROM (SELECT a.image_id, a.y, a.x, max(abs(a.r - b.r))::DOUBLE AS d FROM grid a JOIN grid b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.support AND b.support GROUP BY 1, 2, 3)"""))
+def registered_scorers(spark, folder):
+    """A built-in scorer by name and a user's tile function with a one-cell halo."""
+    g = grid(spark, folder)
+    named = V.score_pixels("rgb_difference", g, "image_id", *RGB).select("score", F.lit("rgb_difference").alias("scorer"))
+    custom = V.tile_scores(g, "image_id", ["r"], _local_range, size=8, halo=1).select("score", F.lit("local_range").alias("scorer"))
+    return named.unionByName(custom).groupBy("scorer").agg(F.count("*").alias("pixels"), rounded(F.sum("score"), 6).alias("total"))
+
+
 @register("score_scales", "SELECT p_partkey, round(1 - exp(-p_size / 8.0::DOUBLE), 9) AS compressed, round(p_size / (1.0::DOUBLE + p_size), 9) AS distance FROM part")
 def score_scales(spark, folder):
     return table(spark, folder, "part").select(
@@ -419,18 +441,19 @@ def task_labels(spark, folder):
 
 
 def ranked_pixels(spark, folder):
-    f = frame_grid(spark, folder).filter("frame < 3")
+    f = frame_grid(spark, folder, side=4)
     counts = f.groupBy("sequence_id").agg(F.countDistinct("frame").alias("frame_count"))
     return L.rank_views(f, "sequence_id", counts)
 
 
 RANKED = """ranked AS (SELECT sequence_id, y, x, n = fc AS common, CASE WHEN n = fc THEN ch ELSE 0 END AS changes, n = fc AND kn AS known FROM (
   SELECT sequence_id, y, x, count(*) AS n, count(*) FILTER (WHERE p <> bits) AS ch, count(p) > 0 AS kn FROM (
-    SELECT *, lag(bits) OVER (PARTITION BY sequence_id, y, x ORDER BY frame) AS p FROM fgrid WHERE frame < 3) GROUP BY 1, 2, 3)
-  JOIN (SELECT sequence_id, count(DISTINCT frame) AS fc FROM fgrid WHERE frame < 3 GROUP BY 1) USING (sequence_id))"""
+    SELECT *, lag(bits) OVER (PARTITION BY sequence_id, y, x ORDER BY frame) AS p FROM fgrid) GROUP BY 1, 2, 3)
+  JOIN (SELECT sequence_id, count(DISTINCT frame) AS fc FROM fgrid GROUP BY 1) USING (sequence_id))"""
+FRAME_GRID4 = FRAME_GRID.replace("// 8) % 8", "// 4) % 4").replace("l_partkey % 8", "l_partkey % 4")
 
 
-@register("ranked_views", with_sql(FRAME_GRID, RANKED, body="""SELECT sequence_id, count(*) FILTER (WHERE common) AS common_pixels, count(*) FILTER (WHERE known) AS known_pixels,
+@register("ranked_views", with_sql(FRAME_GRID4, RANKED, body="""SELECT sequence_id, count(*) FILTER (WHERE common) AS common_pixels, count(*) FILTER (WHERE known) AS known_pixels,
   count(*) FILTER (WHERE changes > 0) AS changed_pixels, CAST(sum(changes) AS BIGINT) AS change_observations FROM ranked GROUP BY 1"""))
 def ranked_views(spark, folder):
     return ranked_pixels(spark, folder).groupBy("sequence_id").agg(
@@ -439,11 +462,11 @@ def ranked_views(spark, folder):
     )
 
 
-@register("ranked_tiles", with_sql(FRAME_GRID, RANKED, body="""SELECT *, CASE WHEN common_pixels / 16 < 0.3 THEN 'low_common_support' WHEN known_pixels < 6 THEN 'too_few_known_pixels' WHEN changed_pixels = 0 THEN 'no_annotated_change' END AS reason FROM (
+@register("ranked_tiles", with_sql(FRAME_GRID4, RANKED, body="""SELECT *, CASE WHEN common_pixels / 4 < 0.8 THEN 'low_common_support' WHEN known_pixels < 4 THEN 'too_few_known_pixels' WHEN changed_pixels = 0 THEN 'no_annotated_change' END AS reason FROM (
   SELECT sequence_id, a.o AS ty, b.o AS tx, count(*) FILTER (WHERE common) AS common_pixels, count(*) FILTER (WHERE known) AS known_pixels, count(*) FILTER (WHERE changes > 0) AS changed_pixels,
-  CAST(sum(changes) AS BIGINT) AS change_observations FROM ranked JOIN (VALUES (0), (2), (4)) a(o) ON y >= a.o AND y < a.o + 4 JOIN (VALUES (0), (2), (4)) b(o) ON x >= b.o AND x < b.o + 4 GROUP BY 1, 2, 3)"""))
+  CAST(sum(changes) AS BIGINT) AS change_observations FROM ranked JOIN (VALUES (0), (1), (2)) a(o) ON y >= a.o AND y < a.o + 2 JOIN (VALUES (0), (1), (2)) b(o) ON x >= b.o AND x < b.o + 2 GROUP BY 1, 2, 3)"""))
 def ranked_tiles(spark, folder):
-    return L.rank_tiles(ranked_pixels(spark, folder), "sequence_id", 4, 2, 8, 0.3, 6)
+    return L.rank_tiles(ranked_pixels(spark, folder), "sequence_id", 2, 1, 4, 0.8, 4)
 
 
 TRANS = ("near AS (SELECT image_id, y + dy AS y, x + dx AS x, bit_or(old_bits) AS o, bit_or(new_bits) AS n FROM grid, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx) GROUP BY 1, 2, 3)",

@@ -485,11 +485,16 @@ RECORDS = """records AS (SELECT unit_id, CASE unit_id % 10 WHEN 3 THEN 'failed'
 @register("unit_coverage", with_sql(UNITS, RECORDS, body="""SELECT *, CASE WHEN completed = expected THEN 'complete' WHEN completed > 0 THEN 'partial' ELSE 'unavailable' END AS status FROM (
   SELECT split, state, count(*) AS expected, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed,
   count(*) FILTER (WHERE status IS NULL) AS missing, count(*) FILTER (WHERE evaluable) AS evaluable,
-  coalesce(string_agg(DISTINCT reason, ';' ORDER BY reason), '') AS reasons FROM units LEFT JOIN records USING (unit_id) GROUP BY 1, 2)"""))
+  count(DISTINCT reason) AS reasons FROM units LEFT JOIN records USING (unit_id) GROUP BY 1, 2)"""))
 def unit_coverage(spark, folder):
     return A.coverage(units(spark, folder), run_records(spark, folder), "unit_id", ["split", "state"])
 
 
+@register("coverage_reasons", with_sql(UNITS, RECORDS, body="SELECT split, state, reason, count(*) AS units FROM units JOIN records USING (unit_id) WHERE reason IS NOT NULL GROUP BY 1, 2, 3"))
+def coverage_reasons(spark, folder):
+    return A.coverage_reasons(units(spark, folder), run_records(spark, folder), "unit_id", ["split", "state"])
+
+
 @register("method_status", with_sql(UNITS, RECORDS, body="""SELECT state AS method, count(*) FILTER (WHERE status = 'completed') AS completed,
   count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'pending') AS pending,
   round(sum(seconds), 2) AS elapsed, count(*) FILTER (WHERE evaluable) AS initialised FROM units JOIN records USING (unit_id) GROUP BY 1"""))

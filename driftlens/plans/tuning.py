@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from driftlens.operators import calibrate as C
 from driftlens.operators import decide as D
 from driftlens.operators import select as S
-from driftlens.plans.fixtures import CELLS, FRAME_GRID, GRID, IMAGES, PX, UNITS, cells, grid, images, rounded, scores, table, units, with_sql
-from driftlens.plans.maps import RANKED, TRANS, ranked_tiles, transition_candidates
+from driftlens.plans.fixtures import CELLS, GRID, IMAGES, PX, UNITS, cells, grid, images, rounded, scores, table, units, with_sql
+from driftlens.plans.maps import FRAME_GRID4, RANKED, TRANS, ranked_tiles, transition_candidates
 from driftlens.plans.metrics import PAIRS, case_rows, pair_rows, tidy
 
 QUERIES, SQL = {}, {}
@@ -31,8 +31,9 @@ def long_scores(spark, folder):
 
 
 def val_units(spark, folder):
-    """Calibration units: VAL, shams (every tenth) left out."""
-    return units(spark, folder).filter("split = 'val' AND unit_id % 10 != 0").select("unit_id", "building_id")
+    """Calibration units: VAL without the shams (marked on every tenth unit)."""
+    marked = units(spark, folder).withColumn("sham", F.col("unit_id") % 10 == 0)
+    return marked.filter("split = 'val' AND NOT sham").select("unit_id", "building_id")
 
 
 LONG = "long AS (SELECT px.*, m.method, CASE m.method WHEN 'a' THEN score_a ELSE score_c END AS score FROM px, (VALUES ('a'), ('c')) m(method))"
@@ -105,10 +106,10 @@ def prediction_recipes(spark, folder):
 
 def negatives(spark, folder):
     rows = long_scores(spark, folder).filter("label = 0")
-    return rows.join(units(spark, folder).filter("split != 'train'").select("unit_id", "building_id"), "unit_id")
+    return rows.join(units(spark, folder).select("unit_id", "building_id"), "unit_id")
 
 
-LOFO = """neg AS (SELECT method, building_id, unit_id, score FROM long WHERE label = 0 AND split <> 'train'),
+LOFO = """neg AS (SELECT method, building_id, unit_id, score FROM long WHERE label = 0),
   ub AS (SELECT *, count(*) OVER (PARTITION BY method, building_id) AS units FROM (SELECT method, building_id, unit_id, count(*) AS n FROM neg GROUP BY 1, 2, 3)),
   mass AS (SELECT neg.method, neg.building_id, score, sum(1.0::DOUBLE / n / units) AS m FROM neg JOIN ub ON ub.method = neg.method AND ub.unit_id = neg.unit_id GROUP BY 1, 2, 3),
   fold AS (SELECT h.method, h.building_id AS held, m.score, sum(m.m) AS m FROM (SELECT DISTINCT method, building_id FROM mass) h JOIN mass m ON m.method = h.method AND m.building_id <> h.building_id GROUP BY 1, 2, 3),
@@ -276,14 +277,14 @@ def building_round_robin(spark, folder):
 
 def _nonoverlap_sql():
     """Three greedy rounds spelled out."""
-    iou = "CASE WHEN c.parent = p.parent THEN greatest(0, least(c.x, p.x) + 4 - greatest(c.x, p.x)) * greatest(0, least(c.y, p.y) + 4 - greatest(c.y, p.y)) ELSE 0 END"
-    ctes = [FRAME_GRID, RANKED, """rt AS (SELECT sequence_id, a.o AS ty, b.o AS tx, count(*) FILTER (WHERE common) AS cm, count(*) FILTER (WHERE known) AS known_pixels, count(*) FILTER (WHERE changes > 0) AS changed_pixels FROM ranked
-      JOIN (VALUES (0), (2), (4)) a(o) ON y >= a.o AND y < a.o + 4 JOIN (VALUES (0), (2), (4)) b(o) ON x >= b.o AND x < b.o + 4 GROUP BY 1, 2, 3),
-      r1 AS (SELECT sequence_id || '-' || tx || '-' || ty AS crop_id, sequence_id AS parent, sequence_id % 25 AS building_id, tx AS x, ty AS y, changed_pixels AS cp, known_pixels AS kp FROM rt WHERE cm / 16 >= 0.3 AND known_pixels >= 6 AND changed_pixels > 0)"""]
+    iou = "CASE WHEN c.parent = p.parent THEN greatest(0, least(c.x, p.x) + 2 - greatest(c.x, p.x)) * greatest(0, least(c.y, p.y) + 2 - greatest(c.y, p.y)) ELSE 0 END"
+    ctes = [FRAME_GRID4, RANKED, """rt AS (SELECT sequence_id, a.o AS ty, b.o AS tx, count(*) FILTER (WHERE common) AS cm, count(*) FILTER (WHERE known) AS known_pixels, count(*) FILTER (WHERE changes > 0) AS changed_pixels FROM ranked
+      JOIN (VALUES (0), (1), (2)) a(o) ON y >= a.o AND y < a.o + 2 JOIN (VALUES (0), (1), (2)) b(o) ON x >= b.o AND x < b.o + 2 GROUP BY 1, 2, 3),
+      r1 AS (SELECT sequence_id || '-' || tx || '-' || ty AS crop_id, sequence_id AS parent, sequence_id % 25 AS building_id, tx AS x, ty AS y, changed_pixels AS cp, known_pixels AS kp FROM rt WHERE cm / 4 >= 0.8 AND known_pixels >= 4 AND changed_pixels > 0)"""]
     for i in (1, 2, 3):
         ctes.append(f"p{i} AS (SELECT *, {i}::INTEGER AS pick FROM r{i} QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY cp DESC, kp DESC, crop_id DESC) = 1)")
         if i < 3:
-            ctes.append(f"r{i + 1} AS (SELECT c.* FROM r{i} c JOIN p{i} p ON c.building_id = p.building_id WHERE c.crop_id <> p.crop_id AND ({iou}) / (32 - ({iou})) <= 0.25)")
+            ctes.append(f"r{i + 1} AS (SELECT c.* FROM r{i} c JOIN p{i} p ON c.building_id = p.building_id WHERE c.crop_id <> p.crop_id AND ({iou}) / (8 - ({iou})) <= 0.25)")
     return with_sql(*ctes, body="SELECT crop_id, building_id, pick FROM p1 UNION ALL SELECT crop_id, building_id, pick FROM p2 UNION ALL SELECT crop_id, building_id, pick FROM p3")
 
 
@@ -293,7 +294,7 @@ def nonoverlap_pick(spark, folder):
     t = ranked_tiles(spark, folder).filter("reason IS NULL")
     rows = t.select(
         F.concat_ws("-", F.col("sequence_id").cast("string"), "tx", "ty").alias("crop_id"), F.col("sequence_id").alias("parent"), (F.col("sequence_id") % 25).alias("building_id"),
-        F.col("tx").alias("x"), F.col("ty").alias("y"), F.lit(4).alias("w"), F.lit(4).alias("h"), "changed_pixels", "known_pixels",
+        F.col("tx").alias("x"), F.col("ty").alias("y"), F.lit(2).alias("w"), F.lit(2).alias("h"), "changed_pixels", "known_pixels",
     )
     return S.nonoverlap_pick(rows, "building_id", "parent", F.struct("changed_pixels", "known_pixels", "crop_id"), 3)
 
@@ -317,7 +318,8 @@ def recommended_pairs(spark, folder):
     g = grid(spark, folder)
     known = F.col("support") & (F.col("old_bits") != 0) & (F.col("new_bits") != 0)
     changed = F.when(known, F.col("old_bits").bitwiseXOR(F.col("new_bits"))).otherwise(0)
-    pairs = g.filter("x < 4 OR y < 2").groupBy(F.col("image_id").alias("pair_id"), "building_id").agg(F.bit_or(changed).alias("channels"), F.count_if(changed != 0).alias("positives"))
+    changed = F.when(F.col("r") > 240, changed).otherwise(0)
+    pairs = g.groupBy(F.col("image_id").alias("pair_id"), "building_id").agg(F.bit_or(changed).alias("channels"), F.count_if(changed != 0).alias("positives"))
     pairs = pairs.select(
         "*", (F.col("pair_id") % 3 + 2000).alias("reference_year"), (F.col("pair_id") % 3 + 2001).alias("source_year"), F.col("building_id").alias("view_id"),
         (F.col("pair_id") % 5).alias("x"), (F.col("pair_id") % 7).alias("y"), F.lit(8).alias("w"), F.lit(8).alias("h"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.operators.ranks import running_totals, unit_bucket
+from driftlens.session import cut_lineage
 
 # The linear grid has 101 points; the extension is geometric.
 LINEAR_POINTS, GEOMETRIC_POINTS, FLOAT32_TINY, GEOMETRIC_TOP = 101, 769, 1.1754943508222875e-38, 0.5
@@ -137,10 +138,11 @@ def weighted_scores(pixels: DataFrame, units: DataFrame, keys, score: Column, un
         F.when(h0, 1 / (F.col("_un") * F.col("_u0") * F.col("_b0"))).otherwise(0.0).alias("_wf"),
     )
     joined = hist.join(weighted, [*keys, unit])
-    return joined.groupBy(*keys, "score").agg(
+    # One row per distinct score from here on; curves read it more than once.
+    return cut_lineage(joined.groupBy(*keys, "score").agg(
         F.sum(F.col("_p") * F.col("_wr")).alias("recall_mass"), F.sum(F.col("_n") * F.col("_wf")).alias("fpr_mass"),
         F.sum(F.when(F.col("_wf") > 0, F.col("_n")).otherwise(0)).alias("h0_pixels"),
-    )
+    ))
 
 
 def rate_curve(scores: DataFrame, keys) -> DataFrame:
@@ -201,11 +203,12 @@ def lofo_thresholds(negatives: DataFrame, keys, budgets=(0.01, 0.05), building="
     """
     keys = list(keys)
     hist = negatives.groupBy(*keys, building, unit, F.col("score").cast("float").alias("score")).agg(F.count("*").alias("_n"))
-    per_unit = hist.groupBy(*keys, building, unit).agg(F.sum("_n").alias("_un"))
+    per_unit = cut_lineage(negatives.groupBy(*keys, building, unit).agg(F.count("*").alias("_un")))
     per_building = per_unit.groupBy(*keys, building).agg(F.count("*").alias("_units"))
     weight = per_unit.join(per_building, [*keys, building]).select(*keys, building, unit, (1 / (F.col("_un") * F.col("_units"))).alias("_w"))
     mass = hist.join(weight, [*keys, building, unit]).groupBy(*keys, building, "score").agg(F.sum(F.col("_n") * F.col("_w")).alias("_m"), F.sum("_n").alias("_c"))
-    mass = mass.withColumn("_b", unit_bucket(F.col("score"), buckets))
+    # Buildings x distinct scores: small next to the pixels, and read three times.
+    mass = cut_lineage(mass.withColumn("_b", unit_bucket(F.col("score"), buckets)))
     own = mass.groupBy(*keys, building, "_b").agg(F.sum("_m").alias("_m"))
     spine = per_building.select(*keys, building).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets))))
     w = Window.partitionBy(*keys, building).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

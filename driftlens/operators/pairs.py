@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import names as N
+from driftlens.session import cut_lineage
 
 
 def year_steps(images: DataFrame, policy: str) -> DataFrame:
@@ -38,12 +39,13 @@ def step_counts(images: DataFrame, policy: str) -> DataFrame:
     exclusion reason is a difference of two such sums: total, same building,
     same partition, same bytes.
     """
-    steps = year_steps(images, policy)
+    detail = cut_lineage(images.groupBy("view_id", "year", "building_id", "split", "sha256").agg(F.count("*").alias("_k")))
+    steps = year_steps(detail, policy)
     out = steps
     levels = [("total", []), ("same_building", ["building_id"]), ("same_split", ["building_id", "split"]), ("same_bytes", ["building_id", "split", "sha256"])]
     keys = ["view_id", "reference_year", "source_year"]
     for name, fields in levels:
-        sizes = images.groupBy("view_id", "year", *fields).agg(F.count("*").alias("_n"))
+        sizes = detail.groupBy("view_id", "year", *fields).agg(F.sum("_k").alias("_n"))
         left = steps.join(sizes.withColumnRenamed("year", "reference_year"), ["view_id", "reference_year"])
         right = sizes.select(F.col("view_id").alias("_v"), F.col("year").alias("_y"), *[F.col(f).alias(f"_{f}") for f in fields], F.col("_n").alias("_m"))
         on = (F.col("view_id") == F.col("_v")) & (F.col("source_year") == F.col("_y"))

@@ -80,7 +80,10 @@ def allocate(rows: DataFrame, keys, capacity: str, order, bucket: Column, budget
     """Water-filling: everyone gets the level, the first open rows one more."""
     keys = list(keys)
     levels = water_level(rows, keys, capacity, budget)
-    joined = rows.join(levels, keys)
+    if keys:
+        joined = rows.join(levels, keys)
+    else:
+        joined = rows.withColumn("_w", levels.select(F.struct("level", "leftover")).scalar()).select("*", "_w.*").drop("_w")
     still_open = F.col(capacity) > F.col("level")
     ranked = bucketed_rank(joined.withColumn("_open", still_open), [*keys, "_open"], bucket, order, "_r")
     extra = F.when(F.col("_open") & (F.col("_r") <= F.col("leftover")), 1).otherwise(0)
@@ -89,9 +92,10 @@ def allocate(rows: DataFrame, keys, capacity: str, order, bucket: Column, budget
 
 def allocate_cells(cases: DataFrame, budget: int) -> DataFrame:
     """Equal shares per (building, scenario) cell, then per case of the cell."""
-    cells = cases.groupBy("building_id", "scenario").agg(F.sum("capacity").alias("capacity")).withColumn("_all", F.lit(1))
+    cases = cut_lineage(cases)  # four narrow columns, read several times below
+    cells = cases.groupBy("building_id", "scenario").agg(F.sum("capacity").alias("capacity"))
     cells = cells.withColumn("_o", F.sha2(F.concat_ws("/", F.col("building_id").cast("string"), "scenario"), 256))
-    shares = allocate(cells, ["_all"], "capacity", ["_o"], hex_bucket(F.col("_o")), F.lit(budget), "_share").select("building_id", "scenario", "_share")
+    shares = allocate(cells, [], "capacity", ["_o"], hex_bucket(F.col("_o")), F.lit(budget), "_share").select("building_id", "scenario", "_share")
     joined = cases.join(shares, ["building_id", "scenario"]).withColumn("_o", F.sha2(F.col("case_id").cast("string"), 256))
     return _allocate_by_share(joined)
 
@@ -178,12 +182,12 @@ def nonoverlap_pick(crops: DataFrame, group, parent, order, per_group: int, max_
 
 def even_spaced(keys: DataFrame, order: str, bucket: Column, n: int) -> DataFrame:
     """Rows at n evenly spaced positions of an ordered list."""
-    ranked = bucketed_rank(keys.withColumn("_all", F.lit(1)), ["_all"], bucket, [order], "_r", total="_n")
+    ranked = bucketed_rank(keys, [], bucket, [order], "_r", total="_n")
     count = F.least(F.lit(n), F.col("_n"))
     steps = F.greatest(F.lit(1), count - 1)
     j = F.ceil((F.col("_r") - 1) * steps / F.greatest(F.lit(1), F.col("_n") - 1))
     hit = (F.floor(j * (F.col("_n") - 1) / steps) == F.col("_r") - 1) & (j <= count - 1)
-    return ranked.filter(hit).withColumn("position", F.col("_r") - 1).drop("_all", "_r", "_n")
+    return ranked.filter(hit).withColumn("position", F.col("_r") - 1).drop("_r", "_n")
 
 
 def round_robin_windows(windows: DataFrame, order, limit: int) -> DataFrame:
@@ -249,13 +253,13 @@ def quick_subset(bases: DataFrame, cases: DataFrame, families, max_bases=10, see
         F.min_by("base_id", F.struct(seeded_hash(seed, "split", "building_id", "base_id"), "base_id")).alias("base_id")
     )
     ranked = first_n(one.withColumn("_h", seeded_hash(seed, "split", "building_id")), ["split"], ["_h", "building_id"], max_bases, "_r")
-    have = ranked.groupBy(F.lit(1).alias("_all")).agg(F.count_if(F.col("split") == "val").alias("_v"), F.count_if(F.col("split") == "test").alias("_t"))
     target = max(1, round(max_bases * 0.3))
-    val = F.least(F.lit(target), F.col("_v"))
-    test = F.least(max_bases - val, F.col("_t"))
-    val = F.least(F.col("_v"), val + (max_bases - val - test))
-    quota = have.select("_all", val.alias("_val"), test.alias("_test"))
-    picked = ranked.withColumn("_all", F.lit(1)).join(quota, "_all").filter(F.col("_r") <= F.when(F.col("split") == "val", F.col("_val")).otherwise(F.col("_test")))
+    have = lambda part: F.count_if(F.col("split") == part)
+    val = F.least(F.lit(target), have("val"))
+    test = F.least(max_bases - val, have("test"))
+    val = F.least(have("val"), val + (max_bases - val - test))
+    quota = ranked.agg(F.struct(val.alias("val"), test.alias("test"))).scalar()
+    picked = ranked.withColumn("_q", quota).filter(F.col("_r") <= F.when(F.col("split") == "val", F.col("_q.val")).otherwise(F.col("_q.test")))
     picked = picked.withColumn("position", F.row_number().over(Window.orderBy(F.col("split").desc(), "_r")) - 1).select("split", "building_id", "base_id", "position")
     have_family = cases.join(picked, "base_id", "left_semi").groupBy("base_id", "family").agg(F.array_sort(F.collect_set("scenario_id")).alias("_scenarios"))
     turn = F.pmod(F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1 - F.pmod(2 * F.col("position"), F.lit(len(families))), F.lit(len(families)))

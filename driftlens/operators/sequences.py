@@ -95,7 +95,7 @@ def attempt_comparison(pairs: DataFrame, results: DataFrame, methods, key="pair_
     """Outcome counts per method on one denominator, failures included."""
     statuses = ("passed", "rejected", "failed")
     folded = results.groupBy(key).agg(*[F.max(F.when(F.col("method") == m, F.col("status"))).alias(f"_{m}") for m in methods])
-    wide = pairs.select(key).join(folded, key, "left").groupBy(F.lit(1).alias("_all")).agg(
+    wide = pairs.select(key).join(folded, key, "left").agg(
         F.count("*").alias("_n"),
         *[F.count_if(F.col(f"_{m}") == s).alias(f"_{m}_{s}") for m in methods for s in statuses],
         *[F.count_if(F.col(f"_{m}").isNull()).alias(f"_{m}_none") for m in methods],

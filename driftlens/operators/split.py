@@ -49,17 +49,14 @@ def assign_split(buildings: DataFrame, fixed: DataFrame, fractions: dict[str, fl
     buildings is a seeded hash rather than a local search, so results differ
     from a search by design but need one bounded pass.
     """
-    owned = buildings.join(fixed, "building_id", "left").withColumn("_all", F.lit(1))
-    quota = owned.groupBy("_all").agg(
-        F.sum("weight").alias("_total"),
-        *[F.sum(F.when(F.col("split") == s, F.col("weight")).otherwise(0)).alias(f"_fixed_{s}") for s in ("test", "val")],
-    )
-    room = lambda s: F.greatest(F.lit(0.0), F.col("_total") * fractions[s] - F.col(f"_fixed_{s}"))
-    quota = quota.select("_all", room("test").alias("_test"), room("val").alias("_val"))
+    owned = buildings.join(fixed, "building_id", "left")
+    held = lambda s: F.sum(F.when(F.col("split") == s, F.col("weight")).otherwise(0))
+    room = lambda s: F.greatest(F.lit(0.0), F.sum("weight") * fractions[s] - held(s)).alias(s)
+    quota = owned.agg(F.struct(room("test"), room("val"))).scalar()
     free = owned.filter("split IS NULL").drop("split").withColumn("_hash", seeded_hash(seed, "building_id"))
-    ranked = running_totals(free, ["_all"], hex_bucket(F.col("_hash")), ["_hash"], ["weight"]).join(quota, "_all")
+    ranked = running_totals(free, [], hex_bucket(F.col("_hash")), ["_hash"], ["weight"]).withColumn("_q", quota)
     before = F.col("cum_weight") - F.col("weight")
-    pick = F.when(before < F.col("_test"), "test").when(before < F.col("_test") + F.col("_val"), "val").otherwise("train")
+    pick = F.when(before < F.col("_q.test"), "test").when(before < F.col("_q.test") + F.col("_q.val"), "val").otherwise("train")
     chosen = ranked.select("building_id", "weight", pick.alias("split"))
     return chosen.unionByName(owned.filter("split IS NOT NULL").select("building_id", "weight", "split"))
 
@@ -70,24 +67,20 @@ def assign_split_constrained(series: DataFrame, fixed: DataFrame, fractions: dic
     One free medium building always stays in train; the rest keep their owner
     or go to train.
     """
-    owned = series.join(fixed, "building_id", "left").withColumn("_all", F.lit(1))
-    goals = owned.groupBy("_all").agg(
-        F.count("*").alias("_n"), *[F.count_if(F.col("split") == s).alias(f"_{s}_fixed") for s in ("test", "val")],
-        F.count_if(F.col("split").isNull() & (F.col("series") == "medium")).alias("_movable"),
-    )
-    want = lambda s: F.greatest(F.lit(0), F.round(F.col("_n") * fractions[s]).cast("bigint") - F.col(f"_{s}_fixed"))
-    usable = F.greatest(F.lit(0), F.col("_movable") - 1)
-    goals = goals.select("_all", F.least(want("test"), usable).alias("_test"), F.least(want("test") + want("val"), usable).alias("_both"))
+    owned = series.join(fixed, "building_id", "left")
+    want = lambda s: F.greatest(F.lit(0), F.round(F.count("*") * fractions[s]).cast("bigint") - F.count_if(F.col("split") == s))
+    usable = F.greatest(F.lit(0), F.count_if(F.col("split").isNull() & (F.col("series") == "medium")) - 1)
+    goals = owned.agg(F.struct(F.least(want("test"), usable).alias("test"), F.least(want("test") + want("val"), usable).alias("both"))).scalar()
     movable = owned.filter(F.col("split").isNull() & (F.col("series") == "medium")).withColumn("_hash", seeded_hash(seed, "building_id"))
-    ranked = bucketed_rank(movable, ["_all"], hex_bucket(F.col("_hash")), ["_hash"], "_r").join(goals, "_all")
-    picked = ranked.select("building_id", "series", F.when(F.col("_r") <= F.col("_test"), "test").when(F.col("_r") <= F.col("_both"), "val").otherwise("train").alias("split"))
+    ranked = bucketed_rank(movable, [], hex_bucket(F.col("_hash")), ["_hash"], "_r").withColumn("_g", goals)
+    picked = ranked.select("building_id", "series", F.when(F.col("_r") <= F.col("_g.test"), "test").when(F.col("_r") <= F.col("_g.both"), "val").otherwise("train").alias("split"))
     rest = owned.filter(F.col("split").isNotNull() | (F.col("series") != "medium")).select("building_id", "series", F.coalesce("split", F.lit("train")).alias("split"))
     return picked.unionByName(rest)
 
 
 def split_deficits(assigned: DataFrame, fractions: dict[str, float]) -> DataFrame:
     """Wanted against actual building counts per holdout."""
-    counts = assigned.groupBy(F.lit(1).alias("_all")).agg(
+    counts = assigned.agg(
         F.count("*").alias("_n"), *[F.count_if(F.col("split") == s).alias(f"_{s}") for s in ("val", "test")],
         *[F.count_if((F.col("split") == s) & (F.col("series") == "medium")).alias(f"_{s}_medium") for s in ("val", "test")],
     )
@@ -102,12 +95,12 @@ def split_balance(images: DataFrame, fractions: dict[str, float], size=512, stri
     """Images, crops and buildings per split with deviations from the target share."""
     per = images.groupBy("split").agg(
         F.count("*").alias("images"), F.sum(tile_count(F.col("width"), F.col("height"), size, stride)).alias("crops"), F.countDistinct("building_id").alias("buildings")
-    ).withColumn("_all", F.lit(1))
-    total = per.groupBy("_all").agg(F.sum("images").alias("_i"), F.sum("crops").alias("_c"))
+    )
+    total = per.agg(F.struct(F.sum("images").alias("i"), F.sum("crops").alias("c"))).scalar()
     target = reduce(lambda acc, s: acc.when(F.col("split") == s, fractions[s]), SPLITS[1:], F.when(F.col("split") == SPLITS[0], fractions[SPLITS[0]]))
-    return per.join(total, "_all").select(
-        "split", "images", "crops", "buildings", (F.col("images") / F.col("_i")).alias("image_fraction"), (F.col("crops") / F.col("_c")).alias("crop_fraction"),
-        (F.col("crops") / F.col("_c") - target).alias("crop_deviation"),
+    return per.withColumn("_t", total).select(
+        "split", "images", "crops", "buildings", (F.col("images") / F.col("_t.i")).alias("image_fraction"), (F.col("crops") / F.col("_t.c")).alias("crop_fraction"),
+        (F.col("crops") / F.col("_t.c") - target).alias("crop_deviation"),
     )
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from driftlens.operators import calibrate as C
 from driftlens.operators.ranks import bucketed_rank
-from driftlens.plans.fixtures import PX, frame_grid, rounded, scores, table, units, with_sql
+from driftlens.plans.fixtures import PX, frame_grid, rounded, table, units, with_sql
 from driftlens.plans.metrics import case_rows, tidy
-from driftlens.plans.tuning import GRID101
+from driftlens.plans.tuning import GRID101, LONG, long_scores
 from driftlens.session import cut_lineage
 from driftlens.sources import maps, tables
 from driftlens.streaming import events as E
@@ -168,20 +168,19 @@ def late_rows_stream(spark, folder):
 def test_pixels(spark, folder):
     """Scored pixels of TEST units, as finished work arrives."""
     test = units(spark, folder).filter("split = 'test'").select("unit_id", "building_id")
-    return scores(spark, folder).join(test, "unit_id").select(F.lit("a").alias("method"), "building_id", "unit_id", "label", F.col("score_a").alias("score"))
+    return long_scores(spark, folder).join(test, "unit_id").select("method", "building_id", "unit_id", "label", "score")
 
 
-LIVE = with_sql(PX, GRID101, """val AS (SELECT unit_id, building_id, i, count(*) FILTER (WHERE label = 1 AND score_a > thr) AS tp, count(*) FILTER (WHERE label = 0 AND score_a > thr) AS fp, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM px, t WHERE split = 'val' AND label IS NOT NULL GROUP BY 1, 2, 3),
-  c AS (SELECT i, avg(f1) AS f1, avg(fpr) AS fpr FROM (SELECT i, building_id, avg(CASE WHEN p > 0 THEN 2 * tp / (tp + fp + p) END) AS f1, avg(CASE WHEN p = 0 AND n > 0 THEN fp / n END) AS fpr FROM val GROUP BY 1, 2) GROUP BY 1),
-  d AS (SELECT * FROM c WHERE f1 >= (SELECT max(f1) FROM c) - 1e-12), e AS (SELECT max(i) AS i FROM d WHERE fpr <= (SELECT min(fpr) FROM d) + 1e-12)""",
-  body="""SELECT 'a' AS method, building_id, count(*) FILTER (WHERE label = 1 AND score_a > thr) AS tp, count(*) FILTER (WHERE label = 0 AND score_a > thr) AS fp,
-  count(*) FILTER (WHERE label = 1 AND NOT score_a > thr) AS fn, count(*) FILTER (WHERE label = 0 AND NOT score_a > thr) AS tn FROM px JOIN e ON true JOIN t ON t.i = e.i WHERE split = 'test' AND label IS NOT NULL GROUP BY 2""")
+LIVE = with_sql(PX, LONG, GRID101, """val AS (SELECT method, unit_id, building_id, i, count(*) FILTER (WHERE label = 1 AND score > thr) AS tp, count(*) FILTER (WHERE label = 0 AND score > thr) AS fp, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM long, t WHERE split = 'val' AND label IS NOT NULL GROUP BY 1, 2, 3, 4),
+  c AS (SELECT method, i, avg(f1) AS f1, avg(fpr) AS fpr FROM (SELECT method, i, building_id, avg(CASE WHEN p > 0 THEN 2 * tp / (tp + fp + p) END) AS f1, avg(CASE WHEN p = 0 AND n > 0 THEN fp / n END) AS fpr FROM val GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  d AS (SELECT * FROM c QUALIFY f1 >= max(f1) OVER (PARTITION BY method) - 1e-12), e AS (SELECT method, max(i) AS i FROM (SELECT * FROM d QUALIFY fpr <= min(fpr) OVER (PARTITION BY method) + 1e-12) GROUP BY 1)""",
+  body="""SELECT method, building_id, count(*) FILTER (WHERE label = 1 AND score > thr) AS tp, count(*) FILTER (WHERE label = 0 AND score > thr) AS fp,
+  count(*) FILTER (WHERE label = 1 AND NOT score > thr) AS fn, count(*) FILTER (WHERE label = 0 AND NOT score > thr) AS tn FROM long JOIN e USING (method) JOIN t USING (i) WHERE split = 'test' AND label IS NOT NULL GROUP BY 1, 2""")
 
 
 def frozen_threshold(spark, folder):
     val = units(spark, folder).filter("split = 'val'").select("unit_id", "building_id")
-    rows = scores(spark, folder).withColumn("method", F.lit("a"))
-    return C.calibrate_f1(rows, val, ["method"], F.col("score_a")).select("method", "threshold")
+    return C.calibrate_f1(long_scores(spark, folder), val, ["method"], F.col("score")).select("method", "threshold")
 
 
 @register("live_metrics", LIVE)

@@ -12,6 +12,7 @@ from driftlens.operators import sequences as Q
 from driftlens.operators import split as S
 from driftlens.plans.fixtures import CELLS, GRID, IMAGES, PX, SPLIT_SQL, UNITS, cells, grid, images, rounded, table, units, with_sql
 from driftlens.plans.metrics import tidy
+from driftlens.session import cut_lineage
 from driftlens.sources import coco, tables
 
 QUERIES, SQL = {}, {}
@@ -192,7 +193,7 @@ def rename_conflicts(spark, folder):
     return C.rename_problems(base.unionByName(forked).unionByName(merged))
 
 
-def candidate_paths(spark, folder):
+def candidate_paths(rows):
     name, k = F.col("file_name"), F.col("image_id")
     bare = F.substring(name, 10, 200)
     main = (
@@ -200,7 +201,7 @@ def candidate_paths(spark, folder):
         .when(k % 6 == 3, F.concat(F.lit("dir_c/deadbeef-"), bare)).when(k % 6 == 4, F.concat(F.lit("dir_d/"), F.upper(bare)))
     )
     more = F.when(k % 24 == 1, F.concat(F.lit("dir_e/"), name))
-    return images(spark, folder).select(F.explode(F.array_compact(F.array(main, more))).alias("path"))
+    return rows.select(F.explode(F.array_compact(F.array(main, more))).alias("path"))
 
 
 @register("resolved_files", with_sql(IMAGES, """cand AS (SELECT DISTINCT path FROM (SELECT CASE image_id % 6 WHEN 0 THEN file_name WHEN 1 THEN 'dir_a/' || file_name WHEN 2 THEN 'dir_b/renamed_' || image_id || '.jpg'
@@ -212,9 +213,9 @@ def candidate_paths(spark, folder):
   """best AS (SELECT image_id, min_by(p, stage) AS p, min_by(n, stage) AS n, min(stage) AS stage FROM hits GROUP BY 1)""",
   body="""SELECT image_id, CASE WHEN n = 1 THEN p END AS path, CASE WHEN n IS NULL THEN 'not_found' ELSE CASE WHEN n > 1 THEN 'ambiguous_' ELSE '' END || ['explicit_path', 'exact_basename', 'rename_map', 'stripped_prefix', 'casefold'][stage + 1] END AS rule FROM images LEFT JOIN best USING (image_id)"""))
 def resolved_files(spark, folder):
-    rows = images(spark, folder)
+    rows = manifest(spark, folder)
     renames = rows.filter("image_id % 6 = 2").groupBy(F.col("file_name").alias("name")).agg(F.min(F.concat(F.lit("renamed_"), F.col("image_id").cast("string"), F.lit(".jpg"))).alias("final_name"))
-    return C.resolve(rows, candidate_paths(spark, folder), renames)
+    return C.resolve(rows, candidate_paths(rows), renames)
 
 
 @register("applied_rules", with_sql(IMAGES, f"named AS (SELECT *, {_NORM} AS nm, {_VIEW} AS vw, {_YEAR} AS yr FROM images)",
@@ -225,7 +226,7 @@ def resolved_files(spark, folder):
   CASE WHEN image_id % 15 = 0 THEN 'override_csv' WHEN fr.k IS NOT NULL THEN 'filename_rules' WHEN vr.view_id IS NOT NULL THEN 'view_rules' END AS source
   FROM named LEFT JOIN vr ON vr.view_id = vw LEFT JOIN fr ON fr.nm = named.nm"""))
 def applied_rules(spark, folder):
-    rows = images(spark, folder)
+    rows = manifest(spark, folder)
     named = rows.select("image_id", N.normalized_name(F.col("file_name")).alias("file_name"), N.view_from_name(F.col("file_name")).alias("view_id"))
     views = named.filter("view_id LIKE '%en'").select("view_id").distinct().withColumn("building_id", F.concat(F.lit("B_"), "view_id"))
     files = named.filter("image_id % 10 = 3").groupBy("file_name").agg(F.min("image_id").alias("k")).select(
@@ -241,7 +242,7 @@ def applied_rules(spark, folder):
   CASE WHEN k > 1 THEN 'duplicate_fix' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'confirmed' END AS status
   FROM (SELECT name, count(*) AS k, min(building_id) AS building_id, min(year) AS year FROM fixes GROUP BY 1) f LEFT JOIN nm n USING (name))"""))
 def confirmed_fixes(spark, folder):
-    rows = images(spark, folder)
+    rows = manifest(spark, folder)
     fixes = rows.filter("image_id % 7 = 0").select("file_name", "building_id", "year")
     ghosts = rows.filter("image_id % 49 = 0").select(F.concat(F.lit("zzz"), F.col("image_id").cast("string")).alias("file_name"), "building_id", "year")
     return C.confirmed_rows(rows, fixes.unionByName(ghosts))
@@ -283,12 +284,17 @@ ELIGIBLE = """elig AS (SELECT *, list_filter([CASE WHEN image_status <> 'ready'
   ok AS (SELECT *, len(reasons) = 0 AS semantic_eligible, len(temporal_reasons) = 0 AS temporal_eligible FROM elig)"""
 
 
-def eligible(spark, folder):
-    return C.eligibility(images(spark, folder))
+def manifest(spark, folder):
+    """The manifest written once, for queries that read it several times: hashing texts is the costly part."""
+    return cut_lineage(images(spark, folder))
 
 
-def temporal(spark, folder):
-    return eligible(spark, folder).filter("temporal_eligible")
+def eligible(spark, folder, rows=None):
+    return C.eligibility(images(spark, folder) if rows is None else rows)
+
+
+def temporal(spark, folder, rows=None):
+    return eligible(spark, folder, rows).filter("temporal_eligible")
 
 
 @register("eligibility_reasons", with_sql(IMAGES, ELIGIBLE, body="SELECT image_id, array_to_string(reasons, ';') AS reasons, array_to_string(temporal_reasons, ';') AS temporal_reasons, semantic_eligible, temporal_eligible FROM ok"))
@@ -343,15 +349,16 @@ ANCHORED = f"""anchor AS (SELECT view_id, min_by(image_id, k) AS reference_id, m
     FROM ok JOIN anchor USING (view_id) WHERE temporal_eligible AND year > reference_year)"""
 
 
-def anchored(spark, folder):
-    return P.first_anchor(temporal(spark, folder))
+def anchored(spark, folder, rows=None):
+    return P.first_anchor(temporal(spark, folder, rows))
 
 
 @register("pairing_status", with_sql(IMAGES, ELIGIBLE, ANCHORED, """used AS (SELECT id AS image_id, count(*) AS n FROM (SELECT unnest([reference_id, source_id]) AS id FROM pairs WHERE reason IS NULL) GROUP BY 1),
   yrs AS (SELECT view_id, count(DISTINCT year) AS y FROM ok WHERE temporal_eligible GROUP BY 1)""", body="""SELECT image_id, coalesce(n, 0) AS pair_count,
   CASE WHEN NOT temporal_eligible THEN 'unresolved' WHEN n > 0 THEN 'pair_candidate' WHEN y = 1 THEN 'single_year_view' ELSE 'eligible_without_pair' END AS status FROM ok LEFT JOIN used USING (image_id) LEFT JOIN yrs USING (view_id)"""))
 def pairing_status(spark, folder):
-    return C.pairing_status(eligible(spark, folder), anchored(spark, folder).filter("reason IS NULL"))
+    rows = manifest(spark, folder)
+    return C.pairing_status(eligible(spark, folder, rows), anchored(spark, folder, rows).filter("reason IS NULL"))
 
 
 @register("class_coverage", with_sql(IMAGES, NOTES, body="""SELECT s.split, c.category_id, coalesce(n, 0) AS annotations, coalesce(i, 0) AS images, coalesce(b, 0) AS buildings, coalesce(n, 0) = 0 AS missing
@@ -425,10 +432,10 @@ def split_balance(spark, folder):
     return tidy(S.split_balance(images(spark, folder), FRACTIONS), ("image_fraction", "crop_fraction", "crop_deviation"))
 
 
-def history(spark, folder):
+def history(spark, folder, rows=None):
     """An earlier snapshot: a third of the images, some with another owner or no view."""
     k = F.col("image_id")
-    return images(spark, folder).filter("image_id % 3 = 0").select(
+    return (images(spark, folder) if rows is None else rows).filter("image_id % 3 = 0").select(
         "image_id", "file_name", "sha256", "building_id", F.when(k % 9 != 0, F.col("view_id")).alias("view_id"), "year", F.when(k % 60 == 0, "val").otherwise(F.col("split")).alias("split"), "metadata_status",
     )
 
@@ -441,19 +448,21 @@ _IDS = "SELECT {keep}, kind, value FROM (SELECT {keep}, unnest(['building_id', '
   LATERAL (SELECT unnest(['building_id', 'view_id', 'sha256']) AS kind, unnest([lower(i.building_id), lower(i.view_id), i.sha256]) AS value) WHERE value IS NOT NULL)""",
   body="""SELECT building AS building_id, CASE WHEN count(DISTINCT split) = 1 THEN min(split) END AS inherited_split, count(DISTINCT split) > 1 AS conflict FROM claim LEFT JOIN own USING (kind, value) GROUP BY 1"""))
 def inherited_owners(spark, folder):
-    return S.inherit_owner(images(spark, folder), history(spark, folder))
+    rows = manifest(spark, folder)
+    return S.inherit_owner(rows, history(spark, folder, rows))
 
 
 @register("history_union", with_sql(IMAGES, HISTORY, body="SELECT DISTINCT sha256, split, building_id, view_id, year FROM (SELECT sha256, split, building_id, view_id, year FROM hist UNION ALL SELECT sha256, split, building_id, view_id, year FROM images WHERE image_id % 2 = 0)"))
 def history_union(spark, folder):
-    return S.history_union(history(spark, folder), images(spark, folder).filter("image_id % 2 = 0"))
+    rows = manifest(spark, folder)
+    return S.history_union(history(spark, folder, rows), rows.filter("image_id % 2 = 0"))
 
 
 @register("merged_history", with_sql(IMAGES, HISTORY, "u AS (SELECT sha256, split, building_id, view_id, year FROM hist UNION ALL SELECT sha256, split, building_id, view_id, year FROM images WHERE image_id % 2 = 0)",
   body="""SELECT sha256, max(building_id) AS building_id, max(split) AS split, max(view_id) AS view_id, max(year) AS year,
   count(DISTINCT coalesce(building_id, '')) > 1 OR count(DISTINCT split) > 1 OR count(DISTINCT view_id) > 1 OR count(DISTINCT year) > 1 AS conflict FROM u GROUP BY 1"""))
 def merged_history(spark, folder):
-    return S.merge_history(S.history_union(history(spark, folder), images(spark, folder).filter("image_id % 2 = 0")))
+    return S.merge_history(history_union(spark, folder))
 
 
 @register("frozen_problems", with_sql(IMAGES, HISTORY, f"""old AS (SELECT sha256, max(building_id) AS b, max(view_id) AS v, max(year) AS y, max(split) AS s FROM hist GROUP BY 1),
@@ -462,8 +471,9 @@ def merged_history(spark, folder):
   UNION ALL SELECT 'bytes_changed', CAST(image_id AS VARCHAR) FROM cur WHERE {_NORM} IN (SELECT {_NORM} FROM hist) AND ({_NORM}, sha256) NOT IN (SELECT ({_NORM}, sha256) FROM hist)
   UNION ALL SELECT 'ambiguous_name', n FROM (SELECT {_NORM} AS n, file_name, sha256 FROM cur UNION ALL SELECT {_NORM}, file_name, sha256 FROM hist) GROUP BY n HAVING count(DISTINCT file_name) > 1 AND count(DISTINCT sha256) > 1) GROUP BY 1"""))
 def frozen_problems(spark, folder):
-    current = images(spark, folder).withColumn("sha256", F.when(F.col("image_id") % 33 == 0, F.concat(F.lit("changed"), "sha256")).otherwise(F.col("sha256")))
-    return S.frozen_problems(current, history(spark, folder)).groupBy("problem").agg(F.count("*").alias("rows"), F.countDistinct("item").alias("items"))
+    rows = manifest(spark, folder)
+    current = rows.withColumn("sha256", F.when(F.col("image_id") % 33 == 0, F.concat(F.lit("changed"), "sha256")).otherwise(F.col("sha256")))
+    return S.frozen_problems(current, history(spark, folder, rows)).groupBy("problem").agg(F.count("*").alias("rows"), F.countDistinct("item").alias("items"))
 
 
 @register("auxiliary_training", with_sql(IMAGES, ELIGIBLE, HISTORY, f"""cand AS (SELECT * FROM ok WHERE image_status = 'ready' AND len(reasons) > 0 AND len(list_filter(reasons, lambda r: r NOT IN ('metadata_not_reviewed', 'unknown_building'))) = 0),
@@ -473,7 +483,8 @@ def frozen_problems(spark, folder):
   body="""SELECT image_id, CASE WHEN h1 OR h2 OR h3 THEN 'known_holdout_overlap:' || concat_ws(',', CASE WHEN h1 THEN 'sha256' END, CASE WHEN h2 THEN 'view_id' END, CASE WHEN h3 THEN 'building_id' END)
   WHEN tr OR image_id <> min(CASE WHEN NOT (h1 OR h2 OR h3 OR tr) THEN image_id END) OVER (PARTITION BY sha256) THEN 'duplicate_train_sha256' ELSE 'included' END AS outcome FROM hit"""))
 def auxiliary_training(spark, folder):
-    return S.auxiliary_train(eligible(spark, folder), history(spark, folder))
+    rows = manifest(spark, folder)
+    return S.auxiliary_train(eligible(spark, folder, rows), history(spark, folder, rows))
 
 
 _CROSS = f"""SELECT kind, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(*) AS rows FROM ({_IDS.format(keep='split', src='images')}) GROUP BY 1, 2 HAVING count(DISTINCT split) > 1"""
@@ -488,12 +499,11 @@ def cross_split_identities(spark, folder):
 @register("partition_problems", with_sql(IMAGES, body=f"""SELECT problem, count(*) AS rows, count(DISTINCT item) AS items FROM (SELECT 'unreviewed' AS problem, CAST(image_id AS VARCHAR) AS item FROM images WHERE metadata_status <> 'reviewed' OR building_id IS NULL
   UNION ALL SELECT 'leak_' || kind, value FROM ({_CROSS}) UNION ALL SELECT 'view_in_many_buildings', view_id FROM ({_MANY})) GROUP BY 1"""))
 def partition_problems(spark, folder):
-    return S.partition_problems(images(spark, folder)).groupBy("problem").agg(F.count("*").alias("rows"), F.countDistinct("item").alias("items"))
+    return S.partition_problems(manifest(spark, folder)).groupBy("problem").agg(F.count("*").alias("rows"), F.countDistinct("item").alias("items"))
 
 
-def audited(spark, folder):
+def audited(rows):
     """Images with repeated ids and missing hashes."""
-    rows = images(spark, folder)
     return rows.withColumn("sha256", F.when(F.col("image_id") % 71 != 0, F.col("sha256"))).unionByName(rows.filter("image_id % 97 = 0"))
 
 
@@ -506,10 +516,10 @@ def audited(spark, folder):
   UNION ALL SELECT 'cross_split_identity', kind || '=' || value FROM ({_IDS.format(keep='split', src='every')}) GROUP BY kind, value HAVING count(DISTINCT split) > 1
   UNION ALL SELECT 'view_has_multiple_buildings', lower(view_id) FROM every WHERE view_id IS NOT NULL AND building_id IS NOT NULL GROUP BY 2 HAVING count(DISTINCT lower(building_id)) > 1) GROUP BY 1"""))
 def leakage_audit(spark, folder):
-    rows = images(spark, folder).filter("building_id IS NOT NULL")
+    rows = manifest(spark, folder)
     b = F.col("building_id")
-    assigned = rows.select(F.when(b == "b7", " ").otherwise(b).alias("building_id"), F.when(b == "b3", "dev").otherwise(F.col("split")).alias("split")).distinct()
-    out = S.leakage_audit(audited(spark, folder), assigned, history(spark, folder))
+    assigned = rows.filter("building_id IS NOT NULL").select(F.when(b == "b7", " ").otherwise(b).alias("building_id"), F.when(b == "b3", "dev").otherwise(F.col("split")).alias("split")).distinct()
+    out = S.leakage_audit(audited(rows), assigned, history(spark, folder, rows))
     return out.groupBy("violation").agg(F.count("*").alias("rows"), F.countDistinct("item").alias("items"))
 
 
@@ -521,11 +531,12 @@ def leakage_audit(spark, folder):
   UNION ALL SELECT 'pair_ineligible_endpoint' FROM j WHERE ri IS NOT NULL AND si IS NOT NULL AND (rm <> 'reviewed' OR sm <> 'reviewed' OR NOT rt OR NOT st) UNION ALL SELECT 'pair_identical_observations' FROM j WHERE ri = si OR rh = sh) GROUP BY 1"""))
 def pair_audit(spark, folder):
     k = F.col("source_id")
-    broken = anchored(spark, folder).select(
+    rows = manifest(spark, folder)
+    broken = anchored(spark, folder, rows).select(
         "pair_id", "reference_id", F.when(k % 11 == 0, -k).otherwise(k).alias("source_id"), F.when(k % 7 == 0, "val").otherwise(F.col("split")).alias("split"), "building_id",
         F.when(k % 5 == 0, "other").otherwise(F.col("view_id")).alias("view_id"),
     )
-    return S.pair_audit(broken, eligible(spark, folder)).groupBy("violation").agg(F.count("*").alias("pairs"))
+    return S.pair_audit(broken, eligible(spark, folder, rows)).groupBy("violation").agg(F.count("*").alias("pairs"))
 
 
 @register("same_split_duplicates", with_sql(IMAGES, body="SELECT split, sha256, count(*) AS images, min(image_id) AS first_image FROM images GROUP BY 1, 2 HAVING count(*) > 1"))
@@ -546,7 +557,7 @@ def split_transition(spark, folder):
 
 @register("absent_gold", with_sql(IMAGES, body="SELECT DISTINCT sha256 FROM images WHERE image_id % 3 = 0 AND sha256 NOT IN (SELECT sha256 FROM images WHERE image_id % 4 <> 0)"))
 def absent_gold(spark, folder):
-    rows = images(spark, folder)
+    rows = manifest(spark, folder)
     return S.absent_gold(rows.filter("image_id % 3 = 0"), rows.filter("image_id % 4 != 0"))
 
 
@@ -554,7 +565,8 @@ def absent_gold(spark, folder):
   body=f"""SELECT image_id, split, concat_ws(',', CASE WHEN bool_or(kind = 'building_id') THEN 'building_id' END, CASE WHEN bool_or(kind = 'view_id') THEN 'view_id' END, CASE WHEN bool_or(kind = 'sha256') THEN 'sha256' END) AS matched_on
   FROM ({_IDS.format(keep='image_id, split', src='images')}) SEMI JOIN tr USING (kind, value) GROUP BY 1, 2"""))
 def train_overlap(spark, folder):
-    return S.train_overlap(history(spark, folder).filter("split = 'train'"), images(spark, folder))
+    rows = manifest(spark, folder)
+    return S.train_overlap(history(spark, folder, rows).filter("split = 'train'"), rows)
 
 
 # --- pairing -----------------------------------------------------------------
@@ -599,10 +611,10 @@ def address_overlaps(spark, folder):
     return P.address_overlaps(street_views(spark, folder))
 
 
-def attempts(spark, folder):
+def attempts(spark, folder, manifest_rows):
     """Alignment attempts of anchored pairs with varied outcomes."""
-    p = anchored(spark, folder)
-    sha = images(spark, folder).select("image_id", "sha256")
+    p = anchored(spark, folder, manifest_rows)
+    sha = manifest_rows.select("image_id", "sha256")
     rows = p.join(sha.withColumnRenamed("image_id", "reference_id").withColumnRenamed("sha256", "reference_sha"), "reference_id").join(
         sha.withColumnRenamed("image_id", "source_id").withColumnRenamed("sha256", "source_sha"), "source_id")
     k = F.col("source_id")
@@ -620,8 +632,9 @@ CHAINS = f"""att AS (SELECT DISTINCT r.sha256 AS rsha, s.sha256 AS ssha, rank, (
 
 
 def chains(spark, folder):
-    rows = temporal(spark, folder).withColumn("file_present", F.col("image_id") % 40 != 0)
-    return Q.sequence_chains(rows, anchored(spark, folder).filter("reason IS NULL"), attempts(spark, folder))
+    base = manifest(spark, folder)
+    rows = temporal(spark, folder, base).withColumn("file_present", F.col("image_id") % 40 != 0)
+    return Q.sequence_chains(rows, anchored(spark, folder, base).filter("reason IS NULL"), attempts(spark, folder, base))
 
 
 @register("sequence_chains", with_sql(IMAGES, ELIGIBLE, ANCHORED, CHAINS, body="""SELECT *, CASE WHEN status = 'accepted' THEN substr(sha256(split || '|' || building_id || '|' || view_id || '|' || hashes), 1, 24) END AS sequence_id FROM (
@@ -685,7 +698,8 @@ def quality_gate(spark, folder):
   SELECT split, building_id, view_id, count(*) AS i, count(DISTINCT year) AS y FROM ok WHERE temporal_eligible GROUP BY 1, 2, 3) LEFT JOIN (SELECT view_id, count(*) AS p FROM pairs WHERE reason IS NULL GROUP BY 1) USING (view_id)
   JOIN (SELECT split, building_id, count(DISTINCT year) AS years FROM ok WHERE temporal_eligible GROUP BY 1, 2) USING (split, building_id) GROUP BY 1, 2"""))
 def history_inventory(spark, folder):
-    return Q.history_inventory(temporal(spark, folder), anchored(spark, folder).filter("reason IS NULL"))
+    rows = manifest(spark, folder)
+    return Q.history_inventory(temporal(spark, folder, rows), anchored(spark, folder, rows).filter("reason IS NULL"))
 
 
 def retries(spark, folder):

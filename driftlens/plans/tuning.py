@@ -9,6 +9,7 @@ from driftlens.operators import decide as D
 from driftlens.operators import select as S
 from driftlens.plans.fixtures import CELLS, GRID, IMAGES, PX, UNITS, cells, grid, images, rounded, scores, table, units, with_sql
 from driftlens.plans.maps import FRAME_GRID4, RANKED, TRANS, ranked_tiles, transition_candidates
+from driftlens.session import cut_lineage
 from driftlens.plans.metrics import PAIRS, case_rows, pair_rows, tidy
 
 QUERIES, SQL = {}, {}
@@ -179,7 +180,7 @@ def crops(spark, folder):
   body="""SELECT c.crop_id, c.building_id, c.split, r2.pick, CASE WHEN c.split NOT IN ('train', 'val') THEN 'outside_requested_split' WHEN c.vf < 0.3 THEN 'below_min_valid_fraction' WHEN fit.f <> c.crop_id THEN 'duplicate_reference_rgb' WHEN r2.pick IS NULL THEN 'crop_budget' END AS reason
   FROM crops c LEFT JOIN fit ON fit.crop_id = c.crop_id LEFT JOIN r2 ON r2.crop_id = c.crop_id"""))
 def selected_crops(spark, folder):
-    return S.select_crops(crops(spark, folder), ["train", "val"], 0.3, 4)
+    return S.select_crops(cut_lineage(crops(spark, folder)), ["train", "val"], 0.3, 4)
 
 
 FAMILIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")

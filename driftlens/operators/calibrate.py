@@ -101,11 +101,28 @@ def calibrate_f1(pixels: DataFrame, units: DataFrame, keys, score: Column, unit=
     """
     keys = list(keys)
     rows = pixels.join(units.select(unit, building), unit)
-    curves = count_curves(rows, [*keys, unit, building], score)
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    positive = tp + fn > 0
-    scored = curves.withColumn("_f1", F.when(positive, 2 * tp / (2 * tp + fp + fn))).withColumn("_fpr", F.when(~positive & (fp + tn > 0), fp / (fp + tn)))
-    level = scored.groupBy(*keys, building, "threshold_index").agg(F.avg("_f1").alias("_f1"), F.avg("_fpr").alias("_fpr"))
+    hist = histogram_arrays(rows, [*keys, unit, building], score)
+    # A unit's curve only changes at its own buckets, so a unit contributes
+    # differences there instead of one row per threshold.
+    breaks = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.filter(F.transform("_h", lambda h: h["k"]), lambda k: k < LINEAR_POINTS))))
+    above = lambda field, i: F.aggregate(F.filter("_h", lambda h: h["k"] > i), F.lit(0).cast("bigint"), lambda acc, h: acc + h[field])
+    points = F.transform(breaks, lambda i: F.struct(i.alias("i"), above("p", i).alias("tp"), above("n", i).alias("fp")))
+    value = F.transform("_points", lambda q: F.when(F.col("_p") > 0, 2 * q["tp"] / (q["tp"] + q["fp"] + F.col("_p"))).otherwise(q["fp"] / F.col("_n")))
+    units_of = hist.withColumn("_points", points).withColumn("_value", value)
+    moves = F.transform("_points", lambda q, j: F.struct(
+        q["i"].alias("threshold_index"), (F.element_at("_value", j + 1) - F.when(j > 0, F.get("_value", j - 1)).otherwise(0.0)).alias("_d")))
+    steps = units_of.select(*keys, building, (F.col("_p") > 0).alias("_h1"), F.inline(moves))
+    first = F.col("threshold_index") == 0
+    level = steps.groupBy(*keys, building, "threshold_index").agg(
+        F.sum(F.when(F.col("_h1"), F.col("_d"))).alias("_df"), F.sum(F.when(~F.col("_h1"), F.col("_d"))).alias("_da"),
+        F.count_if(F.col("_h1") & first).alias("_n1"), F.count_if(~F.col("_h1") & first).alias("_n0"),
+    )
+    spine = level.select(*keys, building).distinct().withColumn("threshold_index", F.explode(F.sequence(F.lit(0), F.lit(LINEAR_POINTS - 1))))
+    run = Window.partitionBy(*keys, building).orderBy("threshold_index").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(run)
+    level = spine.join(level, [*keys, building, "threshold_index"], "left").select(
+        *keys, building, "threshold_index", F.when(total("_n1") > 0, total("_df") / total("_n1")).alias("_f1"), F.when(total("_n0") > 0, total("_da") / total("_n0")).alias("_fpr")
+    )
     curve = level.groupBy(*keys, "threshold_index").agg(
         F.avg("_f1").alias("f1"), F.avg("_fpr").alias("fpr"), F.count("_f1").alias("h1_buildings"), F.count("_fpr").alias("h0_buildings")
     )

@@ -199,11 +199,16 @@ def _block_labels(keys, layers, kinds):
     """Label one bounded block: least position id spreads to eight neighbours."""
     import numpy as np
 
+    import pyarrow as pa
+
     columns = [*keys, *layers, "y", "x"]
 
-    def label(pdf):
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        z = pdf.groupby(list(layers)).ngroup().to_numpy() if layers else np.zeros(len(pdf), int)
+    def label(rows):
+        y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
+        z = np.zeros(len(y), int)
+        for name in layers:
+            codes = rows[name].combine_chunks().dictionary_encode().indices.to_numpy()
+            z = z * (codes.max() + 1) + codes
         plane = np.full((z.max() + 1, y.max() - y.min() + 3, x.max() - x.min() + 3), np.iinfo(np.int64).max)
         ids = (y.astype(np.int64) << 31) + x
         r, c = y - y.min() + 1, x - x.min() + 1
@@ -213,8 +218,7 @@ def _block_labels(keys, layers, kinds):
             if (least == plane[z, r, c]).all():
                 break
             plane[z, r, c] = least
-        pdf["local"] = plane[z, r, c]
-        return pdf[[*columns, "local"]]
+        return rows.select(columns).append_column("local", pa.array(plane[z, r, c]))
 
     return label, ", ".join([*(f"{k} {kinds[k]}" for k in columns), "local long"])
 
@@ -232,7 +236,7 @@ def connected_components(mask: DataFrame, keys, layers=(), block=64, max_rounds=
     images, keys, layers = list(keys), [*keys, *layers], list(layers)
     label, schema = _block_labels(images, layers, dict(mask.dtypes))
     blocks = mask.select(*keys, "y", "x").groupBy(*images, F.floor(F.col("y") / block).alias("_by"), F.floor(F.col("x") / block).alias("_bx"))
-    pixels = cut_lineage(blocks.applyInPandas(label, schema))
+    pixels = cut_lineage(blocks.applyInArrow(label, schema))
     edge = (F.col("y") % block).isin(0, block - 1) | (F.col("x") % block).isin(0, block - 1)
     rim = pixels.filter(edge)
     contacts = spread(rim, offsets(1, centre=False)).withColumnRenamed("local", "a").join(rim.withColumnRenamed("local", "b"), [*keys, "y", "x"])

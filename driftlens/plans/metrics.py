@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftlens.functions import metrics as M
 from driftlens.operators import aggregate as A
 from driftlens.operators import decide as D
-from driftlens.plans.fixtures import CELLS, PX, UNITS, cells, frames, grid, GRID, rounded, scores, table, units, with_sql
+from driftlens.plans.fixtures import CELLS, PX, UNITS, cells, grid, GRID, rounded, scores, table, units, with_sql
 
 QUERIES, SQL = {}, {}
 

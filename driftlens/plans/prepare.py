@@ -10,7 +10,7 @@ from driftlens.operators import clean as C
 from driftlens.operators import pairs as P
 from driftlens.operators import sequences as Q
 from driftlens.operators import split as S
-from driftlens.plans.fixtures import CELLS, GRID, IMAGES, PX, SPLIT_SQL, UNITS, cells, grid, images, rounded, table, units, with_sql
+from driftlens.plans.fixtures import CELLS, GRID, IMAGES, PX, UNITS, cells, grid, images, rounded, table, units, with_sql
 from driftlens.plans.metrics import tidy
 from driftlens.session import cut_lineage
 from driftlens.sources import coco, tables

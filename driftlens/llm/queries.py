@@ -1,8 +1,9 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from driftlens.llm import bpe, chat, gif, langid, toxicity
+from driftlens.llm import bpe, chat, gif, langid, mixing, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op5_chat": chat.op5_chat,
     "op6_bpe": bpe.op6_bpe,
     "op7_gif": gif.op7_gif,

@@ -109,7 +109,7 @@ def covering(holders, clean, totals) -> dict[str, float]:
             weights[term] = w
     chosen, open_docs = {}, set(k for own in holders.values() for k in own)
     # Gains only shrink, so a stale best that is still best after its update is the true best.
-    queue = [(-len(holders[t]) * w, len(t), t) for t, w in weights.items()]
+    queue = [(-len(holders[t]) * w, -len(t), t) for t, w in weights.items()]
     heapq.heapify(queue)
     while queue and len(chosen) < TERMS:
         gain, size, term = heapq.heappop(queue)

@@ -1,11 +1,12 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from driftlens.llm import bpe, chat, gif, langid, lpf, mixing, suffixtree, toxicity
+from driftlens.llm import bpe, chat, gif, jaccard, langid, lpf, mixing, suffixtree, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_lpf": lpf.op2_lpf,
     "op3_suffixtree": suffixtree.op3_suffixtree,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_chat": chat.op5_chat,
     "op6_bpe": bpe.op6_bpe,
     "op7_gif": gif.op7_gif,

@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from driftlens.llm import bpe, chat, gif, jaccard, langid, lpf, mixing, suffixtree, toxicity
+from driftlens.llm import bpe, chat, gif, itq, jaccard, langid, lpf, mixing, suffixtree, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op6_bpe": bpe.op6_bpe,
     "op7_gif": gif.op7_gif,
+    "op8_itq": itq.op8_itq,
     "op9_language": langid.op9_language,
     "op10_toxicity": toxicity.op10_toxicity,
 }

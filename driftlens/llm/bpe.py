@@ -171,9 +171,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    path = tokenizer_path()
-    return decode(encode(table(spark, folder, "documents"), path), path).select(
+def encoded_and_back(docs: DataFrame, path: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the ids and of the text decoded from them."""
+    return decode(encode(docs, path), path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded_and_back(table(spark, folder, "documents"), tokenizer_path())

@@ -31,7 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.llm.common import arrow_schema, raw, slices, table, written
@@ -311,7 +311,11 @@ def search(docs: DataFrame, members: DataFrame, count: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, row_hash, n_shingles, component_id), one per input row; ``row_hash`` is xxhash64(doc_id, text)."""
+    """Rows (doc_id, row_hash, n_shingles, component_id, component), one per input row.
+
+    ``row_hash`` is xxhash64(doc_id, text); ``component`` names the component
+    even where all its ids are NULL and is NULL for texts without words.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = written(keyed(docs), "sets")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -328,10 +332,24 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     joined = components(search(texts, members, count)).select(F.col("a").alias("node"), F.col("b").alias("root"))
     named = classes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "root").select(F.col("node").alias("_node"), "component_id")
+    named = named.join(ids, "root").select(F.col("node").alias("_node"), "component_id", F.col("root").alias("component"))
     out = keys.join(named, F.col("node") == F.col("_node"), "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), own.alias("component_id"), "component")
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the least (doc_id, row_hash) of each component; texts without words all stay."""
+    groups = similar_groups(docs)
+    pick = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
+    best = groups.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(pick).alias("p")).select("p.doc_id", "p.row_hash", F.lit(True).alias("_once"))
+    wordless = groups.filter(F.col("component").isNull()).select("doc_id", "row_hash", F.lit(False).alias("_once")).distinct()
+    keep = best.unionByName(wordless).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "_once")
+    rows = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
+    # Rows repeated word for word share id and hash: one of them stays.
+    kept = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_own", "doc_id").orderBy(F.lit(1)))).filter(~F.col("_once") | (F.col("_k") == 1))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from driftlens.llm.common import arrow_schema, crc_class, raw, slices, table
+from driftlens.llm.common import crc_class, raw, slices, table
 
 DOCS, CHARS, SEGMENT = 48, 1200, 512
 UNKNOWN = "und"
@@ -146,23 +148,25 @@ def samples_of(df: DataFrame, docs: int = DOCS, chars: int = CHARS) -> dict[str,
     return out
 
 
-def predict(df: DataFrame, samples: dict[str, bytes]) -> DataFrame:
-    """Rows (doc_id, lang_pred, score); score is second-best cost over the sum of the two best."""
-    spark = df.sparkSession
-    model = spark.sparkContext.broadcast(samples)
-    ddl, schema = arrow_schema(df, "doc_id long, lang_pred string, score double")
+def predict(df: DataFrame, samples: dict[str, bytes], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns with lang_pred and score; score is second-best cost over the sum of the two best."""
+    model = df.sparkSession.sparkContext.broadcast(samples)
+    kept = df.select(*[f"`{c}`" for c in carry])
+    result = StructType([*kept.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
+    schema = to_arrow_schema(result)
 
     def run(batches):
-        key = model.id if hasattr(model, "id") else hash(tuple(sorted(model.value.items())))
+        key = hash(tuple(sorted(model.value.items())))
         if key not in BUILT:
             BUILT.clear()
             BUILT[key] = Parsers(model.value)
         parsers = BUILT[key]
-        for part in slices(batches, "text"):
-            names, scores = best(parsers, part.column("text"), np.asarray(part.column("_letters").fill_null(False)))
-            yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
+        for part in slices(batches, "_text"):
+            names, scores = best(parsers, part.column("_text"), np.asarray(part.column("_letters").fill_null(False)))
+            columns = [c.cast(schema.field(k).type) for k, c in enumerate(part.columns[: len(carry)])]
+            yield pa.record_batch([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
-    return df.select("doc_id", "text", F.col("text").rlike(r"\p{L}").alias("_letters")).mapInArrow(run, ddl)
+    return df.select(*[f"`{c}`" for c in carry], F.col("text").alias("_text"), F.col("text").rlike(r"\p{L}").alias("_letters")).mapInArrow(run, result)
 
 
 def best(parsers: Parsers, texts, letters: np.ndarray):

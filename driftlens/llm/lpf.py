@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from driftlens.llm.common import table
 from driftlens.llm.repeats import Entries, Kind, Slice, chunks, covered, mark, pack, runs_of, taken
 
-WINDOW, GRAM, CHUNK = 50, 24, 300_000
+WINDOW, GRAM, CHUNK = 50, 24, 100_000
 
 
 def previous_factors(ids: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def previous_factors(ids: np.ndarray, same: np.ndarray) -> np.ndarray:
 
 class Bytes(Kind):
     def __init__(self, window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram, self.per_byte = window, gram, 0.6
+        self.window, self.gram, self.per_byte = window, gram, 2.5
 
     def payload(self, part: Slice, chosen: np.ndarray) -> bytes:
         found = part.found

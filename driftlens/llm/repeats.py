@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import raw, written
 
-SLICE_BYTES, BUCKET_BYTES, HOT = 3 << 20, 12 << 20, 400
+SLICE_BYTES, BUCKET_BYTES, HOT = 2 << 20, 12 << 20, 400
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 LAST = np.iinfo(np.int64).max
 
@@ -354,7 +354,7 @@ def contents(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hash of each stretch, worked out in blocks to bound memory."""
     out, first = np.empty(len(at) - 1, np.uint64), 0
     while first < len(out):
-        past = max(first + 1, int(np.searchsorted(at, at[first] + (4 << 20), "right")) - 1)
+        past = max(first + 1, int(np.searchsorted(at, at[first] + (1 << 20), "right")) - 1)
         rolling = Rolling(BYTE_VALUES[data[at[first]: at[past]]])
         out[first:past] = rolling.of(at[first:past] - at[first], at[first + 1: past + 1] - at[first])
         first = past

@@ -56,7 +56,7 @@ def nodes_at(values: np.ndarray, depth: int) -> np.ndarray:
 
 class Words(Kind):
     def __init__(self, window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram, self.per_byte = window, gram, 0.4
+        self.window, self.gram, self.per_byte = window, gram, 1.2
 
     def symbols(self, data, at):
         return words_of(data, at)
@@ -77,7 +77,7 @@ class Words(Kind):
         at, lead = entries.at, entries.lead
         bits = np.where(entries.size > 1, np.uint32(0xFFFFFFFF), np.uint32(0))
         some = entries.several
-        for part in chunks(some, entries.anchor[lead[some]], np.diff(at)[lead[some]], CHUNK * 4):
+        for part in chunks(some, entries.anchor[lead[some]], np.diff(at)[lead[some]], CHUNK):
             bits[part] |= self.windows(*taken(entries.data, at[lead[part]], at[lead[part] + 1]))
         return entries.back(bits[entries.group])
 

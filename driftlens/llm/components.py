@@ -16,28 +16,29 @@ def jumped(parent: DataFrame) -> DataFrame:
     return parent.join(up, F.col("b") == F.col("_a"), "left").select("a", F.coalesce("_b", "b").alias("b"))
 
 
+def to_roots(parent: DataFrame) -> DataFrame:
+    """Point every node at the last of its chain of parents; chains shrink fourfold per step."""
+    while True:
+        up = parent.select(F.col("a").alias("_a"))
+        if parent.join(up, F.col("b") == F.col("_a"), "left_semi").isEmpty():
+            return parent
+        parent = written(jumped(jumped(parent)), "parents")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (a, b): every node of ``edges`` (columns a, b) that has a smaller one, with its component's least node.
 
     Each round hooks a node to its least smaller neighbour and contracts the
-    graph to the parents, so rounds grow with the logarithm of the size. Only
-    emptiness checks reach the driver.
+    graph to the roots of these chains, so rounds grow with the logarithm of
+    the size. Only emptiness checks reach the driver.
     """
     oriented = lambda e: e.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = written(oriented(edges), "edges")
     found = []
     while not left.isEmpty():
-        parent = written(jumped(jumped(left.groupBy("a").agg(F.min("b").alias("b")))), "parents")
+        parent = to_roots(written(left.groupBy("a").agg(F.min("b").alias("b")), "parents"))
         found.append(parent)
         one, two = (parent.select(F.col("a").alias(f"_{k}"), F.col("b").alias(f"_to{k}")) for k in (1, 2))
         moved = left.join(one, F.col("a") == F.col("_1"), "left").join(two, F.col("b") == F.col("_2"), "left")
         left = written(oriented(moved.select(F.coalesce("_to1", "a").alias("a"), F.coalesce("_to2", "b").alias("b"))), "edges")
-    if not found:
-        return left
-    every = reduce(DataFrame.unionByName, found)
-    while True:
-        up = written(jumped(every), "parents")
-        roots = up.select(F.col("b").alias("_b")).distinct().join(up.select(F.col("a").alias("_a")), F.col("_b") == F.col("_a"))
-        if roots.isEmpty():
-            return up
-        every = up
+    return to_roots(reduce(DataFrame.unionByName, found)) if found else left

@@ -164,25 +164,17 @@ def weighted_scores(pixels: DataFrame, units: DataFrame, keys, score: Column, un
 
 def rate_curve(scores: DataFrame, keys) -> DataFrame:
     """Recall and FPR strictly above every distinct score."""
-    ranked = running_totals(scores.withColumn("one", F.lit(1)), keys, unit_bucket(F.col("score")), ["score"], ["recall_mass", "fpr_mass", "one"])
+    ranked = running_totals(scores, keys, unit_bucket(F.col("score")), ["score"], ["recall_mass", "fpr_mass"])
     return ranked.select(
         *keys, "score", "h0_pixels", (F.col("all_recall_mass") - F.col("cum_recall_mass")).alias("recall"), (F.col("all_fpr_mass") - F.col("cum_fpr_mass")).alias("fpr"),
-        (F.col("cum_one") - 1).alias("rank"), F.col("all_one").alias("values"),
     )
 
 
-def thinned(curve: DataFrame, limit: int) -> DataFrame:
-    """Evenly ranked candidates, at most ``limit``, first and last included."""
-    last, steps = F.col("values") - 1, limit - 1
-    j = F.ceil(F.col("rank") * steps / last)
-    return curve.filter((F.col("values") <= limit) | (F.floor(j * last / steps) == F.col("rank")))
-
-
 def _with_budgets(curve: DataFrame, budgets) -> DataFrame:
     return curve.withColumn("fpr_target", F.explode(F.array(*[F.lit(float(b)) for b in budgets]))).filter(F.col("fpr") <= F.col("fpr_target") + TOLERANCE)
 
 
-def calibrate_recall(scores: DataFrame, keys, budgets=(0.01, 0.05), minimum=0.0, limit=512) -> DataFrame:
+def calibrate_recall(scores: DataFrame, keys, budgets=(0.01, 0.05), minimum=0.0) -> DataFrame:
     """Highest recall under each FPR budget; ties take lower FPR, then higher threshold."""
     keys = list(keys)
     floor_rows = scores.groupBy(*keys).agg(F.max("score").alias("_any")).select(
@@ -191,18 +183,18 @@ def calibrate_recall(scores: DataFrame, keys, budgets=(0.01, 0.05), minimum=0.0,
     merged = scores.unionByName(floor_rows).groupBy(*keys, "score").agg(*[F.sum(c).alias(c) for c in ("recall_mass", "fpr_mass", "h0_pixels")])
     # Scores below the minimum never lie above a candidate threshold.
     curve = rate_curve(merged.filter(F.col("score") >= F.lit(minimum).cast("float")), keys)
-    chosen = _with_budgets(thinned(curve, limit), budgets)
+    chosen = _with_budgets(curve, budgets)
     order = F.struct(F.round("recall", 12), -F.round("fpr", 12), F.col("score"))
     return chosen.groupBy(*keys, "fpr_target").agg(F.max_by(F.struct("score", "recall", "fpr"), order).alias("_c")).select(
         *keys, "fpr_target", F.col("_c.score").cast("double").alias("threshold"), "_c.recall", "_c.fpr"
     )
 
 
-def calibrate_lowest(scores: DataFrame, keys, budgets=(0.01, 0.05), limit=4096) -> DataFrame:
+def calibrate_lowest(scores: DataFrame, keys, budgets=(0.01, 0.05)) -> DataFrame:
     """Lowest H0 score whose building-macro FPR fits the budget."""
     keys = list(keys)
     curve = rate_curve(scores.filter("h0_pixels > 0"), keys)
-    chosen = _with_budgets(thinned(curve, limit), budgets)
+    chosen = _with_budgets(curve, budgets)
     return chosen.groupBy(*keys, "fpr_target").agg(F.min_by(F.struct("score", "fpr"), "score").alias("_c")).select(
         *keys, "fpr_target", F.col("_c.score").cast("double").alias("threshold"), "_c.fpr"
     )

@@ -39,7 +39,10 @@ def rename_closure(maps: DataFrame) -> DataFrame:
 
     Pointer jumping: each round doubles the distance, so a chain of length n
     takes log2(n) rounds and a cycle is what still points at a renamed name.
+    A name with several targets is left to ``rename_problems`` and not followed.
     """
+    forked = rename_problems(maps).filter("problem = 'conflicting_source'").select(F.col("name").alias("old_name"))
+    maps = maps.join(forked, "old_name", "left_anti")
     edges = maps.select("old_name", "new_name").distinct().filter("old_name != new_name")
     ends = edges.select(F.col("new_name").alias("name")).unionByName(maps.filter("old_name = new_name").select(F.col("old_name").alias("name")))
     ends = ends.distinct().join(edges.select(F.col("old_name").alias("name")), "name", "left_anti")

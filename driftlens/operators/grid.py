@@ -223,15 +223,46 @@ def _block_labels(keys, layers, kinds):
     return label, ", ".join([*(f"{k} {kinds[k]}" for k in columns), "local long"])
 
 
-def connected_components(mask: DataFrame, keys, layers=(), block=64, max_rounds=60) -> DataFrame:
+def _last_parents(parent: DataFrame, keys) -> DataFrame:
+    """Follow parent links (keys, a, b) to their ends; chains shrink fourfold per round."""
+    while True:
+        ends = parent.select(*keys, F.col("a").alias("b"))
+        if parent.join(ends, [*keys, "b"], "left_semi").isEmpty():
+            return parent
+        for _ in range(2):
+            onward = parent.select(*keys, F.col("a").alias("b"), F.col("b").alias("_next"))
+            parent = parent.join(onward, [*keys, "b"], "left").select(*keys, "a", F.coalesce("_next", "b").alias("b"))
+        parent = cut_lineage(parent)
+
+
+def contact_roots(contacts: DataFrame, keys) -> DataFrame:
+    """Rows (keys, a, b): every label in contact with others, with the least label it is joined to.
+
+    Each round hooks every label to its least smaller neighbour, follows the
+    links to their roots and keeps only contacts between different roots. Every
+    contact has a larger end that hooks, so the rounds are logarithmic in the
+    number of labels whatever the shape of a component.
+    """
+    keys = list(keys)
+    turned = lambda e: e.filter("a != b").select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left, found = cut_lineage(turned(contacts)), None
+    while not left.isEmpty():
+        parent = _last_parents(cut_lineage(left.groupBy(*keys, "a").agg(F.min("b").alias("b"))), keys)
+        found = parent if found is None else found.unionByName(parent)
+        for end in ("a", "b"):
+            root = parent.select(*keys, F.col("a").alias(end), F.col("b").alias("_root"))
+            left = left.join(root, [*keys, end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+        left = cut_lineage(turned(left))
+    return left if found is None else _last_parents(found, keys)
+
+
+def connected_components(mask: DataFrame, keys, layers=(), block=64) -> DataFrame:
     """8-connected components: ``component`` is the smallest position id inside.
 
     Components never cross ``keys`` or ``layers``; layers (say, event kinds) of
     one block are labelled in the same task. Blocks of bounded size are
     labelled in one grouped pass; only the contacts across block borders enter
-    the iterative part, a least-label search with pointer jumping on block
-    components. State is checkpointed each round and the loop ends when no
-    label moves.
+    the iterative part.
     """
     images, keys, layers = list(keys), [*keys, *layers], list(layers)
     label, schema = _block_labels(images, layers, dict(mask.dtypes))
@@ -240,22 +271,8 @@ def connected_components(mask: DataFrame, keys, layers=(), block=64, max_rounds=
     edge = (F.col("y") % block).isin(0, block - 1) | (F.col("x") % block).isin(0, block - 1)
     rim = pixels.filter(edge)
     contacts = spread(rim, offsets(1, centre=False)).withColumnRenamed("local", "a").join(rim.withColumnRenamed("local", "b"), [*keys, "y", "x"])
-    contacts = cut_lineage(contacts.filter("a != b").select(*keys, "a", "b").distinct())
-    nodes = contacts.select(*keys, F.col("a").alias("local"), F.col("a").alias("component")).distinct()
-    for _ in range(max_rounds):
-        known = nodes.withColumnRenamed("local", "b").withColumnRenamed("component", "_near")
-        near = contacts.join(known, [*keys, "b"]).groupBy(*keys, "a").agg(F.min("_near").alias("_near")).withColumnRenamed("a", "local")
-        hooked = nodes.join(near, [*keys, "local"]).withColumn("_to", F.least("component", "_near"))
-        root = nodes.select(*keys, F.col("local").alias("_to"), F.col("component").alias("_jump"))
-        moved = cut_lineage(hooked.join(root, [*keys, "_to"]).select(
-            *keys, "local", F.least("_to", "_jump").alias("_new"), (F.least("_to", "_jump") < F.col("component")).alias("_moved")
-        ))
-        nodes = moved.select(*keys, "local", F.col("_new").alias("component"))
-        if moved.filter("_moved").isEmpty():
-            return pixels.join(nodes, [*keys, "local"], "left").select(
-                *keys, "y", "x", F.coalesce("component", "local").alias("component")
-            )
-    raise RuntimeError("components did not settle; raise max_rounds")
+    roots = contact_roots(contacts.filter("a != b").select(*keys, "a", "b"), keys).withColumnRenamed("a", "local")
+    return pixels.join(roots, [*keys, "local"], "left").select(*keys, "y", "x", F.coalesce("b", "local").alias("component"))
 
 
 def component_stats(components: DataFrame, keys) -> DataFrame:

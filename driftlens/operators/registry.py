@@ -77,12 +77,5 @@ def _rgb(pixels, image, reference, source):
     return pixels.filter("support").select(image, "y", "x", value.alias("score"))
 
 
-def _residual_cost(pixels, image, reference, source, kind, size, stride, codec):
-    parts = [S.residual(F.col(r), F.col(s), kind).alias(f"_d{i}") for i, (r, s) in enumerate(zip(reference, source))]
-    residuals = pixels.select(image, "y", "x", "support", *parts)
-    return C.compression_scores(residuals, image, [f"_d{i}" for i in range(len(reference))], size, stride, codec)
-
-
 register_scorer("rgb_difference", _rgb)
 register_scorer("ssim", C.ssim_change)
-register_scorer("residual_compression", _residual_cost, kind="mod256", size=32, stride=16, codec="zlib")

@@ -163,12 +163,13 @@ def nonoverlap_pick(crops: DataFrame, group, parent, order, per_group: int, max_
 
     Each round takes the best remaining crop of every group with a mergeable
     aggregate and removes what overlaps it, which equals the sequential rule
-    and never gathers a group. ``order`` is a struct to maximise.
+    and never gathers a group. ``order`` is a struct to minimise; its last field
+    should break ties. Candidates are read from a narrow checkpoint each round.
     """
     boxes = ["x", "y", "w", "h"]
-    remaining, chosen = crops, None
+    remaining, chosen = cut_lineage(crops.select("crop_id", group, parent, *boxes, order.alias("_order"))), None
     for step in range(1, per_group + 1):
-        best = cut_lineage(remaining.groupBy(group).agg(F.max_by(F.struct("crop_id", parent, *boxes), order).alias("_b")).withColumn("pick", F.lit(step)))
+        best = cut_lineage(remaining.groupBy(group).agg(F.min_by(F.struct("crop_id", parent, *boxes), "_order").alias("_b")).withColumn("pick", F.lit(step)))
         picked = best.select(F.col("_b.crop_id").alias("crop_id"), group, "pick")
         chosen = picked if chosen is None else chosen.unionByName(picked)
         if step == per_group:
@@ -205,44 +206,6 @@ def round_robin_windows(windows: DataFrame, order, limit: int) -> DataFrame:
     return first_n(placed, [], ["depth", "_index", "_kind"], limit, "pick").drop("_index", "_kind")
 
 
-def recommend(pairs: DataFrame, limit=12, per_building=2) -> DataFrame:
-    """Greedy: new classes, then new dates, little overlap, more positives.
-
-    The choice depends on earlier ones, so it walks at most ``limit`` steps.
-    Each step is one minimum over the candidates of one building; candidates
-    are read from a checkpoint and only the picks reach the driver.
-    Needs pair_id, building_id, channels (bits), reference_year, source_year, view_id, x, y, w, h, positives.
-    """
-    fields = ["pair_id", "channels", "reference_year", "source_year", "view_id", "x", "y", "w", "h"]
-    ready = cut_lineage(pairs.filter("positives > 0"))
-    buildings = [r[0] for r in ready.select("building_id").distinct().orderBy("building_id").limit(limit).collect()]
-    picks, seen = [], 0
-    for _ in range(per_building):
-        for building in buildings:
-            if len(picks) >= limit:
-                break
-            same = [p for p in picks if p["building_id"] == building]
-            rows = ready.filter(F.col("building_id") == building).filter(~F.col("pair_id").isin([p["pair_id"] for p in same]))
-            fresh = F.bit_count(F.col("channels").bitwiseAND(F.lit(~seen)))
-            new_date, overlap = F.lit(1), F.lit(0.0)
-            for p in same:
-                is_date = (F.col("reference_year") == p["reference_year"]) & (F.col("source_year") == p["source_year"])
-                new_date = F.when(is_date, 0).otherwise(new_date)
-                mine, theirs = [F.col(c) for c in "xywh"], [F.lit(p[c]) for c in "xywh"]
-                shared = F.when(is_date & (F.col("view_id") == p["view_id"]), G.box_containment(mine, theirs)).otherwise(0.0)
-                overlap = F.greatest(overlap, shared)
-            rank = F.struct((-fresh).alias("a"), (-new_date).alias("b"), overlap.alias("c"), (-F.col("positives")).alias("d"), F.col("pair_id"))
-            best = rows.agg(F.min_by(F.struct(*fields), rank).alias("_b")).first()["_b"]
-            if best is None:
-                continue
-            picks.append({**best.asDict(), "building_id": building})
-            seen |= best["channels"]
-    spark = pairs.sparkSession
-    order = {p["pair_id"]: i + 1 for i, p in enumerate(picks)}
-    chosen = spark.createDataFrame([(k, v) for k, v in order.items()], "pair_id long, pick int")
-    return ready.join(F.broadcast(chosen), "pair_id").select("pair_id", "building_id", "pick")
-
-
 def quick_subset(bases: DataFrame, cases: DataFrame, families, max_bases=10, seed=42) -> DataFrame:
     """About 30 % VAL bases, one per building, with two rotating nuisance families each.
 

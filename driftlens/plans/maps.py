@@ -261,12 +261,6 @@ def residual_pixels(spark, folder):
     return grid(spark, folder).select("image_id", "y", "x", "support", *cols)
 
 
-@register("compression_scores")
-def compression_scores(spark, folder):
-    out = C.compression_scores(residual_pixels(spark, folder), "image_id", ["d_r", "d_g", "d_b"], 8, 4)
-    return tidy(out, ("raw_score", "score"))
-
-
 def _local_range(planes, support):
     """Largest neighbour difference in a 3x3 window, as a user-defined tile scorer."""
     import numpy as np
@@ -342,21 +336,6 @@ def robust_affine(spark, folder):
     return fit.select("building_id", rounded("gain", 6).alias("gain"), rounded("offset", 6).alias("offset"))
 
 
-def paid_lengths(spark, folder):
-    g = grid(spark, folder).withColumn("candidate", D.above(F.col("score"), 0.8))
-    return C.description_lengths(g, "image_id", *RGB, tile=8)
-
-
-@register("description_lengths")
-def description_lengths(spark, folder):
-    return tidy(C.description_gain(paid_lengths(spark, folder), "image_id"), ("delta_per_pixel",))
-
-
-@register("bit_ledger")
-def bit_ledger(spark, folder):
-    return C.ledger_totals(paid_lengths(spark, folder).withColumn("building_id", F.col("image_id") % 25), ["building_id"])
-
-
 @register("score_diagnostics", with_sql(PX, body="""SELECT unit_group, min(score_c) AS low, max(score_c) AS high, count(DISTINCT score_c) AS distinct_values, round(avg(CASE WHEN score_c > 0 THEN 1.0 ELSE 0.0 END), 9) AS positive_share,
   round(quantile_cont(score_c::DOUBLE, 0.01), 9) AS p1, round(quantile_cont(score_c::DOUBLE, 0.5), 9) AS median, round(quantile_cont(score_c::DOUBLE, 0.99), 9) AS p99 FROM (SELECT unit_id % 5 AS unit_group, score_c FROM px) GROUP BY 1"""))
 def score_diagnostics(spark, folder):

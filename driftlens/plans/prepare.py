@@ -68,7 +68,7 @@ OVER = """over AS (SELECT CASE WHEN doc_id % 50 = 9 THEN 'zz' ELSE CAST(doc_id A
 _BAD = "(year_text IS NOT NULL AND NOT coalesce(TRY_CAST(year_text AS INTEGER) BETWEEN 1800 AND 2100, false))"
 
 
-@register("metadata_overrides", with_sql(OVER, body=f"SELECT image_id, view_id, building_id, TRY_CAST(year_text AS INTEGER) AS year FROM over WHERE flag = 'true' AND building_id IS NOT NULL AND NOT {_BAD}"))
+@register("metadata_overrides", with_sql(OVER, body=f"SELECT image_id, view_id, building_id, TRY_CAST(year_text AS INTEGER) AS year FROM over WHERE flag = 'true' AND building_id IS NOT NULL AND NOT {_BAD} AND image_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) AND image_id IN (SELECT image_id FROM over GROUP BY 1 HAVING count(*) = 1)"))
 def metadata_overrides(spark, folder):
     ids = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("image_id"))
     return tables.checked_overrides(override_rows(spark, folder), ids)[0].drop("notes")

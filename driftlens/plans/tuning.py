@@ -83,13 +83,11 @@ MASS = """w AS (SELECT method, building_id, unit_id, count(*) FILTER (WHERE labe
 BUDGETS = "(VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.25::DOUBLE)) g(fpr_target)"
 
 
-@register("recall_under_budget", with_sql(PX, LONG, VAL, MASS, """ranked AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY method) AS n FROM curve),
-  thin AS (SELECT * FROM ranked WHERE n <= 64 OR floor(ceil(r * 63 / (n - 1)) * (n - 1) / 63) = r)""",
-  body=f"""SELECT method, fpr_target, round(CAST(score AS DOUBLE), 9) AS threshold, round(recall, 9) AS recall, round(fpr, 9) AS fpr FROM thin, {BUDGETS} WHERE fpr <= fpr_target + 1e-12
+@register("recall_under_budget", with_sql(PX, LONG, VAL, MASS,
+  body=f"""SELECT method, fpr_target, round(CAST(score AS DOUBLE), 9) AS threshold, round(recall, 9) AS recall, round(fpr, 9) AS fpr FROM curve, {BUDGETS} WHERE fpr <= fpr_target + 1e-12
   QUALIFY row_number() OVER (PARTITION BY method, fpr_target ORDER BY round(recall, 12) DESC, round(fpr, 12), score DESC) = 1"""))
 def recall_under_budget(spark, folder):
-    """At most 64 ranked candidates per method in this query."""
-    out = C.calibrate_recall(masses(spark, folder), ["method"], (0.01, 0.05, 0.25), limit=64)
+    out = C.calibrate_recall(masses(spark, folder), ["method"], (0.01, 0.05, 0.25))
     return tidy(out, ("threshold", "recall", "fpr"))
 
 
@@ -283,7 +281,7 @@ def _nonoverlap_sql():
       JOIN (VALUES (0), (1), (2)) a(o) ON y >= a.o AND y < a.o + 2 JOIN (VALUES (0), (1), (2)) b(o) ON x >= b.o AND x < b.o + 2 GROUP BY 1, 2, 3),
       r1 AS (SELECT sequence_id || '-' || tx || '-' || ty AS crop_id, sequence_id AS parent, sequence_id % 25 AS building_id, tx AS x, ty AS y, changed_pixels AS cp, known_pixels AS kp FROM rt WHERE cm / 4 >= 0.8 AND known_pixels >= 4 AND changed_pixels > 0)"""]
     for i in (1, 2, 3):
-        ctes.append(f"p{i} AS (SELECT *, {i}::INTEGER AS pick FROM r{i} QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY cp DESC, kp DESC, crop_id DESC) = 1)")
+        ctes.append(f"p{i} AS (SELECT *, {i}::INTEGER AS pick FROM r{i} QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY cp DESC, kp DESC, parent, crop_id) = 1)")
         if i < 3:
             ctes.append(f"r{i + 1} AS (SELECT c.* FROM r{i} c JOIN p{i} p ON c.building_id = p.building_id WHERE c.crop_id <> p.crop_id AND ({iou}) / (8 - ({iou})) <= 0.25)")
     return with_sql(*ctes, body="SELECT crop_id, building_id, pick FROM p1 UNION ALL SELECT crop_id, building_id, pick FROM p2 UNION ALL SELECT crop_id, building_id, pick FROM p3")
@@ -297,7 +295,7 @@ def nonoverlap_pick(spark, folder):
         F.concat_ws("-", F.col("sequence_id").cast("string"), "tx", "ty").alias("crop_id"), F.col("sequence_id").alias("parent"), (F.col("sequence_id") % 25).alias("building_id"),
         F.col("tx").alias("x"), F.col("ty").alias("y"), F.lit(2).alias("w"), F.lit(2).alias("h"), "changed_pixels", "known_pixels",
     )
-    return S.nonoverlap_pick(rows, "building_id", "parent", F.struct("changed_pixels", "known_pixels", "crop_id"), 3)
+    return S.nonoverlap_pick(rows, "building_id", "parent", F.struct((-F.col("changed_pixels")).alias("a"), (-F.col("known_pixels")).alias("b"), "parent", "crop_id"), 3)
 
 
 @register("even_spaced_units", with_sql(UNITS, body="""SELECT unit_id, r AS position FROM (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS r, count(*) OVER () AS n FROM units) WHERE r IN (SELECT CAST(floor(j * ((SELECT count(*) FROM units) - 1) / 11) AS BIGINT) FROM range(12) t(j))"""))
@@ -311,18 +309,3 @@ def even_spaced_units(spark, folder):
 def round_robin_windows(spark, folder):
     out = S.round_robin_windows(transition_candidates(spark, folder), [F.col("transition_fraction").desc(), F.col("image_id"), F.col("component")], 60)
     return out.select("image_id", "event", "from_class", "to_class", "component", "depth", "pick")
-
-
-@register("recommended_pairs")
-def recommended_pairs(spark, folder):
-    """Twelve pairs by new classes, dates, overlap and positives, per grid image."""
-    g = grid(spark, folder)
-    known = F.col("support") & (F.col("old_bits") != 0) & (F.col("new_bits") != 0)
-    changed = F.when(known, F.col("old_bits").bitwiseXOR(F.col("new_bits"))).otherwise(0)
-    changed = F.when(F.col("r") > 240, changed).otherwise(0)
-    pairs = g.groupBy(F.col("image_id").alias("pair_id"), "building_id").agg(F.bit_or(changed).alias("channels"), F.count_if(changed != 0).alias("positives"))
-    pairs = pairs.select(
-        "*", (F.col("pair_id") % 3 + 2000).alias("reference_year"), (F.col("pair_id") % 3 + 2001).alias("source_year"), F.col("building_id").alias("view_id"),
-        (F.col("pair_id") % 5).alias("x"), (F.col("pair_id") % 7).alias("y"), F.lit(8).alias("w"), F.lit(8).alias("h"),
-    )
-    return S.recommend(pairs, 12, 2)

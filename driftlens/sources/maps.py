@@ -1,10 +1,8 @@
-"""Saved score maps (npz, npy, png masks) to long pixel rows."""
+"""Saved score maps (npz, npy) to long pixel rows."""
 
 from __future__ import annotations
 
 import io
-import struct
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -15,40 +13,10 @@ SCHEMA = "unit string, y int, x int, score float, support boolean, native boolea
 CHUNK = 1 << 18
 
 
-def _gray_png(raw: bytes) -> np.ndarray:
-    """Eight-bit grayscale PNG without interlace, enough for stored masks."""
-    at, width, height, data = 8, 0, 0, b""
-    while at < len(raw):
-        size, kind = struct.unpack(">I4s", raw[at:at + 8])
-        body = raw[at + 8:at + 8 + size]
-        if kind == b"IHDR":
-            width, height, depth, colour, _, _, lace = struct.unpack(">IIBBBBB", body)
-            if (depth, colour, lace) != (8, 0, 0):
-                raise ValueError("unsupported_png")
-        elif kind == b"IDAT":
-            data += body
-        at += size + 12
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, width + 1)
-    out = np.zeros((height, width), np.uint8)
-    for i, line in enumerate(lines):
-        up = out[i - 1] if i else np.zeros(width, np.uint8)
-        if line[0] == 0:
-            out[i] = line[1:]
-        elif line[0] == 1:
-            out[i] = np.cumsum(line[1:], dtype=np.uint64) & 255
-        elif line[0] == 2:
-            out[i] = line[1:] + up
-        else:
-            raise ValueError("unsupported_png_filter")
-    return out
-
-
 def _arrays(path: str, raw: bytes):
     if path.endswith(".npz"):
         with np.load(io.BytesIO(raw), allow_pickle=False) as archive:
             return {k: archive[k] for k in archive.files if k in ("scores", "support", "native")}
-    if path.endswith(".png"):
-        return {"scores": _gray_png(raw).astype(np.float32) / 255}
     return {"scores": np.load(io.BytesIO(raw), allow_pickle=False)}
 
 
@@ -73,7 +41,7 @@ def _rows(batches):
             try:
                 arrays = _arrays(path, bytes(raw))
                 problem = _check(arrays)
-            except (ValueError, OSError, zlib.error) as error:
+            except (ValueError, OSError) as error:
                 arrays, problem = {}, str(error)[:80] or "unreadable"
             unit = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
             if problem:

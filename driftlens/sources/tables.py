@@ -36,6 +36,8 @@ def checked_overrides(rows: DataFrame, ids: DataFrame):
     twice = typed.groupBy("image_id").count().filter("count > 1").select("image_id", F.lit("duplicate_override").alias("problem"))
     unknown = typed.join(ids, "image_id", "left_anti").select("image_id", F.lit("unknown_image").alias("problem"))
     good = typed.filter(reviewed & F.col("building_id").isNotNull() & ~bad_year).drop("_text", "_flag")
+    # An id given twice or not known is reported and never accepted.
+    good = good.join(twice, "image_id", "left_anti").join(ids, "image_id", "left_semi")
     return good, problems.unionByName(twice).unionByName(unknown)
 
 

@@ -1,12 +1,12 @@
 """Grids, labels, scores and segmentation on small fixtures."""
 
-import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftlens.operators import aggregate as A
+from driftlens.operators import calibrate as K
 from driftlens.operators import grid as G
 from driftlens.operators import labels as L
 from driftlens.operators import registry as V
@@ -49,6 +49,24 @@ def dense(image, plane, name="value"):
     return [(image, y, x, int(v)) for y, row in enumerate(plane) for x, v in enumerate(row)]
 
 
+def test_components_of_a_long_u_settle(spark):
+    """Two arms over 150 blocks each, joined at the far end, with the least ids at both tops."""
+    arm = spark.range(150).selectExpr("1 AS image", "CAST(id AS INT) AS y")
+    mask = arm.selectExpr("image", "y", "0 AS x").unionByName(arm.selectExpr("image", "y", "2 AS x")).unionByName(spark.createDataFrame([(1, 149, 1)], "image int, y int, x int"))
+    got = G.connected_components(mask.select("image", F.col("y").cast("int"), F.col("x").cast("int")), ["image"], block=1)
+    assert got.select("component").distinct().count() == 1
+
+
+def test_recall_threshold_is_the_optimum_of_many_scores(spark):
+    rng = np.random.default_rng(8)
+    score = rng.random(6000).astype(np.float32)
+    scores = spark.createDataFrame([("m", float(s), 1 / 6000, 1 / 6000 * float(s < 0.9), 1) for s in np.unique(score)], "method string, score float, recall_mass double, fpr_mass double, h0_pixels long")
+    values = np.unique(score)
+    fpr = np.array([((values > v) & (values < np.float32(0.9))).sum() / 6000 for v in values])
+    got = K.calibrate_recall(scores, ["method"], (0.0503,)).first()
+    assert got.threshold == pytest.approx(float(values[fpr <= 0.0503 + 1e-12].min()), abs=1e-7)
+
+
 def test_components_match_flood_fill(spark):
     rng = np.random.default_rng(1)
     rows, truth = [], {}
@@ -101,47 +119,6 @@ def rgb_frame(spark, ref, src, support):
 CHANNELS = (("r", "g", "b"), ("s_r", "s_g", "s_b"))
 
 
-def test_compression_scores_match_tiles(spark):
-    rng = np.random.default_rng(2)
-    ref, src = rng.integers(0, 256, (2, 21, 19, 3), dtype=np.uint8)
-    support = rng.random((21, 19)) < 0.8
-    size, stride = 8, 4
-    residual = ((src.astype(int) - ref.astype(int)) % 256).astype(np.uint8)
-    residual[~support] = 0
-    total, count = np.zeros((21, 19)), np.zeros((21, 19))
-    for top in range(0, 21, stride):
-        for left in range(0, 19, stride):
-            if not support[top:top + size, left:left + size].any():
-                continue
-            tile = np.zeros((size, size, 3), np.uint8)
-            part = residual[top:top + size, left:left + size]
-            tile[: part.shape[0], : part.shape[1]] = part
-            total[top:top + size, left:left + size] += 8 * len(zlib.compress(tile.tobytes(), 9)) / tile.size
-            count[top:top + size, left:left + size] += 1
-    out = V.score_pixels("residual_compression", rgb_frame(spark, ref, src, support), "image", *CHANNELS, size=size, stride=stride).collect()
-    assert len(out) == support.sum()
-    for r in out:
-        assert r.raw_score == pytest.approx(total[r.y, r.x] / count[r.y, r.x])
-        assert r.score == pytest.approx(-np.expm1(-r.raw_score / 8))
-
-
-def test_description_length_sections(spark):
-    rng = np.random.default_rng(4)
-    ref = rng.integers(0, 256, (8, 8, 3), dtype=np.uint8)
-    src = ref.copy()
-    candidate = np.zeros((8, 8), bool)
-    candidate[2:5, 2:5] = True
-    src[candidate] = (200, 10, 30)
-    frame = rgb_frame(spark, ref, src, np.ones((8, 8), bool)).withColumn("candidate", (F.col("y").between(2, 4)) & (F.col("x").between(2, 4)))
-    rows = {r.arm: r for r in C.description_lengths(frame, "image", *CHANNELS, tile=8).collect()}
-    # Identity predictor plus a filled region leaves an all-zero residual.
-    zeros = 8 * len(zlib.compress(bytes(8 * 8 * 3), 9))
-    bitmap = 8 * len(zlib.compress(np.packbits(candidate.reshape(-1)).tobytes(), 9))
-    assert (rows["H1"].nuisance_bits, rows["H1"].bitmap_bits, rows["H1"].colour_bits, rows["H1"].residual_bits) == (8, bitmap, 32, zeros)
-    assert rows["H0"].bitmap_bits == rows["H0"].colour_bits == 0 and rows["H0"].residual_bits > zeros
-    assert rows["H0"].header_bits == 8 * 128
-
-
 def test_registry_refuses_unknowns(spark):
     frame = rgb_frame(spark, np.zeros((2, 2, 3), np.uint8), np.ones((2, 2, 3), np.uint8), np.ones((2, 2), bool))
     with pytest.raises(KeyError):

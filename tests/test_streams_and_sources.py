@@ -89,25 +89,16 @@ def test_log_tail_rule(spark):
     assert {(r.run_id, r.problem) for r in E.log_problems(log).collect()} == {("mid", "corrupt_before_end"), ("gap", "sequence_gap"), ("gap", "mixed_configuration")}
 
 
-def gray_png(plane):
-    height, width = plane.shape
-    raw = b"".join(b"\x00" + row.tobytes() for row in plane)
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-
-
 def test_map_files(spark, tmp_path):
     scores = np.array([[0.1, np.nan], [0.3, 0.4]], np.float32)
     support = np.isfinite(scores)
     np.savez(tmp_path / "good.npz", scores=scores, support=support, native=np.array([[True, False], [False, False]]))
     np.savez(tmp_path / "hole.npz", scores=scores, support=np.ones((2, 2), bool))
     np.save(tmp_path / "wide.npy", scores.astype(np.float64))
-    (tmp_path / "mask.png").write_bytes(gray_png(np.array([[0, 255], [51, 102]], np.uint8)))
     rows = maps.load_maps(spark, str(tmp_path), "*").collect()
     good = {(r.y, r.x): (round(r.score, 6), r.native) for r in rows if r.unit == "good"}
     assert good == {(0, 0): (0.1, True), (1, 0): (0.3, False), (1, 1): (0.4, False)}
     assert {r.unit: r.problem for r in rows if r.problem} == {"hole": "nonfinite_in_support", "wide": "scores_not_2d_float32"}
-    assert sorted(round(r.score, 6) for r in rows if r.unit == "mask") == [0.0, 0.2, 0.4, 1.0]
 
 
 def test_coco_file(spark, tmp_path):
@@ -128,7 +119,7 @@ def test_override_csv(spark, tmp_path):
     path.write_text("image_id,view_id,building_id,year,reviewed,notes\n1,v,A,2001,TRUE,\n2,,B,,true,\n3,v,,2001,true,\n4,v,C,1500,true,\n5,v,C,2000,false,\n1,v,A,2001,no,\n9,v,A,2001,true,\n")
     ids = spark.createDataFrame([(str(i),) for i in range(1, 6)], "image_id string")
     good, problems = tables.checked_overrides(tables.read_override_csv(spark, str(path)), ids)
-    assert {(r.image_id, r.view_id, r.building_id, r.year) for r in good.collect()} == {("1", "v", "A", 2001), ("2", None, "B", None), ("9", "v", "A", 2001)}
+    assert {(r.image_id, r.view_id, r.building_id, r.year) for r in good.collect()} == {("2", None, "B", None)}
     assert {(r.image_id, r.problem) for r in problems.collect()} == {("3", "reviewed_without_building"), ("4", "invalid_year"), ("1", "invalid_reviewed_flag"), ("1", "duplicate_override"), ("9", "unknown_image")}
 
 

@@ -167,18 +167,18 @@ def filename_metadata(spark, folder):
 
 
 def rename_maps(spark, folder):
-    """Chains of eight names; every tenth group closes into a cycle."""
+    """Chains of eight names; every tenth group closes into a cycle, other names stay."""
     k = F.col("o_orderkey")
-    target = F.when(k % 9 < 7, k + 1).when(k % 90 == 7, k - 7)
+    target = F.when(k % 9 < 7, k + 1).when(k % 90 == 7, k - 7).otherwise(k)
     text = lambda c: F.concat(F.lit("n"), c.cast("string"))
-    return table(spark, folder, "orders").select(text(k).alias("old_name"), text(target).alias("new_name")).filter("new_name IS NOT NULL")
+    return table(spark, folder, "orders").select(text(k).alias("old_name"), text(target).alias("new_name"))
 
 
-MAPS = """maps AS (SELECT 'n' || o_orderkey AS old_name, 'n' || CASE WHEN o_orderkey % 9 < 7 THEN o_orderkey + 1 ELSE o_orderkey - 7 END AS new_name FROM orders WHERE o_orderkey % 9 < 7 OR o_orderkey % 90 = 7)"""
+MAPS = """maps AS (SELECT 'n' || o_orderkey AS old_name, 'n' || CASE WHEN o_orderkey % 9 < 7 THEN o_orderkey + 1 WHEN o_orderkey % 90 = 7 THEN o_orderkey - 7 ELSE o_orderkey END AS new_name FROM orders)"""
 
 
 @register("rename_closure", with_sql("RECURSIVE " + MAPS, "names AS (SELECT old_name AS name FROM maps UNION SELECT new_name FROM maps)",
-  "walk AS (SELECT name, name AS cur, 0 AS d FROM names UNION ALL SELECT w.name, m.new_name, d + 1 FROM walk w JOIN maps m ON m.old_name = w.cur WHERE d < 12)",
+  "walk AS (SELECT name, name AS cur, 0 AS d FROM names UNION ALL SELECT w.name, m.new_name, d + 1 FROM walk w JOIN maps m ON m.old_name = w.cur AND m.old_name <> m.new_name WHERE d < 12)",
   body="SELECT name, CASE WHEN max(d) < 12 THEN max_by(cur, d) END AS final_name, max(d) >= 12 AS in_cycle FROM walk GROUP BY 1"))
 def rename_closure(spark, folder):
     return C.rename_closure(rename_maps(spark, folder))
@@ -452,13 +452,13 @@ def inherited_owners(spark, folder):
     return S.inherit_owner(rows, history(spark, folder, rows))
 
 
-@register("history_union", with_sql(IMAGES, HISTORY, body="SELECT DISTINCT sha256, split, building_id, view_id, year FROM (SELECT sha256, split, building_id, view_id, year FROM hist UNION ALL SELECT sha256, split, building_id, view_id, year FROM images WHERE image_id % 2 = 0)"))
+@register("history_union", with_sql(IMAGES, HISTORY, body="SELECT DISTINCT sha256, split, building_id, view_id, year FROM (SELECT sha256, split, building_id, view_id, year FROM hist UNION ALL SELECT sha256, split, building_id, view_id, year FROM images WHERE image_id % 3 <> 0 OR image_id % 2 = 0)"))
 def history_union(spark, folder):
     rows = manifest(spark, folder)
-    return S.history_union(history(spark, folder, rows), rows.filter("image_id % 2 = 0"))
+    return S.history_union(history(spark, folder, rows), rows.filter("image_id % 3 != 0 OR image_id % 2 = 0"))
 
 
-@register("merged_history", with_sql(IMAGES, HISTORY, "u AS (SELECT sha256, split, building_id, view_id, year FROM hist UNION ALL SELECT sha256, split, building_id, view_id, year FROM images WHERE image_id % 2 = 0)",
+@register("merged_history", with_sql(IMAGES, HISTORY, "u AS (SELECT sha256, split, building_id, view_id, year FROM hist UNION ALL SELECT sha256, split, building_id, view_id, year FROM images WHERE image_id % 3 <> 0 OR image_id % 2 = 0)",
   body="""SELECT sha256, max(building_id) AS building_id, max(split) AS split, max(view_id) AS view_id, max(year) AS year,
   count(DISTINCT coalesce(building_id, '')) > 1 OR count(DISTINCT split) > 1 OR count(DISTINCT view_id) > 1 OR count(DISTINCT year) > 1 AS conflict FROM u GROUP BY 1"""))
 def merged_history(spark, folder):
@@ -555,10 +555,10 @@ def split_transition(spark, folder):
     return S.split_transition(before, after)
 
 
-@register("absent_gold", with_sql(IMAGES, body="SELECT DISTINCT sha256 FROM images WHERE image_id % 3 = 0 AND sha256 NOT IN (SELECT sha256 FROM images WHERE image_id % 4 <> 0)"))
+@register("absent_gold", with_sql(IMAGES, body="SELECT DISTINCT sha256 FROM images WHERE image_id % 3 = 0 AND sha256 NOT IN (SELECT sha256 FROM images WHERE image_id % 12 <> 0)"))
 def absent_gold(spark, folder):
     rows = manifest(spark, folder)
-    return S.absent_gold(rows.filter("image_id % 3 = 0"), rows.filter("image_id % 4 != 0"))
+    return S.absent_gold(rows.filter("image_id % 3 = 0"), rows.filter("image_id % 12 != 0"))
 
 
 @register("train_overlap", with_sql(IMAGES, HISTORY, f"""tr AS (SELECT DISTINCT kind, value FROM ({_IDS.format(keep='image_id', src="(SELECT * FROM hist WHERE split = 'train')")}))""",

@@ -124,11 +124,6 @@ def rule_conflicts(view_rules: DataFrame) -> DataFrame:
     return view_rules.groupBy("view_id").agg(F.countDistinct("building_id").alias("buildings")).filter("buildings > 1")
 
 
-def unique_names(rows: DataFrame, name: Column) -> DataFrame:
-    """Names held by exactly one row, with that row's id."""
-    return rows.groupBy(name.alias("_name")).agg(F.count("*").alias("_n"), F.min("image_id").alias("image_id")).filter("_n = 1").drop("_n")
-
-
 def confirmed_rows(images: DataFrame, fixes: DataFrame) -> DataFrame:
     """Attach fixes to images by a name unique on both sides; the rest is reported."""
     name = N.basename(N.normalized_name(F.col("file_name")))

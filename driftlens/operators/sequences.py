@@ -203,8 +203,3 @@ def category_problems(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.when(F.col("_n").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").when(F.col("_n") > 1, "duplicate").when(F.col("_c") != F.col("_e"), "reordered")
     )
     return joined.select("category_id", kind.alias("problem")).filter("problem IS NOT NULL")
-
-
-def channel_ranks(categories: DataFrame) -> DataFrame:
-    """Channel = rank by id; a category table holds at most sixteen rows."""
-    return categories.withColumn("channel", F.row_number().over(Window.orderBy("category_id")) - 1)

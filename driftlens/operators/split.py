@@ -196,7 +196,7 @@ def views_with_many_buildings(rows: DataFrame) -> DataFrame:
 def partition_problems(images: DataFrame) -> DataFrame:
     """Every reason a set of reviewed partitions must be refused."""
     inside = images.filter(F.col("split").isin(*SPLITS))
-    unreviewed = inside.filter((F.col("metadata_status") != "reviewed") | F.col("building_id").isNull())
+    unreviewed = inside.filter(~F.col("metadata_status").eqNullSafe("reviewed") | F.col("building_id").isNull())
     parts = [
         unreviewed.select(F.lit("unreviewed").alias("problem"), F.col("image_id").cast("string").alias("item")),
         inside.filter("sha256 IS NULL").select(F.lit("missing_sha256").alias("problem"), F.col("image_id").cast("string").alias("item")),

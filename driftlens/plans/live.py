@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftlens.operators import calibrate as C
 from driftlens.operators.ranks import bucketed_rank
-from driftlens.plans.fixtures import PX, frame_grid, rounded, table, units, with_sql
+from driftlens.plans.fixtures import PX, UNITS, frame_grid, rounded, table, units, with_sql
 from driftlens.plans.metrics import case_rows, tidy
 from driftlens.plans.tuning import GRID101, LONG, long_scores
 from driftlens.session import cut_lineage
@@ -171,11 +171,17 @@ def test_pixels(spark, folder):
     return long_scores(spark, folder).join(test, "unit_id").select("method", "building_id", "unit_id", "label", "score")
 
 
-LIVE = with_sql(PX, LONG, GRID101, """val AS (SELECT method, unit_id, building_id, i, count(*) FILTER (WHERE label = 1 AND score > thr) AS tp, count(*) FILTER (WHERE label = 0 AND score > thr) AS fp, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM long, t WHERE split = 'val' AND label IS NOT NULL GROUP BY 1, 2, 3, 4),
+FROZEN = """val AS (SELECT method, unit_id, building_id, i, count(*) FILTER (WHERE label = 1 AND score > thr) AS tp, count(*) FILTER (WHERE label = 0 AND score > thr) AS fp, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM long, t WHERE split = 'val' AND label IS NOT NULL GROUP BY 1, 2, 3, 4),
   c AS (SELECT method, i, avg(f1) AS f1, avg(fpr) AS fpr FROM (SELECT method, i, building_id, avg(CASE WHEN p > 0 THEN 2 * tp / (tp + fp + p) END) AS f1, avg(CASE WHEN p = 0 AND n > 0 THEN fp / n END) AS fpr FROM val GROUP BY 1, 2, 3) GROUP BY 1, 2),
-  d AS (SELECT * FROM c QUALIFY f1 >= max(f1) OVER (PARTITION BY method) - 1e-12), e AS (SELECT method, max(i) AS i FROM (SELECT * FROM d QUALIFY fpr <= min(fpr) OVER (PARTITION BY method) + 1e-12) GROUP BY 1)""",
-  body="""SELECT method, building_id, count(*) FILTER (WHERE label = 1 AND score > thr) AS tp, count(*) FILTER (WHERE label = 0 AND score > thr) AS fp,
-  count(*) FILTER (WHERE label = 1 AND NOT score > thr) AS fn, count(*) FILTER (WHERE label = 0 AND NOT score > thr) AS tn FROM long JOIN e USING (method) JOIN t USING (i) WHERE split = 'test' AND label IS NOT NULL GROUP BY 1, 2""")
+  d AS (SELECT * FROM c QUALIFY f1 >= max(f1) OVER (PARTITION BY method) - 1e-12), e AS (SELECT method, max(i) AS i FROM (SELECT * FROM d QUALIFY fpr <= min(fpr) OVER (PARTITION BY method) + 1e-12) GROUP BY 1)"""
+
+
+def live_sql(frozen="e"):
+    return with_sql(PX, UNITS, LONG, GRID101, FROZEN, body=f"""SELECT method, building_id, count(*) FILTER (WHERE label = 1 AND score > thr) AS tp, count(*) FILTER (WHERE label = 0 AND score > thr) AS fp,
+  count(*) FILTER (WHERE label = 1 AND NOT score > thr) AS fn, count(*) FILTER (WHERE label = 0 AND NOT score > thr) AS tn FROM long JOIN {frozen} USING (method) JOIN t USING (i) WHERE split = 'test' AND label IS NOT NULL GROUP BY 1, 2""")
+
+
+LIVE = live_sql()
 
 
 def frozen_threshold(spark, folder):
@@ -189,6 +195,30 @@ def live_metrics(spark, folder):
     return E.live_totals(E.live_counts(test_pixels(spark, folder), frozen_threshold(spark, folder)))
 
 
+def finished_units(spark, folder):
+    """Finished work per method; method c still misses every 13th VAL unit."""
+    val = units(spark, folder).filter("split = 'val'").select("unit_id", "split")
+    methods = F.explode(F.array(F.lit("a"), F.lit("c"))).alias("method")
+    return val.select("unit_id", "split", methods).filter("method = 'a' OR unit_id % 13 != 0")
+
+
+def ready_methods(spark, folder):
+    expected = units(spark, folder).filter("split = 'val'").agg(F.count("*").alias("expected")).select(F.explode(F.array(F.lit("a"), F.lit("c"))).alias("method"), "expected")
+    return E.validation_ready(finished_units(spark, folder), expected)
+
+
+@register("validation_ready", with_sql(UNITS, body="SELECT method, count(*) FILTER (WHERE method = 'a' OR unit_id % 13 <> 0) >= count(*) AS ready FROM units, (VALUES ('a'), ('c')) m(method) WHERE split = 'val' GROUP BY 1"))
+def validation_ready(spark, folder):
+    return ready_methods(spark, folder)
+
+
+@register("live_metrics_gated", live_sql("(SELECT * FROM e WHERE method = 'a' OR NOT EXISTS (SELECT 1 FROM units WHERE split = 'val' AND unit_id % 13 = 0))"))
+def live_metrics_gated(spark, folder):
+    """A method whose VAL work is unfinished has no frozen threshold and no TEST row."""
+    frozen = E.freeze_thresholds(frozen_threshold(spark, folder), ready_methods(spark, folder))
+    return E.live_totals(E.live_counts(test_pixels(spark, folder), frozen))
+
+
 @register("live_metrics_stream", LIVE)
 def live_metrics_stream(spark, folder):
     """TEST pixels arrive on a stream; each micro-batch adds its counts."""

@@ -214,6 +214,14 @@ def stitched_tiles(spark, folder):
     return R.stitch(predicted, owned_tiles(spark, folder))
 
 
+@register("uncovered_pixels", with_sql(GRID, body="SELECT image_id, y, x FROM grid WHERE image_id % 7 = 0 AND y >= 9"))
+def uncovered_pixels(spark, folder):
+    """Every seventh image lacks its lower tiles; their pixels are reported."""
+    owned = owned_tiles(spark, folder).filter("image_id % 7 != 0 OR y < 8")
+    predicted = R.cover(sized_grid(spark, folder), SIZE, STRIDE).withColumn("channel", F.lit(0))
+    return R.uncovered(grid(spark, folder), R.stitch(predicted, owned)).select("image_id", "y", "x")
+
+
 RGB = (("r", "g", "b"), ("s_r", "s_g", "s_b"))
 
 

@@ -337,6 +337,14 @@ def training_exposure_summary(spark, folder):
     )
 
 
+@register("fusion_exposure", with_sql(*BASE, PLAIN, EXPOSED, body="""SELECT building_id, CASE WHEN bool_or(exposure = 'seen') THEN 'seen' WHEN bool_or(exposure = 'unknown') THEN 'unknown' ELSE 'verified_unseen' END AS exposure FROM exposed GROUP BY 1"""))
+def fusion_exposure(spark, folder):
+    """A fusion of all methods is exposed as its worst member."""
+    from driftlens.operators.sequences import combined_exposure
+
+    return exposed_rows(spark, folder).groupBy("building_id").agg(combined_exposure(F.collect_set("exposure")).alias("exposure"))
+
+
 def fusion_units(spark, folder):
     rows = case_rows(spark, folder).drop(*METRICS)
     arm = F.when(F.col("nuisance") == "P", "clean").otherwise("event")

@@ -236,6 +236,13 @@ def applied_rules(spark, folder):
     return C.apply_rules(rows, views, files, over)
 
 
+@register("rule_conflicts", with_sql(IMAGES, body=f"SELECT view_id, count(DISTINCT building_id) AS buildings FROM (SELECT {_VIEW} AS view_id, building_id FROM images) WHERE view_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT building_id) > 1"))
+def rule_conflicts(spark, folder):
+    """Views that their images give to several buildings."""
+    rows = manifest(spark, folder).select(N.view_from_name(F.col("file_name")).alias("view_id"), "building_id").filter("view_id IS NOT NULL")
+    return C.rule_conflicts(rows)
+
+
 @register("confirmed_fixes", with_sql(IMAGES, f"fixes AS (SELECT {_NORM} AS name, building_id, year FROM images WHERE image_id % 7 = 0 UNION ALL SELECT 'zzz' || image_id, building_id, year FROM images WHERE image_id % 49 = 0)",
   f"nm AS (SELECT {_NORM} AS name, count(*) AS n, min(image_id) AS image_id FROM images GROUP BY 1)",
   body="""SELECT name, status, CASE WHEN status = 'confirmed' THEN image_id END AS image_id, building_id, year FROM (SELECT f.*, n.image_id,
@@ -569,6 +576,11 @@ def train_overlap(spark, folder):
     return S.train_overlap(history(spark, folder, rows).filter("split = 'train'"), rows)
 
 
+@register("unverified_training", with_sql(IMAGES, HISTORY, body="SELECT image_id FROM hist WHERE split = 'train' AND (building_id IS NULL OR metadata_status IS DISTINCT FROM 'reviewed' OR sha256 IS NULL)"))
+def unverified_training(spark, folder):
+    return S.unverified_training(history(spark, folder).filter("split = 'train'"))
+
+
 # --- pairing -----------------------------------------------------------------
 
 @register("first_anchor_pairs", with_sql(IMAGES, ELIGIBLE, ANCHORED, body="SELECT * FROM pairs"))

@@ -55,10 +55,6 @@ def merge_latest(parts: DataFrame, key="unit_id", order="sequence") -> DataFrame
     )
 
 
-def duplicate_records(log: DataFrame, key="unit_id", order="sequence") -> DataFrame:
-    return log.groupBy(key, order).agg(F.count("*").alias("records")).filter("records > 1")
-
-
 def deduplicated(log: DataFrame, identity="event_id", time="ts", delay="1 hour") -> DataFrame:
     """Drop repeated event ids that arrive within the watermark."""
     return log.withWatermark(time, delay).dropDuplicatesWithinWatermark([identity])
@@ -114,6 +110,11 @@ def validation_ready(units: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(done, "method", "left").select("method", (F.coalesce("_done", F.lit(0)) >= F.col("expected")).alias("ready"))
 
 
+def freeze_thresholds(thresholds: DataFrame, ready: DataFrame) -> DataFrame:
+    """Thresholds of ready methods only; a method with unfinished VAL work has none, so its TEST rows stay out."""
+    return thresholds.join(ready.filter("ready").select("method"), "method", "left_semi")
+
+
 def split_late(log: DataFrame, key="sequence_id", order="frame") -> DataFrame:
     """Mark rows that arrive after a later frame of the same sequence.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlens.operators.ranks import running_totals, unit_bucket
+from driftlens.operators.ranks import running_totals, score_bucket, unit_bucket
 from driftlens.session import cut_lineage
 
 # The linear grid has 101 points; the extension is geometric.
@@ -164,7 +164,7 @@ def weighted_scores(pixels: DataFrame, units: DataFrame, keys, score: Column, un
 
 def rate_curve(scores: DataFrame, keys) -> DataFrame:
     """Recall and FPR strictly above every distinct score."""
-    ranked = running_totals(scores, keys, unit_bucket(F.col("score")), ["score"], ["recall_mass", "fpr_mass"])
+    ranked = running_totals(scores, keys, score_bucket(F.col("score")), ["score"], ["recall_mass", "fpr_mass"])
     return ranked.select(
         *keys, "score", "h0_pixels", (F.col("all_recall_mass") - F.col("cum_recall_mass")).alias("recall"), (F.col("all_fpr_mass") - F.col("cum_fpr_mass")).alias("fpr"),
     )
@@ -263,7 +263,7 @@ def precision_recall(pixels: DataFrame, keys, score: Column) -> DataFrame:
     """Precision and recall at the end of every tie block, per unit with positives."""
     keys = list(keys)
     blocks = pixels.filter(F.col("label").isNotNull()).groupBy(*keys, score.cast("float").alias("score")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count("*").alias("n"))
-    ranked = running_totals(blocks, keys, unit_bucket(F.col("score")), ["score"], ["p", "n"], descending=True)
+    ranked = running_totals(blocks, keys, score_bucket(F.col("score")), ["score"], ["p", "n"], descending=True)
     return ranked.filter("all_p > 0").select(
         *keys, "score", "p", F.col("all_p").alias("positives"), F.col("all_n").alias("valid"),
         (F.col("cum_p") / F.col("all_p")).alias("recall"), (F.col("cum_p") / F.col("cum_n")).alias("precision"),

@@ -16,6 +16,21 @@ def unit_bucket(value: Column, buckets: int = 1024) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(buckets), F.floor(value * buckets))).cast("int")
 
 
+def score_bucket(value: Column) -> Column:
+    """Order-preserving bucket of any float, fine where scores gather.
+
+    Linear in 1/1024 steps between 2^-10 and 1 and eight steps per power of two
+    below; larger values get 64 steps per power of two. NaN orders last.
+    """
+    size = F.abs(value.cast("double"))
+    power = F.log2(size)
+    steps = (
+        F.when(size == 0, 0).when(size < 2.0**-10, F.greatest(F.lit(1), 1 + F.floor((power + 150) * 8)))
+        .when(size <= 1, 1200 + F.floor(size * 1024)).otherwise(2300 + F.floor(F.least(power, F.lit(1100.0)) * 64))
+    )
+    return F.when(F.isnan(value), F.lit(1 << 20)).otherwise(F.when(value < 0, -steps).otherwise(steps)).cast("int")
+
+
 def hex_bucket(digest: Column, digits: int = 3) -> Column:
     """Order-preserving, evenly filled bucket of a lower-case hex digest."""
     return F.substring(digest, 1, digits)

@@ -267,6 +267,6 @@ def report_round_trip(spark, folder):
     """The wide report: one CSV folder per (split, method), read back."""
     target = E.shared_folder(spark, "report")
     rows = case_rows(spark, folder).select("split", "method", "unit_id", "tp", "fp", F.struct("fn", "tn").alias("rest"))
-    tables.write_wide_report(rows, target, ("split", "method"), files=2)
+    tables.write_wide_report(rows, target, ("split", "method"))
     back = spark.read.option("header", True).schema("unit_id bigint, tp bigint, fp bigint, rest string, split string, method string").csv(target)
     return back.groupBy("split", "method").agg(F.count("*").alias("rows"), F.sum("tp").alias("tp"))

@@ -68,12 +68,15 @@ def write_table(df: DataFrame, path, kind="parquet", partition_by=()) -> None:
     writer.option("header", True).format(kind).save(path)
 
 
-def write_wide_report(df: DataFrame, path, by=("domain", "split", "mode"), files=1) -> None:
-    """One folder per report slice with ``files`` files in each.
+def write_wide_report(df: DataFrame, path, by=("domain", "split", "mode"), files=None) -> None:
+    """One folder per report slice.
 
-    Rows go to a partition by slice and a hash salt, so a large slice may be
-    spread over several files instead of one task.
+    Slices are rebalanced at run time, so a large slice becomes several tasks
+    and files; ``files`` fixes the number of files of every slice instead.
     """
+    if files is None:
+        flat_columns(df).hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)
+        return
     salt = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in df.columns]), F.lit(files))
     flat = flat_columns(df).withColumn("_salt", salt)
     flat.repartition(*by, "_salt").drop("_salt").write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)

@@ -138,3 +138,12 @@ def test_address_overlap_counts(spark):
     views = spark.createDataFrame([("Main_1-5",), ("main_5-9",), ("main_10",), ("main_12-20",), ("other_3",), ("park",)], "view_id string")
     out = {r.view_id: (r.overlaps, r.cluster) for r in P.address_overlaps(views).collect()}
     assert out == {"Main_1-5": (1, 1), "main_5-9": (1, 1), "main_10": (0, 10), "main_12-20": (0, 12), "other_3": (0, 3)}
+
+
+def test_score_buckets_spread_small_scores_and_keep_order(spark):
+    rng = np.random.default_rng(9)
+    values = np.concatenate([rng.random(400) * 1e-4, rng.random(400), rng.normal(size=200) * 50, [0.0, 1.0, -1.0, 2.0**-10, float("inf"), float("-inf"), float("nan")]]).astype(np.float32)
+    frame = spark.createDataFrame([(float(v),) for v in values], "value float").select("value", R.score_bucket(F.col("value")).alias("b"))
+    rows = sorted(((r.value, r.b) for r in frame.collect()), key=lambda r: (np.isnan(r[0]), r[0]))
+    assert [b for _, b in rows] == sorted(b for _, b in rows)
+    assert len({b for v, b in rows if 0 < v < 1e-4}) > 15

@@ -2,8 +2,6 @@
 
 import io
 import json
-import struct
-import zlib
 
 import numpy as np
 import pytest

@@ -31,6 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -225,8 +226,8 @@ def rare_lists(docs: DataFrame, leaders: DataFrame, count: int, buckets: int, wi
         return pa.table({"_slice": rows.column("_slice"), "_bucket": rows.column("_bucket"), "_levels": pa.array([level[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
 
     def choose(key, rows, marks):
-        levels = marks.filter(pa.compute.is_valid(marks.column("_levels"))).sort_by("_bucket")
-        marks = sorted_lead(marks.filter(pa.compute.is_valid(marks.column("node"))))
+        levels = marks.filter(pc.is_valid(marks.column("_levels"))).sort_by("_bucket")
+        marks = sorted_lead(marks.filter(pc.is_valid(marks.column("node"))))
         grams, at = chosen_rows(rows, marks)
         small, index = np.unique(grams >> np.uint64(64 - 8 * width), return_inverse=True)
         level = np.frombuffer(b"".join(levels.column("_levels").to_pylist()), np.uint8)[index] if len(grams) else np.zeros(0, np.uint8)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlens.operators.ranks import running_totals, score_bucket, unit_bucket
+from driftlens.operators.ranks import running_totals, score_bucket
 from driftlens.session import cut_lineage
 
 # The linear grid has 101 points; the extension is geometric.
@@ -200,52 +200,67 @@ def calibrate_lowest(scores: DataFrame, keys, budgets=(0.01, 0.05)) -> DataFrame
     )
 
 
-def lofo_thresholds(negatives: DataFrame, keys, budgets=(0.01, 0.05), building="building_id", unit="unit_id", buckets=1024, heldout=None) -> DataFrame:
-    """Leave-one-building-out thresholds without copying rows per fold.
+def _first_reaching(queries: DataFrame, curve: DataFrame, keys, total: DataFrame) -> DataFrame:
+    """Adds ``_at``: the first (score, _c) of the rising ``curve`` with _c >= ``_x``.
+
+    Both sides are dealt by parts of the curve's range, so one merge per part
+    answers its queries; what a part cannot answer starts a later part.
+    """
+    keys = list(keys)
+    part = lambda v: F.greatest(F.lit(0), F.least(F.lit(1024), F.floor(v * 1024 / F.col("_buildings")))).cast("int")
+    point = F.struct("score", "_c")
+    placed = curve.join(total, keys).select(*keys, part(F.col("_c")).alias("_b"), F.col("_c").alias("_v"), F.lit(1).alias("_o"), point.alias("_g"))
+    asked = queries.withColumn("_b", part(F.col("_x"))).withColumn("_v", F.col("_x")).withColumn("_o", F.lit(0))
+    onward = Window.partitionBy(*keys, "_b").orderBy("_v", "_o").rowsBetween(0, Window.unboundedFollowing)
+    merged = asked.unionByName(placed, allowMissingColumns=True).withColumn("_here", F.first("_g", ignorenulls=True).over(onward)).filter("_o = 0")
+    starts = placed.groupBy(*keys, "_b").agg(F.min("_g").alias("_s"))
+    spine = total.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(1024))).alias("_b")).join(starts, [*keys, "_b"], "left")
+    # At most 1,025 parts per key.
+    later = spine.withColumn("_later", F.min("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing))).select(*keys, "_b", "_later")
+    return merged.join(later, [*keys, "_b"], "left").withColumn("_at", F.coalesce("_here", "_later")).drop("_b", "_v", "_o", "_g", "_here", "_later")
+
+
+def lofo_thresholds(negatives: DataFrame, keys, budgets=(0.01, 0.05), building="building_id", unit="unit_id", heldout=None) -> DataFrame:
+    """Leave-one-building-out thresholds in work linear in (building, score) rows.
 
     ``negatives`` is (keys, building, unit, score) of known negatives. A
-    building's survival curve gives equal weight to its units; a fold's curve
-    is (sum of all - own) / (B - 1). Curves are compared on bucket ends first;
-    only the scores inside the one bucket where a fold crosses its budget are
-    looked at, so work is buildings x buckets plus one bucket per fold.
+    building's curve gives equal weight to its units; a fold's curve is the sum
+    of all curves without its own. Between a fold's own scores its own share is
+    constant, so the fold finds the stretch where it crosses a budget on its own
+    rows and needs one look-up of the common curve there.
     ``heldout`` may list (keys, building) that have no negatives of their own.
     """
     keys = list(keys)
     hist = negatives.groupBy(*keys, building, unit, F.col("score").cast("float").alias("score")).agg(F.count("*").alias("_n"))
-    per_unit = cut_lineage(negatives.groupBy(*keys, building, unit).agg(F.count("*").alias("_un")))
+    per_unit = cut_lineage(hist.groupBy(*keys, building, unit).agg(F.sum("_n").alias("_un")))
     per_building = per_unit.groupBy(*keys, building).agg(F.count("*").alias("_units"))
     weight = per_unit.join(per_building, [*keys, building]).select(*keys, building, unit, (1 / (F.col("_un") * F.col("_units"))).alias("_w"))
-    mass = hist.join(weight, [*keys, building, unit]).groupBy(*keys, building, "score").agg(F.sum(F.col("_n") * F.col("_w")).alias("_m"), F.sum("_n").alias("_c"))
-    # Buildings x distinct scores: small next to the pixels, and read three times.
-    mass = cut_lineage(mass.withColumn("_b", unit_bucket(F.col("score"), buckets)))
-    own = mass.groupBy(*keys, building, "_b").agg(F.sum("_m").alias("_m"))
-    spine = per_building.select(*keys, building).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets))))
-    w = Window.partitionBy(*keys, building).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    ends = spine.join(own, [*keys, building, "_b"], "left").withColumn("_below", F.sum(F.coalesce("_m", F.lit(0.0))).over(w)).select(*keys, building, "_b", (1 - F.col("_below")).alias("_own"))
-    everyone = ends.groupBy(*keys, "_b").agg(F.sum("_own").alias("_sum"), F.count("*").alias("_buildings"))
-    folds = per_building.select(*keys, building)
+    mass = hist.join(weight, [*keys, building, unit]).groupBy(*keys, building, "score").agg(F.sum(F.col("_n") * F.col("_w")).alias("_m"))
+    mass = cut_lineage(mass)
+    together = mass.groupBy(*keys, "score").agg(F.sum("_m").alias("_m"), F.count("*").alias("_holders"))
+    curve = cut_lineage(running_totals(together, keys, score_bucket(F.col("score")), ["score"], ["_m"]).select(*keys, "score", "_holders", F.col("cum__m").alias("_c")))
+    own = running_totals(mass, [*keys, building], score_bucket(F.col("score")), ["score"], ["_m"]).select(*keys, building, "score", F.col("cum__m").alias("_own"))
+    total = per_building.groupBy(*keys).agg(F.count("*").alias("_buildings"))
+    folds = per_building.select(*keys, building, F.lit(1).alias("_has"))
     if heldout is not None:
-        folds = folds.unionByName(heldout.select(*keys, building)).distinct()
-    fold = folds.join(everyone, keys).join(ends, [*keys, building, "_b"], "left")
-    train = F.col("_buildings") - F.col("_own").isNotNull().cast("int")
-    fold = fold.withColumn("_train", train).withColumn("_fpr", F.when(train > 0, (F.col("_sum") - F.coalesce("_own", F.lit(0.0))) / train))
-    goal = F.explode(F.array(*[F.lit(float(b)) for b in budgets]))
-    fits = fold.withColumn("goal", goal).groupBy(*keys, building, "goal", "_train").agg(
-        F.min(F.when(F.col("_fpr") <= F.col("goal") + TOLERANCE, F.col("_b"))).alias("_b")
+        folds = folds.unionByName(heldout.select(*keys, building).distinct().join(folds, [*keys, building], "left_anti").withColumn("_has", F.lit(0)))
+    goals = F.explode(F.array(*[F.lit(float(b)) for b in budgets]))
+    folds = folds.join(total, keys).withColumn("_train", F.col("_buildings") - F.col("_has")).withColumn("goal", goals)
+    folds = folds.withColumn("_need", (1 - F.col("goal") - TOLERANCE) * F.col("_train"))
+    steps = own.join(curve, [*keys, "score"]).withColumn("_d", F.col("_c") - F.col("_own"))
+    crossed = steps.join(folds.select(*keys, building, "goal", "_need"), [*keys, building]).groupBy(*keys, building, "goal").agg(
+        F.max(F.when(F.col("_d") < F.col("_need"), F.col("_own"))).alias("_base"), F.min(F.when(F.col("_d") >= F.col("_need"), F.struct("score", "_d", "_holders"))).alias("_next")
     )
-    before = fold.select(*keys, building, (F.col("_b") + 1).alias("_b"), F.col("_fpr").alias("_start"))
-    fits = fits.join(before, [*keys, building, "_b"], "left").withColumn("_start", F.coalesce("_start", F.lit(1.0)))
-    values = mass.groupBy(*keys, "_b", "score").agg(F.sum("_m").alias("_tm"), F.sum("_c").alias("_tc"))
-    inside = fits.join(values, [*keys, "_b"], "left").join(mass.select(*keys, building, "score", F.col("_m").alias("_om"), F.col("_c").alias("_oc")), [*keys, building, "score"], "left")
-    step = Window.partitionBy(*keys, building, "goal").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    others = F.col("_tm") - F.coalesce("_om", F.lit(0.0))
-    inside = inside.withColumn("_at", F.col("_start") - F.sum(others).over(step) / F.col("_train"))
-    usable = (F.col("_tc") > F.coalesce("_oc", F.lit(0))) & (F.col("_at") <= F.col("goal") + TOLERANCE)
-    return inside.groupBy(*keys, building, "goal", F.col("_train").alias("train_buildings")).agg(
-        F.min(F.when(usable, F.struct("score", "_at"))).alias("_c")
-    ).select(
-        *keys, building, "goal", "train_buildings", F.col("_c.score").cast("double").alias("threshold"), F.greatest(F.lit(0.0), F.col("_c._at")).alias("achieved_fpr"),
-        F.when(F.col("_c").isNull(), "unsupported").otherwise("calibrated").alias("status"),
+    queries = folds.join(crossed, [*keys, building, "goal"], "left").withColumn("_base", F.coalesce("_base", F.lit(0.0))).withColumn("_x", F.col("_need") + F.col("_base"))
+    found = _first_reaching(queries, curve, keys, total)
+    # The crossing lies at an own score only where another building has it too.
+    shared = F.coalesce((F.col("_next.score") <= F.col("_at.score")) & (F.col("_next._holders") > 1), F.lit(False))
+    score = F.when(shared, F.col("_next.score")).otherwise(F.col("_at.score"))
+    rate = 1 - F.when(shared, F.col("_next._d")).otherwise(F.col("_at._c") - F.col("_base")) / F.col("_train")
+    usable = (F.col("_train") > 0) & score.isNotNull()
+    return found.select(
+        *keys, building, "goal", F.col("_train").cast("long").alias("train_buildings"), F.when(usable, score).cast("double").alias("threshold"),
+        F.when(usable, F.greatest(F.lit(0.0), rate)).alias("achieved_fpr"), F.when(usable, "calibrated").otherwise("unsupported").alias("status"),
     )
 
 

@@ -102,7 +102,7 @@ def test_leave_one_out_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [("m", f"b{rng.integers(5)}", f"u{rng.integers(12)}", float(np.float32(rng.integers(0, 60) / 60))) for _ in range(900)]
     rows = [(m, b, b + u, s) for m, b, u, s in rows]
-    got = {r.building_id: (r.threshold, r.achieved_fpr) for r in C.lofo_thresholds(spark.createDataFrame(rows, "method string, building_id string, unit_id string, score double"), ["method"], (0.2,), buckets=16).collect()}
+    got = {r.building_id: (r.threshold, r.achieved_fpr) for r in C.lofo_thresholds(spark.createDataFrame(rows, "method string, building_id string, unit_id string, score double"), ["method"], (0.2,)).collect()}
     for held in {r[1] for r in rows}:
         train = [r for r in rows if r[1] != held]
         best = None

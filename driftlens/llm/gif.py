@@ -30,6 +30,7 @@ def code_widths(n: int, first: int = 9, clear: int = CLEAR) -> np.ndarray:
 
 
 WIDTHS = code_widths(FULL + 2)
+ENDS = np.cumsum(WIDTHS)
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -64,66 +65,60 @@ def lzw_decode(data: bytes, size: int) -> bytes:
     """Symbols of an LZW stream with ``size``-bit symbols.
 
     Widths follow from the number of codes since the last clear code, so the
-    codes of a run are cut out at once. Table entry k is the k-th string of the
-    run with one more symbol, which is a stretch of the output itself.
+    codes of a run are cut out at once, in steps until the next clear code.
     """
     clear = 1 << size
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    total = 8 * len(data)
+    cells = np.frombuffer(data + bytes(3), np.uint8).astype(np.int32)
     widths = WIDTHS if size == 8 else code_widths(FULL + 2, size + 1, clear)
-    ends = np.cumsum(widths)
-    out, at = bytearray(), 0
-    powers = 1 << np.arange(12)
-    while at + size + 1 <= len(bits):
-        n, codes, done = int(np.searchsorted(ends, len(bits) - at, "right")), None, 0
-        parts = []
-        while True:
+    ends = ENDS if size == 8 else np.cumsum(widths)
+    singles = [bytes([k]) for k in range(clear)] + [b"", b""]
+    out: list[bytes] = []
+    at = 0
+    while at + size + 1 <= total:
+        n, parts, done, over = int(np.searchsorted(ends, total - at, "right")), [], 0, True
+        more = max(0, total - at - int(ends[-1])) // 12 if n == len(ends) else 0
+        after = total
+        while done < n + more:
             if done < n:
                 some = slice(done, min(n, done + 1024))
-                begin = at + ends[some] - widths[some]
+                begin, wide = at + ends[some] - widths[some], widths[some]
             else:
-                left = (len(bits) - at - int(ends[-1])) // 12 if n == len(ends) else 0
-                begin = at + int(ends[-1]) + 12 * (done - n) + 12 * np.arange(max(0, min(1024, left - (done - n))))
-                some = None
-            if not len(begin):
-                break
-            wide = widths[some] if some else np.full(len(begin), 12)
-            index = np.minimum(begin[:, None] + np.arange(12), len(bits) - 1)
-            values = (bits[index] * (powers * (np.arange(12) < wide[:, None]))).sum(1)
+                begin = at + int(ends[-1]) + 12 * np.arange(done - n, min(more, done - n + 1024))
+                wide = np.full(len(begin), 12)
+            place = begin >> 3
+            values = (cells[place] | cells[place + 1] << 8 | cells[place + 2] << 16) >> (begin & 7) & ((1 << wide) - 1)
             done += len(values)
             stop = np.flatnonzero((values == clear) | (values == clear + 1))
             if len(stop):
                 parts.append(values[: stop[0]])
-                codes, over = np.concatenate(parts), values[stop[0]] == clear + 1
-                at = int(begin[stop[0]] + wide[stop[0]])
+                over = values[stop[0]] == clear + 1
+                after = int(begin[stop[0]] + wide[stop[0]])
                 break
             parts.append(values)
-        if codes is None:
-            codes, over = np.concatenate([*parts, []]).astype(np.int64), True
-        unpack_run(codes.tolist(), clear, out)
+        unpack_run(np.concatenate(parts).tolist() if parts else [], singles, out)
+        at = after
         if over:
             break
-    return bytes(out)
-
-
-def unpack_run(codes: list[int], clear: int, out: bytearray) -> None:
-    starts: list[int] = []
-    begun, base = starts.append, clear + 2
-    end = len(out)
-    for code in codes:
-        if code < clear:
-            out.append(code)
-            begun(end)
-            end += 1
-            continue
-        k = code - base
-        first = starts[k]
-        past = (starts[k + 1] if k + 1 < len(starts) else end) + 1
-        if past > end:
-            out += out[first:end] + out[first: first + 1]
-        else:
-            out += out[first:past]
-        begun(end)
-        end += past - first
+    return b"".join(out)
+
+
+def unpack_run(codes: list[int], singles: list[bytes], out: list[bytes]) -> None:
+    """Append the strings of the codes between two clear codes."""
+    if not codes:
+        return
+    table = singles[:]
+    add, learn = out.append, table.append
+    last = table[codes[0]]
+    add(last)
+    known, room = len(table), FULL - len(table)
+    for code in codes[1: room + 1]:
+        entry = table[code] if code < known else last + last[:1]
+        learn(last + entry[:1])
+        known += 1
+        add(entry)
+        last = entry
+    out += [table[code] for code in codes[room + 1:]]
 
 
 def write_gif(payload: bytes) -> bytes:
@@ -199,10 +194,13 @@ def read_gif(data: bytes):
             kept = canvas.copy() if disposal == 3 else None
             area = canvas[y: y + h, x: x + w]
             seen = samples[: area.shape[0], : area.shape[1]]
-            solid = seen != clear if clear is not None else np.ones(seen.shape, bool)
             full = np.zeros((256, 4), np.uint8)
             full[: len(colours), :3], full[: len(colours), 3] = colours, 255
-            area[solid] = full[seen[solid]]
+            if clear is None:
+                area[:] = full[seen]
+            else:
+                solid = seen != clear
+                area[solid] = full[seen[solid]]
             yield clock, delay, x, y, samples, canvas
             clock += delay
             if disposal == 2:

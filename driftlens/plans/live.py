@@ -56,11 +56,12 @@ def change_memory(spark, folder):
     return tidy(out, ("score",))
 
 
-def event_stream(spark, folder, view):
-    """A file stream over rows the batch side has prepared."""
+def event_stream(spark, folder, view, batches=None):
+    """A file stream over rows the batch side has prepared, in one or several micro-batches."""
     source = E.shared_folder(spark, "feed")
-    view.write.parquet(source)
-    return spark.readStream.schema(view.schema).parquet(source)
+    (view.repartition(2 * batches) if batches else view).write.parquet(source)
+    reader = spark.readStream.schema(view.schema)
+    return (reader.option("maxFilesPerTrigger", 2) if batches else reader).parquet(source)
 
 
 @register("change_memory_stream", OBS_SQL)
@@ -101,11 +102,11 @@ def latest_unit_status(spark, folder):
 
 @register("latest_unit_status_stream", LATEST)
 def latest_unit_status_stream(spark, folder):
-    """Duplicated deliveries are dropped within the watermark, then the latest record wins."""
+    """Several micro-batches; duplicated deliveries count once however late they come, then the latest record wins."""
     log = run_log(spark, folder)
-    feed = event_stream(spark, folder, log.unionByName(log.filter("event_id % 5 = 0")))
-    data = E.run_partials(E.deduplicated(feed, delay="40 days"), E.shared_folder(spark, "status"), E.latest_status)
-    return E.merge_latest(spark.read.parquet(data))
+    feed = event_stream(spark, folder, log.unionByName(log.filter("event_id % 5 = 0")), batches=3)
+    data = E.run_partials(feed, E.shared_folder(spark, "status"), E.distinct_records)
+    return E.latest_status(E.distinct_records(spark.read.parquet(data)))
 
 
 @register("log_problems", """WITH l AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -222,7 +223,7 @@ def live_metrics_gated(spark, folder):
 @register("live_metrics_stream", LIVE)
 def live_metrics_stream(spark, folder):
     """TEST pixels arrive on a stream; each micro-batch adds its counts."""
-    feed = event_stream(spark, folder, test_pixels(spark, folder))
+    feed = event_stream(spark, folder, test_pixels(spark, folder), batches=3)
     frozen = cut_lineage(frozen_threshold(spark, folder))
     data = E.run_partials(feed, E.shared_folder(spark, "live"), lambda batch: E.live_counts(batch, frozen))
     return E.live_totals(spark.read.parquet(data))

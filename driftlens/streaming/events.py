@@ -55,9 +55,12 @@ def merge_latest(parts: DataFrame, key="unit_id", order="sequence") -> DataFrame
     )
 
 
-def deduplicated(log: DataFrame, identity="event_id", time="ts", delay="1 hour") -> DataFrame:
-    """Drop repeated event ids that arrive within the watermark."""
-    return log.withWatermark(time, delay).dropDuplicatesWithinWatermark([identity])
+def distinct_records(log: DataFrame, key="unit_id", order="sequence") -> DataFrame:
+    """One row per record whatever was delivered twice; applied per micro-batch and again over all of them.
+
+    Nothing is dropped for being late, which a watermark would do.
+    """
+    return log.select(key, order, "status").distinct()
 
 
 def log_problems(log: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from driftlens.llm.components import components
 from driftlens.llm.repeats import BUCKET_BYTES, SLICE_BYTES, Rolling, bucket_of, mixed, narrow, widened
 from driftlens.llm.suffixtree import words_of
 
-GRAM, PERCENT, BLOCK = 5, 80, 800
+GRAM, PERCENT, BLOCK, HUBS = 5, 80, 400, 4
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -102,35 +102,57 @@ class Search:
         self.posts = owner[by_token]
         self.at = np.searchsorted(flat[by_token], np.arange(len(tokens) + 1))
         self.tokens = np.split(flat, np.cumsum(self.sizes)[:-1])
-        self.root = list(range(len(sets)))
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = i = self.root[self.root[i]]
-        return i
 
     def links(self) -> list[tuple[int, int]]:
-        """Links, as places in the given order, that join documents not yet joined here."""
-        out = []
+        """Links, as places in the given order, that join documents not yet joined here.
+
+        A document first meets the hubs of the largest groups; once it is in a
+        group, the other members are left out of its lists, as a link to them
+        would join nothing new.
+        """
+        out, members, hubs = [], {}, {}
+        self.label = np.arange(len(self.sets))
+
+        def join(i, j):
+            a, b = int(self.label[i]), int(self.label[j])
+            if a == b:
+                return
+            out.append((int(self.order[j]), int(self.order[i])))
+            few, many = sorted((members.pop(a, [i]), members.pop(b, [j])), key=len)
+            root = int(self.label[many[0]])
+            self.label[few] = root
+            members[root] = many + few
+            hubs[root] = hubs.get(b, hubs.get(a, j))
+
         for i in range(len(self.sets)):
+            for root in sorted(members, key=lambda r: -len(members[r]))[:HUBS] if len(members) else ():
+                if root in members and self.linked(i, hubs[root]):
+                    join(i, hubs[root])
             for j in self.matches(i):
-                a, b = self.find(i), self.find(j)
-                if a != b:
-                    self.root[a] = b
-                    out.append((int(self.order[j]), int(self.order[i])))
+                join(i, j)
         return out
 
+    def linked(self, i: int, j: int) -> bool:
+        n, m = int(self.sizes[i]), int(self.sizes[j])
+        if 100 * min(n, m) < PERCENT * max(n, m):
+            return False
+        return len(np.intersect1d(self.tokens[i], self.tokens[j], assume_unique=True)) >= least_common(n, m)
+
     def matches(self, i: int):
-        """Earlier documents that link with document i."""
+        """Earlier documents of other groups that link with document i."""
         n = int(self.sizes[i])
         need = -(-PERCENT * n // 100)
         low = int(np.searchsorted(self.sizes, need))
+        joined = self.label[i] != i or bool((self.label[:i] == i).any())
         lists = []
         for t in self.tokens[i].tolist():
             own = self.posts[self.at[t]: self.at[t + 1]]
             a, b = np.searchsorted(own, (low, i))
-            if a < b:
-                lists.append(own[a:b])
+            own = own[a:b]
+            if joined:
+                own = own[self.label[own] != self.label[i]]
+            if len(own):
+                lists.append(own)
         if len(lists) < need:
             return []
         lists.sort(key=len)
@@ -308,7 +330,9 @@ def search(docs: DataFrame, members: DataFrame, count: int) -> DataFrame:
         return pa.table({"a": pa.array([nodes[a] for a, _ in pairs], pa.binary()), "b": pa.array([nodes[b] for _, b in pairs], pa.binary())})
 
     sets = dealt.groupBy("_slice").cogroup(asked.groupBy("_slice")).applyInArrow(fetch, "cluster binary, task string, side int, node binary, grams binary")
-    return written(sets.groupBy("cluster", "task").applyInArrow(link, "a binary, b binary"), "links")
+    # A task's work is not in proportion to its bytes, so small partitions must not be put together.
+    spread = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(sets.repartition(spread, "cluster", "task").groupBy("cluster", "task").applyInArrow(link, "a binary, b binary"), "links")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:

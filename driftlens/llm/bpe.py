@@ -25,7 +25,7 @@ from driftlens.llm.common import arrow_schema, slices, table
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pieces remembered per generation and Python worker, and the longest piece worth remembering.
-REMEMBERED, LONGEST = 300_000, 40
+REMEMBERED, LONGEST = 200_000, 40
 
 
 def byte_letters() -> dict[str, int]:

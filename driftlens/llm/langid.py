@@ -96,18 +96,19 @@ class Parsers:
         code = {b: k + 1 for k, b in enumerate(known)}
         for n in self.names:
             moves = suffix_automaton(folded[n])
-            dense = np.full((len(moves), self.width), -1, np.int64)
+            dense = np.full((len(moves), self.width), -1, np.int32)
             for state, row in enumerate(moves):
                 for b, to in row.items():
                     dense[state, code[b]] = to
-            root = np.where(dense[0] >= 0, dense[0], 0)
-            dense = np.where(dense >= 0, (dense + base) * 2, (root + base) * 2 + 1)
-            dense[0] = (root + base) * 2 + 1
+            root = np.where(dense[0] >= 0, dense[0], 0).astype(np.int32)
+            ends = (root + np.int32(base)) * np.int32(2) + np.int32(1)
+            dense = np.where(dense >= 0, (dense + np.int32(base)) * np.int32(2), ends)
+            dense[0] = ends
             tables.append(dense)
             self.roots.append(base)
             self.bits.append(math.log2(max(2, len(folded[n]))))
             base += len(moves)
-        self.table = np.concatenate(tables).astype(np.int32).reshape(-1) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).astype(np.int32, copy=False).reshape(-1) if tables else np.zeros(0, np.int32)
 
     def costs(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Estimated bits per byte, one row per text and one column per language."""

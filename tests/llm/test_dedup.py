@@ -128,3 +128,24 @@ def test_recall_on_the_table(spark):
     want = int((x @ x.T >= 0.9).sum()) - len(x)
     got = itq.op8_itq(spark, folder).collect()
     assert len(got) == len(rows) and 0.9 * want <= sum(r["n_links"] for r in got) <= want
+
+
+def turned(x, cosine, seed):
+    """Unit vectors and partners at the given cosine."""
+    x = itq.unit(x)
+    way = np.random.default_rng(seed).normal(size=x.shape)
+    way -= (way * x).sum(1, keepdims=True) * x
+    return x, cosine * x + np.sqrt(1 - cosine**2) * way / np.linalg.norm(way, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("width", [17, 19])
+def test_isolated_pairs_at_the_widths_of_millions_of_rows(spark, monkeypatch, width):
+    n = 1000
+    monkeypatch.setattr(itq, "FILL", n / 2**width)
+    monkeypatch.setattr(itq, "PART", n * 3 / 2**6)
+    cosine = np.random.default_rng(2).uniform(0.901, 0.95, (n // 2, 1))
+    x, y = turned(np.random.default_rng(4).normal(size=(n // 2, 64)), cosine, 5)
+    rows = [(2 * k + j, v[k].astype(np.float32).tolist()) for k in range(n // 2) for j, v in enumerate((x, y))]
+    got = {r["vec_id"]: r for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert len(got) == n and all(r["n_links"] <= 1 and r["component_id"] in (i, i - i % 2) for i, r in got.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.98 * n

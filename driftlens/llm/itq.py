@@ -20,8 +20,10 @@ are cut into blocks of queries against blocks of rows, so no bucket is capped
 and none lands in one task. Tasks return link counts and spanning links, not pairs.
 
 NULL vectors, zero vectors and vectors with NULL or non-finite components link
-with nothing. Vectors of different length never link. Rotations are learned
-on ``SAMPLE`` vectors with the smallest id hashes; every vector is indexed.
+with nothing. Vectors of different length never link. Rows without an id take
+part: a component is named by its least id, or NULL when it has none, and then
+one of its rows stays. Rotations are learned on the ``SAMPLE`` vectors with the
+smallest hashes; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -236,13 +238,17 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one per input row."""
     rows = classes_of(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")))
-    usable = rows.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull())
-    grouped = usable.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")).withColumn("dim", F.size("embedding"))
+    # Rows without an id get a number that tells them apart.
+    unnamed = written(rows.filter(F.col("vec_id").isNull()).withColumn("_row", F.monotonically_increasing_id()), "unnamed")
+    rows = rows.filter(F.col("vec_id").isNotNull()).withColumn("_row", F.lit(None).cast("long")).unionByName(unnamed)
+    usable = rows.filter(F.col("embedding").isNotNull())
+    grouped = usable.groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.min("_row").alias("least_row"), F.count("*").alias("weight"))
+    grouped = grouped.withColumn("dim", F.size("embedding")).withColumn("node", F.monotonically_increasing_id())
     grouped = written(grouped, "classes")
     totals = {r["dim"]: r["n"] for r in grouped.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     plans = {}
     for dim, n in totals.items():
-        sample = grouped.filter(F.col("dim") == dim).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
+        sample = grouped.filter(F.col("dim") == dim).orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).select("embedding").toArrow()
         plans[dim] = choose(matrix(sample.column("embedding")), n)
     codes = written(coded(grouped, plans), "codes")
     counted = None
@@ -250,17 +256,21 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         got = search(codes.filter(F.col("dim") == dim), plan)
         counted = got if counted is None else counted.unionByName(got)
     if counted is None:
-        own = F.col("vec_id")
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), own.alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     counted = written(counted, "links")
     sums = counted.filter(F.col("links") > 0).groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(counted.filter(F.col("least").isNotNull()).select(F.col("node").alias("a"), F.col("least").alias("b")))
-    named = grouped.select("node", "weight", F.col("embedding").alias("_e")).join(sums, "node", "left")
+    named = grouped.select("node", "weight", "least_id", "least_row", F.col("embedding").alias("_e")).join(sums, "node", "left")
     named = named.join(joined.select(F.col("a").alias("_a"), F.col("b").alias("_b")), F.col("node") == F.col("_a"), "left")
-    named = named.select("_e", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("_b", "node").alias("component_id"))
-    out = rows.join(named, (F.col("embedding") == F.col("_e")) & F.col("vec_id").isNotNull(), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    named = named.withColumn("root", F.coalesce("_b", "node"))
+    # Written, so that the join sees plain rows and can split a large component.
+    ids = written(named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("least_row").alias("first")), "ids")
+    named = named.join(ids, "root").select("_e", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", "first")
+    out = rows.join(named, F.col("embedding") == F.col("_e"), "left")
+    alone = F.col("_e").isNull()
+    component = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
+    first = F.when(F.col("component_id").isNull(), F.col("_row") == F.col("first")).otherwise(F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (alone | first).alias("kept"))
 
 
 def search(codes: DataFrame, plan: Plan) -> DataFrame:

@@ -149,3 +149,13 @@ def test_isolated_pairs_at_the_widths_of_millions_of_rows(spark, monkeypatch, wi
     got = {r["vec_id"]: r for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert len(got) == n and all(r["n_links"] <= 1 and r["component_id"] in (i, i - i % 2) for i, r in got.items())
     assert sum(r["n_links"] for r in got.values()) >= 0.98 * n
+
+
+def test_vectors_without_an_id_link_like_others(spark):
+    """1 and 2 are linked only through a vector without an id; two more without ids are alone with each other."""
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    rows = [(1, at(0)), (None, at(20)), (2, at(40)), (None, at(120)), (None, at(120)), (None, at(125)), (3, at(200)), (None, at(200)), (None, at(270)), (None, None)]
+    got = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    want = [(1, 1, 1, True), (None, 2, 1, False), (2, 1, 1, False), (3, 1, 3, True), (None, 1, 3, False), (None, 0, None, True), (None, 0, None, True)]
+    want += [(None, 2, None, kept) for kept in (True, False, False)]
+    assert cases.plain(map(tuple, got)) == cases.plain(want)

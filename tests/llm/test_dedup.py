@@ -159,3 +159,18 @@ def test_vectors_without_an_id_link_like_others(spark):
     want = [(1, 1, 1, True), (None, 2, 1, False), (2, 1, 1, False), (3, 1, 3, True), (None, 1, 3, False), (None, 0, None, True), (None, 0, None, True)]
     want += [(None, 2, None, kept) for kept in (True, False, False)]
     assert cases.plain(map(tuple, got)) == cases.plain(want)
+
+
+@pytest.mark.parametrize("n", [2_000, 80_000, 1_000_000, 5_000_000, 20_000_000, 100_000_000])
+def test_recall_of_planted_pairs_at_every_size(n):
+    """Tables chosen for ``n`` rows find pairs that the choice did not see; ``n`` only sets widths and table counts."""
+    sample = np.random.default_rng(6).normal(size=(2000, 64)).astype(np.float32)
+    plan = itq.choose(sample, n)
+    assert plan.width == max(1, round(np.log2(n / itq.FILL))) and plan.tables >= 64 // plan.width
+    for cosine in (0.9, 0.92, 0.95):
+        one, other = (itq.encode(v, plan.models) for v in turned(sample, cosine, 8))
+        found = np.zeros(len(sample), bool)
+        for t in range(plan.tables):
+            found |= itq.meet(itq.substring(one, t, plan), itq.substring(other, t, plan), plan)
+        found &= (np.bitwise_count(one[:, :2] ^ other[:, :2]) <= plan.radius).all(1)
+        assert found.mean() >= 0.98

@@ -26,7 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names, docs = docs.columns, plain(docs)
     samples = langid.samples_of(docs.filter(crc_class("doc_id", 4) != 2))
     known = langid.predict(docs, samples, tuple(docs.columns))
-    return known.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns).toDF(*names)
+    # Without labelled texts, or with a label of this name, texts with letters can be predicted unknown too.
+    keep = (F.col("lang_pred") != langid.UNKNOWN) | F.col("text").rlike(r"\p{L}")
+    return known.filter(keep).select(*docs.columns).toDF(*names)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import importlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from driftlens.llm import bpe, mixing
@@ -32,6 +33,13 @@ def test_language_drops_only_texts_without_letters(steps):
     assert cases.plain(texts(steps[1])) == cases.plain(want)
 
 
+def test_texts_with_letters_stay_when_no_language_is_labelled(spark, steps):
+    bare = steps[0].withColumn("lang", F.lit(None).cast("string"))
+    want = [(d, t) for d, t in texts(bare) if t and any(c.isalpha() for c in t)]
+    got = corpus_pipeline.language(spark, bare, "")
+    assert got.columns == bare.columns and want and cases.plain(texts(got)) == cases.plain(want)
+
+
 def test_one_document_of_each_group(steps):
     rows = texts(steps[1])
     _, owner = cases.groups(rows)

@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from driftlens.llm import bpe, chat, gif, itq, jaccard, langid, lpf, mixing, suffixtree, toxicity
+from driftlens.llm import bpe, chat, gif, itq, jaccard, langid, lpf, merkle, mixing, suffixtree, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_itq": itq.op8_itq,
     "op9_language": langid.op9_language,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_merkle": merkle.op11_merkle,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_merkle": merkle.MERKLE_SQL}

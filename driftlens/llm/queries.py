@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from driftlens.llm import bpe, chat, gif, itq, jaccard, langid, lpf, merkle, mixing, suffixtree, toxicity
+from driftlens.llm import alignment, bpe, chat, gif, itq, jaccard, langid, lpf, merkle, mixing, packing, suffixtree, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,5 +14,7 @@ QUERIES = {
     "op9_language": langid.op9_language,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_merkle": merkle.op11_merkle,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_packing": packing.op13_packing,
 }
 SQL: dict[str, str] = {"op11_merkle": merkle.MERKLE_SQL}

@@ -13,7 +13,7 @@ from driftlens.operators.ranks import bucketed_rank
 from driftlens.plans.fixtures import PX, UNITS, frame_grid, rounded, table, units, with_sql
 from driftlens.plans.metrics import case_rows, tidy
 from driftlens.plans.tuning import GRID101, LONG, long_scores
-from driftlens.session import cut_lineage
+from driftlens.session import cut_lineage, stored
 from driftlens.sources import maps, tables
 from driftlens.streaming import events as E
 from driftlens.streaming import memory as M
@@ -31,6 +31,9 @@ def register(name, sql=None):
     return keep
 
 
+CELL = ["sequence_id", "cell"]
+
+
 def observations(spark, folder):
     """Event values per (user, event type) with a dense frame index by time."""
     e = table(spark, folder, "events").select(
@@ -41,12 +44,19 @@ def observations(spark, folder):
     return ranked.withColumn("frame", F.col("frame") - 1)
 
 
-OBS = """obs AS (SELECT user_id AS sequence_id, event_type AS cell, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS frame, CASE WHEN event_id % 13 <> 0 THEN value END AS value FROM events),
-  seen AS (SELECT *, row_number() OVER w AS n, abs(value - lag(value, 1) OVER w) AS d1, abs(value - lag(value, 2) OVER w) AS d2, abs(value - lag(value, 3) OVER w) AS d3 FROM obs WHERE value IS NOT NULL WINDOW w AS (PARTITION BY sequence_id, cell ORDER BY frame)),
+_OBS = """obs AS (SELECT user_id AS sequence_id, event_type AS cell, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS frame, CASE WHEN event_id % 13 <> 0 THEN value END AS value FROM events)"""
+
+
+def walk_sql(source="obs"):
+    """The sequential rule over rows (sequence_id, cell, frame, value) of ``source``; needs WITH RECURSIVE."""
+    return f"""seen AS (SELECT *, row_number() OVER w AS n, abs(value - lag(value, 1) OVER w) AS d1, abs(value - lag(value, 2) OVER w) AS d2, abs(value - lag(value, 3) OVER w) AS d3
+    FROM {source} WHERE value IS NOT NULL WINDOW w AS (PARTITION BY sequence_id, cell ORDER BY frame)),
   walk AS (SELECT sequence_id, cell, frame, value, n, CAST(NULL AS DOUBLE) AS score, 0 AS refs, 1 AS state, frame AS episode_start FROM seen WHERE n = 1
     UNION ALL SELECT s.sequence_id, s.cell, s.frame, s.value, s.n, m.score, w.state, CASE WHEN m.score > 30 THEN 1 ELSE least(w.state + 1, 3) END, CASE WHEN m.score > 30 THEN s.frame ELSE w.episode_start END
     FROM walk w JOIN seen s ON s.sequence_id = w.sequence_id AND s.cell = w.cell AND s.n = w.n + 1, LATERAL (SELECT CASE w.state WHEN 1 THEN s.d1 WHEN 2 THEN least(s.d1, s.d2) ELSE least(s.d1, s.d2, s.d3) END AS score) m)"""
-OBS_SQL = with_sql("RECURSIVE " + OBS, body="SELECT sequence_id, cell, frame, value, round(score, 9) AS score, refs = 0 AS initialised, coalesce(score > 30, false) AS changed, refs AS \"references\", episode_start FROM walk")
+
+
+OBS_SQL = with_sql("RECURSIVE " + _OBS, walk_sql(), body="""SELECT sequence_id, cell, frame, value, round(score, 9) AS score, refs = 0 AS initialised, coalesce(score > 30, false) AS changed, refs AS "references", episode_start FROM walk""")
 
 
 @register("change_memory", OBS_SQL)
@@ -64,11 +74,20 @@ def event_stream(spark, folder, view, batches=None):
     return (reader.option("maxFilesPerTrigger", 2) if batches else reader).parquet(source)
 
 
+def fed(spark, parts, files=2):
+    """A file stream that takes one of the given parts per micro-batch; ``files`` is the parallelism of a batch."""
+    source = E.shared_folder(spark, "feed")
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(source)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(source)
+
+
 @register("change_memory_stream", OBS_SQL)
 def change_memory_stream(spark, folder):
-    """The stateful stream over the same observations; equal to the batch form."""
-    feed = event_stream(spark, folder, observations(spark, folder).select("sequence_id", "cell", "frame", "value"))
-    data = E.run_to_end(M.memory_stream(feed, 3, 30.0), E.shared_folder(spark, "memory"))
+    """The stateful stream over the same observations in three micro-batches; equal to the batch form."""
+    view = observations(spark, folder).select(*CELL, "frame", "value")
+    feed = fed(spark, [view.filter(part) for part in ("frame < 4", "frame BETWEEN 4 AND 8", "frame > 8")])
+    data = E.run_to_end(M.memory_stream(feed, CELL, 3, 30.0), E.shared_folder(spark, "memory"))
     return tidy(spark.read.parquet(data).filter("NOT late").drop("late"), ("score",))
 
 
@@ -80,12 +99,99 @@ def change_memory_resumed(spark, folder):
     # The first run sees an early share of every cell, the second one the rest.
     view.filter("frame < 6").write.mode("append").parquet(source)
     feed = lambda: spark.readStream.schema(view.schema).parquet(source)
-    E.run_to_end(M.memory_stream(feed(), 3, 30.0), sink)
+    E.run_to_end(M.memory_stream(feed(), CELL, 3, 30.0), sink)
     view.filter("frame >= 6").write.mode("append").parquet(source)
-    data = E.run_to_end(M.memory_stream(feed(), 3, 30.0), sink)
+    data = E.run_to_end(M.memory_stream(feed(), CELL, 3, 30.0), sink)
     return tidy(spark.read.parquet(data).filter("NOT late").drop("late"), ("score",))
 
 
+@register("change_memory_restored", OBS_SQL)
+def change_memory_restored(spark, folder):
+    """A new query with a checkpoint of its own continues from the memories that another one exported."""
+    view = observations(spark, folder).select(*CELL, "frame", "value")
+    first, second = E.shared_folder(spark, "memory"), E.shared_folder(spark, "memory")
+    early = E.run_to_end(M.memory_stream(fed(spark, [view.filter("frame < 3"), view.filter("frame BETWEEN 3 AND 6")]), CELL, 3, 30.0), first)
+    saved = stored(M.exported_memory(spark, first + "/state"), "memories")
+    rest = E.run_to_end(M.memory_stream(fed(spark, [view.filter("frame > 6")]), CELL, 3, 30.0, initial=saved), second)
+    return tidy(spark.read.parquet(early, rest).filter("NOT late").drop("late"), ("score",))
+
+
+def told_memory(states):
+    """Memories with their lists written out."""
+    return states.select(*CELL, F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"), rounded(F.aggregate("vals", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), "episode_start", "last_frame")
+
+
+_MEMORY = """kept AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY sequence_id, cell ORDER BY n DESC) <= 3 AND frame >= first_value(episode_start) OVER (PARTITION BY sequence_id, cell ORDER BY n DESC)),
+  memory AS (SELECT sequence_id, cell, list(frame ORDER BY n) AS frames, list(value ORDER BY n) AS vals, max_by(episode_start, n) AS episode_start, max(frame) AS last_frame FROM kept GROUP BY 1, 2)"""
+
+
+@register("exported_memory", with_sql("RECURSIVE " + _OBS, walk_sql(), _MEMORY, body="""SELECT sequence_id, cell, array_to_string(frames, ',') AS frames, round(list_sum(vals), 6) AS total, episode_start, t.last_frame
+  FROM memory JOIN (SELECT sequence_id, cell, max(frame) AS last_frame FROM obs GROUP BY 1, 2) t USING (sequence_id, cell)"""))
+def exported_memory(spark, folder):
+    """What the stream's state store holds when the stream has ended."""
+    view, sink = observations(spark, folder).select(*CELL, "frame", "value"), E.shared_folder(spark, "memory")
+    E.run_to_end(M.memory_stream(fed(spark, [view.filter("frame < 5"), view.filter("frame >= 5")]), CELL, 3, 30.0), sink)
+    return told_memory(M.exported_memory(spark, sink + "/state"))
+
+
+@register("final_memory", with_sql("RECURSIVE " + _OBS, walk_sql(), _MEMORY, body="SELECT sequence_id, cell, array_to_string(frames, ',') AS frames, round(list_sum(vals), 6) AS total, episode_start, last_frame FROM memory"))
+def final_memory(spark, folder):
+    """The batch twin of the exported state; its last frame is the last one with a value."""
+    return told_memory(M.memory_state(M.memory_batch(observations(spark, folder), CELL, 3, 30.0, chunk=4), CELL, 3))
+
+
+@register("broken_memories", with_sql("RECURSIVE " + _OBS, walk_sql(), _MEMORY, """broken AS (SELECT sequence_id, cell, len(frames) AS n, CASE sequence_id % 9 WHEN 1 THEN frames || [last_frame + 1] WHEN 2 THEN list_reverse(frames) WHEN 3 THEN list_transform(frames, lambda f: f + 1) ELSE frames END AS frames,
+    CASE sequence_id % 9 WHEN 4 THEN vals[2:] WHEN 5 THEN list_transform(vals, lambda v: NULL) ELSE vals END AS vals, CASE sequence_id % 9 WHEN 6 THEN last_frame + 1 WHEN 7 THEN NULL ELSE episode_start END AS episode_start, last_frame FROM memory)""",
+    body="""SELECT sequence_id, cell, unnest(list_filter([CASE WHEN episode_start IS NULL THEN 'missing_field' END, CASE WHEN len(frames) <> len(vals) THEN 'frames_and_values_differ' END, CASE WHEN len(frames) > 3 THEN 'over_capacity' END,
+      CASE WHEN sequence_id % 9 = 2 AND n > 1 THEN 'frames_not_rising' END, CASE WHEN len(list_filter(vals, lambda v: v IS NULL)) > 0 THEN 'value_not_finite' END, CASE WHEN list_max(frames) > last_frame THEN 'frame_after_the_last' END,
+      CASE WHEN list_min(frames) < episode_start THEN 'exemplar_before_its_episode' END], lambda x: x IS NOT NULL)) AS problem FROM broken UNION ALL SELECT sequence_id, cell, 'repeated_cell' FROM broken WHERE sequence_id % 9 = 8"""))
+def broken_memories(spark, folder):
+    """Saved memories damaged in seven ways are told apart before a stream continues from them."""
+    whole = M.memory_state(M.memory_batch(observations(spark, folder), CELL, 3, 30.0, chunk=4), CELL, 3)
+    kind, frames, values, last = F.col("sequence_id") % 9, F.col("frames"), F.col("vals"), F.col("last_frame")
+    damaged = whole.select(
+        *CELL, F.when(kind == 1, F.concat(frames, F.array(last + 1))).when(kind == 2, F.reverse(frames)).when(kind == 3, F.transform(frames, lambda f: f + 1)).otherwise(frames).alias("frames"),
+        F.when(kind == 4, F.slice(values, 2, 3)).when(kind == 5, F.transform(values, lambda v: F.lit(None).cast("double"))).otherwise(values).alias("vals"),
+        F.when(kind == 6, last + 1).when(kind == 7, F.lit(None)).otherwise(F.col("episode_start")).alias("episode_start"), "last_frame",
+    )
+    return M.memory_problems(damaged.unionByName(damaged.filter(kind == 8)), CELL, 3)
+
+
+#: Hours by which arrivals are shuffled, the watermark's delay, and how far every eleventh event falls behind.
+SHUFFLED, DELAY, BEHIND = 24, 36, 24 * 40
+
+
+def arrivals(spark, folder):
+    """Observations with the hour and the micro-batch of their arrival, out of order and partly far too late."""
+    seen = observations(spark, folder).withColumn("hour", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000))
+    hour = F.col("hour") + F.when(F.col("event_id") % 11 == 0, BEHIND).otherwise(F.col("event_id") * 7919 % SHUFFLED)
+    span = F.broadcast(seen.agg(F.min("hour").alias("_low"), F.max("hour").alias("_high")))
+    batch = F.least(F.lit(3), F.floor((hour - F.col("_low")) * 4 / (F.col("_high") - F.col("_low") + 1)))
+    return seen.join(span).select(*CELL, F.col("ts").cast("timestamp").alias("ts"), "frame", "value", batch.cast("int").alias("batch"))
+
+
+_ARRIVED = f"""hours AS (SELECT *, epoch_ms(ts) // 3600000 AS hour FROM obs), span AS (SELECT min(hour) AS low, max(hour) AS high FROM hours),
+  came AS (SELECT h.*, least(3, ((hour + CASE WHEN event_id % 11 = 0 THEN {BEHIND} ELSE event_id * 7919 % {SHUFFLED} END - low) * 4) // (high - low + 1)) AS batch FROM hours h, span),
+  marks AS (SELECT b.batch, (SELECT max(epoch_ms(ts)) - {DELAY} * 3600000 FROM came e WHERE e.batch < b.batch) AS mark FROM (SELECT DISTINCT batch FROM came) b),
+  timed AS (SELECT c.sequence_id, c.cell, c.frame, c.value, coalesce(epoch_ms(ts) <= mark, false) AS late FROM came c JOIN marks USING (batch)),
+  good AS (SELECT * FROM timed WHERE NOT late)"""
+
+
+@register("ordered_memory_stream", with_sql("RECURSIVE " + _OBS, _ARRIVED, walk_sql("good"), body="""SELECT sequence_id, cell, frame, value, round(score, 9) AS score, coalesce(score > 30, false) AS changed, false AS late FROM walk
+  UNION ALL SELECT sequence_id, cell, frame, value, NULL, false, true FROM timed WHERE late"""))
+def ordered_memory_stream(spark, folder):
+    """Shuffled arrivals wait for the watermark and are taken in frame order; rows behind it form the side rows.
+
+    The last part is a row without a frame, which only moves the clock past all waiting rows.
+    """
+    seen = stored(arrivals(spark, folder), "arrivals")
+    end = F.max("ts") + F.expr(f"INTERVAL {DELAY + 1} HOURS")
+    close = seen.agg(end.alias("ts")).select(*[F.col("ts") if c == "ts" else F.lit(None).cast(seen.schema[c].dataType).alias(c) for c in seen.columns])
+    feed = fed(spark, [seen.filter(F.col("batch") == k) for k in range(4)] + [close])
+    data = E.run_to_end(M.memory_stream(feed, CELL, 3, 30.0, clock="ts", delay=f"{DELAY} hours"), E.shared_folder(spark, "ordered"))
+    return tidy(spark.read.parquet(data).select(*CELL, "frame", "value", "score", "changed", "late"), ("score",))
+
+
 def run_log(spark, folder):
     """Events as an append-only log: unit = user, sequence = event id."""
     e = table(spark, folder, "events")
@@ -149,10 +255,11 @@ def late_rows(spark, folder):
     return E.split_late(log).select("sequence_id", "arrival", "frame", "late")
 
 
-_EVEN = OBS.replace("WHERE value IS NOT NULL WINDOW", "SEMI JOIN keep USING (sequence_id, cell, frame) WHERE value IS NOT NULL WINDOW").replace("  seen AS (", "  top AS (SELECT sequence_id, cell, max(frame) FILTER (WHERE frame % 2 = 0) AS t FROM obs GROUP BY 1, 2), keep AS (SELECT sequence_id, cell, frame FROM obs JOIN top USING (sequence_id, cell) WHERE frame % 2 = 0 OR frame > t),\n  seen AS (")
+_EVEN = """top AS (SELECT sequence_id, cell, max(frame) FILTER (WHERE frame % 2 = 0) AS t FROM obs GROUP BY 1, 2),
+  keep AS (SELECT obs.* FROM obs JOIN top USING (sequence_id, cell) WHERE frame % 2 = 0 OR frame > t)"""
 
 
-@register("late_rows_stream", with_sql("RECURSIVE " + _EVEN, body="""SELECT cell, false AS late, count(*) AS rows, count(*) FILTER (WHERE score > 30) AS changes FROM walk GROUP BY 1
+@register("late_rows_stream", with_sql("RECURSIVE " + _OBS, _EVEN, walk_sql("keep"), body="""SELECT cell, false AS late, count(*) AS rows, count(*) FILTER (WHERE score > 30) AS changes FROM walk GROUP BY 1
   UNION ALL SELECT cell, true, count(*), 0 FROM obs ANTI JOIN keep USING (sequence_id, cell, frame) GROUP BY 1"""))
 def late_rows_stream(spark, folder):
     """Out-of-order frames on the stateful stream leave as side rows, flagged late."""
@@ -160,9 +267,9 @@ def late_rows_stream(spark, folder):
     source, sink = E.shared_folder(spark, "feed"), E.shared_folder(spark, "late")
     feed = lambda: spark.readStream.schema(view.schema).parquet(source)
     view.filter("frame % 2 = 0").write.mode("append").parquet(source)
-    E.run_to_end(M.memory_stream(feed(), 3, 30.0), sink)
+    E.run_to_end(M.memory_stream(feed(), CELL, 3, 30.0), sink)
     view.filter("frame % 2 = 1").write.mode("append").parquet(source)
-    data = E.run_to_end(M.memory_stream(feed(), 3, 30.0), sink)
+    data = E.run_to_end(M.memory_stream(feed(), CELL, 3, 30.0), sink)
     return spark.read.parquet(data).groupBy("cell", "late").agg(F.count("*").alias("rows"), F.count_if("changed").alias("changes"))
 
 

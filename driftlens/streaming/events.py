@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,13 +9,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions.metrics import confusion
 from driftlens.operators.decide import above
-from driftlens.session import cut_lineage
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, visible to every executor."""
-    cut_lineage(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+from driftlens.session import shared_folder  # noqa: F401
 
 
 def run_to_end(stream: DataFrame, folder: str) -> str:

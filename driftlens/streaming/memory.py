@@ -8,95 +8,143 @@ undefined value neither scores nor updates.
 The memory before a value is always the last m values, m = min(K, values since
 the episode began). So a cell is an automaton with K + 1 states, and a stretch
 of frames is a function from states to states. Functions compose, which lets
-one long history be cut into chunks that run in parallel.
+one long history be cut into chunks that run in parallel (``operators.scan``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from driftlens.operators.scan import exclusive
+from driftlens.session import stored
+
+CHUNK = 64
 
-from driftlens.session import cut_lineage
+
+def _move(at: Column, row: Column, k: int, threshold: float) -> Column:
+    """(state, episode start) after a row that carries least distances d1..dk."""
+    score = F.when(at["state"] > 0, F.get(row["d"], at["state"] - 1))
+    opens = (at["state"] == 0) | F.coalesce(score > threshold, F.lit(False))
+    return F.struct(
+        F.when(opens, 1).otherwise(F.least(at["state"] + 1, F.lit(k))).alias("state"), F.when(opens, row["frame"]).otherwise(at["start"]).alias("start"),
+    )
 
 
-def _next_state(state: Column, row: Column, k: int, threshold: float) -> Column:
-    """State after a row that carries least distances d1..dk."""
-    score = F.when(state > 0, F.element_at(row["d"], state))
-    return F.when(state == 0, 1).when(score > threshold, 1).otherwise(F.least(state + 1, F.lit(k)))
+def _then(first: Column, second: Column) -> Column:
+    """Composition of two functions given as arrays: for each entry state the end state and the last episode start, if any."""
+    def after(end):
+        then = F.get(second, end["state"])
+        return F.struct(then["state"].alias("state"), F.coalesce(then["start"], end["start"]).alias("start"))
 
+    return F.transform(first, after)
 
-def _compose(maps: Column, k: int) -> Column:
-    """Composition of state functions given as arrays of k + 1 end states."""
-    identity = F.array(*[F.lit(i) for i in range(k + 1)])
-    return F.aggregate(maps, identity, lambda acc, m: F.transform(acc, lambda s: F.element_at(m, s + 1)))
 
+def _entered(at: Column, function: Column) -> Column:
+    then = F.get(function, at["state"])
+    return F.struct(then["state"].alias("state"), F.coalesce(then["start"], at["start"]).alias("start"))
 
-def _starts(maps: Column) -> Column:
-    """Start state of each function when the first starts at state 0."""
-    zero = F.array(F.lit(0))
-    run = F.aggregate(maps, zero, lambda acc, m: F.concat(acc, F.array(F.element_at(m, F.element_at(acc, -1) + 1))))
-    return run
 
+def _place(state: int) -> Column:
+    return F.struct(F.lit(state).alias("state"), F.lit(None).cast("bigint").alias("start"))
 
-def memory_batch(observations: DataFrame, keys, k=3, threshold=0.0, chunk=64) -> DataFrame:
+
+def memory_batch(observations: DataFrame, keys, k=3, threshold=0.0, chunk=CHUNK) -> DataFrame:
     """Scores, changes and episodes of every finite observation.
 
-    Needs keys, ``frame`` (dense index per key) and ``value``. A chunk holds at
-    most ``chunk`` frames and a block ``chunk`` chunks; only block functions,
-    one per chunk^2 frames, are folded per key. All steps stay in the JVM.
+    Needs keys, ``frame`` (dense index per key) and ``value``. No row holds more
+    than ``chunk`` frames or ``scan.FAN`` chunks: the values before a chunk and
+    the state it is entered with come from scans over the chunks of a key.
     """
     keys = list(keys)
     seen = observations.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(
-        *keys, F.floor(F.col("frame") / chunk).alias("_c"), "frame", F.col("value").cast("double").alias("value")
+        *keys, F.floor(F.col("frame") / chunk).alias("_c"), F.col("frame").cast("bigint").alias("frame"), F.col("value").cast("double").alias("value")
     )
-    order = Window.partitionBy(*keys).orderBy("_c")
-    rows = F.array_sort(F.collect_list(F.struct("frame", "value")))
-    tails = seen.groupBy(*keys, "_c").agg(F.slice(F.reverse(rows), 1, k).alias("_tail"))
-    # Each earlier chunk holds a value, so the tails of k chunks are enough for k values.
-    halo = tails.select(*keys, "_c", F.flatten(F.collect_list("_tail").over(order.rowsBetween(-k, -1))).alias("_h"))
-    halo = halo.select(*keys, "_c", F.inline(F.slice(F.reverse(F.array_sort("_h")), 1, k)), F.lit(True).alias("_halo"))
-    around = seen.withColumn("_halo", F.lit(False)).unionByName(halo)
-    inside = Window.partitionBy(*keys, "_c").orderBy("frame")
-    gaps = [F.abs(F.col("value") - F.lag("value", j).over(inside)).alias(f"_g{j}") for j in range(1, k + 1)]
-    nearest = [F.when(F.col(f"_g{j}").isNotNull(), F.least(*[F.col(f"_g{i}") for i in range(1, j + 1)]) if j > 1 else F.col("_g1")) for j in range(1, k + 1)]
-    stepped = around.select(*keys, "_c", "_halo", "frame", "value", *gaps).filter(~F.col("_halo")).select(*keys, "_c", F.struct("frame", "value", F.array(*nearest).alias("d")).alias("_step"))
-    chunks = stepped.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list("_step")).alias("_steps"))
-    identity = F.array(*[F.lit(i) for i in range(k + 1)])
-    whole = F.aggregate("_steps", identity, lambda acc, r: F.transform(acc, lambda s: _next_state(s, r, k, threshold)))
+    chunks = stored(seen.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("_rows")), "memory-chunks")
+    # The last k values of a chunk, latest first; of two chunks, the later one's come first.
+    tail = F.slice(F.reverse(F.transform("_rows", lambda r: r["value"])), 1, k)
+    recent = exclusive(chunks.select(*keys, "_c", tail.alias("_t")), keys, "_c", "_t", lambda a, b: F.slice(F.concat(b, a), 1, k), F.array().cast("array<double>"))
+    joined = chunks.join(recent, [*keys, "_c"]).withColumn("_all", F.concat(F.reverse("before"), F.transform("_rows", lambda r: r["value"])))
+    gap = lambda r, i, j: F.abs(r["value"] - F.get("_all", F.size("before") + i - j))
+    nearest = lambda r, i, j: gap(r, i, 1) if j == 1 else F.least(*[gap(r, i, m) for m in range(1, j + 1)])
+    steps = F.transform("_rows", lambda r, i: F.struct(r["frame"].alias("frame"), r["value"].alias("value"), F.array(*[nearest(r, i, j) for j in range(1, k + 1)]).alias("d")))
+    stepped = joined.select(*keys, "_c", steps.alias("_steps"))
+    every = F.array(*[_place(i) for i in range(k + 1)])
+    whole = F.aggregate("_steps", every, lambda ends, r: F.transform(ends, lambda e: _move(e, r, k, threshold)))
     # Read twice below (functions first, then the replay): keep it, do not rebuild it.
-    chunks = cut_lineage(chunks.select(*keys, "_c", "_steps", whole.alias("_map"), F.floor(F.col("_c") / chunk).alias("_block")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("_c", "_map"))), lambda m: m)
-    blocks = chunks.groupBy(*keys, "_block").agg(listed.alias("_list"))
-    blocks = blocks.withColumn("_bmap", _compose(F.transform("_list", lambda m: m["_map"]), k))
-    tops = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_bmap"))).alias("_all"))
-    tops = tops.withColumn("_s", _starts(F.transform("_all", lambda m: m["_bmap"])))
-    entry = tops.select(*keys, F.inline(F.zip_with("_all", F.slice("_s", 1, F.size("_all")), lambda m, s: F.struct(m["_block"].alias("_block"), s.alias("_start")))))
-    inner = blocks.join(entry, [*keys, "_block"])
-    first = F.array("_start")
-    run = F.aggregate(F.transform("_list", lambda m: m["_map"]), first, lambda acc, m: F.concat(acc, F.array(F.element_at(m, F.element_at(acc, -1) + 1))))
-    per_chunk = inner.withColumn("_r", run).select(*keys, F.inline(F.zip_with("_list", F.slice("_r", 1, F.size("_list")), lambda m, s: F.struct(m["_c"].alias("_c"), s.alias("_enter")))))
-    replay = chunks.join(per_chunk, [*keys, "_c"])
-    states = F.aggregate("_steps", F.array("_enter"), lambda acc, r: F.concat(acc, F.array(_next_state(F.element_at(acc, -1), r, k, threshold))))
-    replay = replay.withColumn("_states", states)
-    rows = replay.select(*keys, "_c", F.posexplode("_steps").alias("_i", "_step"), "_states")
-    state = F.element_at("_states", F.col("_i") + 1)
-    score = F.when(state > 0, F.element_at(F.col("_step.d"), state))
-    out = rows.select(
-        *keys, "_c", F.col("_step.frame").alias("frame"), F.col("_step.value").alias("value"), score.alias("score"),
-        (state == 0).alias("initialised"), F.coalesce(score > threshold, F.lit(False)).alias("changed"), state.alias("references"),
-    )
-    opens = F.col("initialised") | F.col("changed")
-    starts = out.groupBy(*keys, "_c").agg(F.max(F.when(opens, F.col("frame"))).alias("_last"))
-    carried = starts.select(*keys, "_c", F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    here = F.max(F.when(opens, F.col("frame"))).over(Window.partitionBy(*keys, "_c").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("_here", here).join(carried, [*keys, "_c"]).select(
-        *keys, "frame", "value", "score", "initialised", "changed", "references", F.coalesce("_here", "_carry").alias("episode_start")
+    stepped = stored(stepped.withColumn("_map", whole), "memory-steps")
+    enter = exclusive(stepped, keys, "_c", "_map", _then, _place(0), _entered)
+    empty = F.transform(F.slice("_steps", 1, 0), lambda r: _outcome(_place(0), r, k, threshold))
+    replay = F.aggregate("_steps", F.struct(F.col("before").alias("at"), empty.alias("out")), lambda s, r: F.struct(
+        _move(s["at"], r, k, threshold).alias("at"), F.concat(s["out"], F.array(_outcome(s["at"], r, k, threshold))).alias("out"),
+    ))
+    return stepped.join(enter, [*keys, "_c"]).select(*keys, F.inline(replay["out"]))
+
+
+def _outcome(at: Column, row: Column, k: int, threshold: float) -> Column:
+    score = F.when(at["state"] > 0, F.get(row["d"], at["state"] - 1))
+    return F.struct(
+        row["frame"].alias("frame"), row["value"].alias("value"), score.alias("score"), (at["state"] == 0).alias("initialised"),
+        F.coalesce(score > threshold, F.lit(False)).alias("changed"), at["state"].alias("references"), _move(at, row, k, threshold)["start"].alias("episode_start"),
     )
 
 
-OUTPUT = "sequence_id long, cell string, frame long, value double, score double, initialised boolean, changed boolean, references int, episode_start long, late boolean"
+#: What a cell keeps; also the columns of an exported memory, after its keys.
 STATE = "frames array<bigint>, vals array<double>, episode_start bigint, last_frame bigint"
+WAITING = "at bigint, frame bigint, value double"
+RESULT = "frame long, value double, score double, initialised boolean, changed boolean, references int, episode_start long, late boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def names_of(ddl: str) -> list[str]:
+    return [column.split(" ")[0] for column in ddl.split(", ")]
+
+
+def memory_state(rows: DataFrame, keys, k=3) -> DataFrame:
+    """The memories left after ``memory_batch`` rows: keys and STATE, one row per cell with a value."""
+    keys = list(keys)
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("frame")))
+    kept = rows.withColumn("_b", back).filter(F.col("_b") <= k)
+    held = F.array_sort(F.collect_list(F.struct("frame", "value", "episode_start")))
+    last = kept.groupBy(*keys).agg(held.alias("_h")).withColumn("_e", F.element_at("_h", -1))
+    inside = F.filter("_h", lambda h: h["frame"] >= F.col("_e.episode_start"))
+    return last.select(
+        *keys, F.transform(inside, lambda h: h["frame"]).alias("frames"), F.transform(inside, lambda h: h["value"]).alias("vals"),
+        F.col("_e.episode_start").alias("episode_start"), F.col("_e.frame").alias("last_frame"),
+    )
+
+
+def memory_problems(states: DataFrame, keys, k=3) -> DataFrame:
+    """Rows (keys, problem) of saved memories that no run can have left behind."""
+    keys = list(keys)
+    c, n = F.col, F.size("frames")
+    steps = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+    rising = (n < 2) | F.forall(steps, lambda i: F.coalesce(F.get("frames", i) > F.get("frames", i - 1), F.lit(False)))
+    checks = F.array_compact(F.array(
+        F.when(c("frames").isNull() | c("vals").isNull() | c("last_frame").isNull() | c("episode_start").isNull(), "missing_field"),
+        F.when(n != F.size("vals"), "frames_and_values_differ"),
+        F.when(n > k, "over_capacity"),
+        F.when(n == 0, "no_exemplar"),
+        F.when(~rising | (F.array_min("frames") < 0), "frames_not_rising"),
+        F.when(F.exists("vals", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), "value_not_finite"),
+        F.when(F.array_max("frames") > c("last_frame"), "frame_after_the_last"),
+        F.when(F.array_min("frames") < c("episode_start"), "exemplar_before_its_episode"),
+        F.when(c("episode_start") < 0, "episode_not_begun"),
+    ))
+    twice = states.groupBy(*keys).count().filter("count > 1").select(*keys, F.lit("repeated_cell").alias("problem"))
+    return states.select(*keys, F.explode(checks).alias("problem")).unionByName(twice)
+
+
+def checked_memory(states: DataFrame, keys, k=3) -> DataFrame:
+    """The states again; raises ValueError with some of the broken cells if there are any."""
+    bad = memory_problems(states, keys, k).limit(5).collect()
+    if bad:
+        raise ValueError(f"saved memories are broken: {[tuple(r) for r in bad]}")
+    return states
 
 
 def _advance(memory, frame, value, k, threshold):
@@ -110,36 +158,116 @@ def _advance(memory, frame, value, k, threshold):
     return ((frames + [frame])[-k:], (values + [value])[-k:], start), row
 
 
-def _step_function(k, threshold):
-    def step(key, batches, state):
+class CellMemory(StatefulProcessor):
+    """One cell's memory. With ``ordered``, rows wait until the watermark has passed them."""
+
+    def __init__(self, names: list[str], k: int, threshold: float, ordered: bool):
+        self.names, self.k, self.threshold, self.ordered = names, k, threshold, ordered
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.memory = handle.getValueState("memory", STATE)
+        if self.ordered:
+            self.waiting = handle.getListState("waiting", WAITING)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for r in initialState.itertuples(index=False):
+            self.memory.update(([int(f) for f in r.frames], [float(v) for v in r.vals], int(r.episode_start), int(r.last_frame)))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.ordered:
+            # Sorted as a whole, since parts of a micro-batch come in any order; the source bounds the micro-batch.
+            yield self.taken(key, pd.concat(list(rows)).sort_values("frame"))
+            return
+        now, kept, late = timerValues.getCurrentWatermarkInMs(), [], []
+        for part in rows:
+            part = part[part["frame"].notna()]
+            behind = part["at"] <= now
+            late.append(part[behind])
+            kept += [(int(a), int(f), None if v != v else float(v)) for a, f, v in zip(part["at"][~behind], part["frame"][~behind], part["value"][~behind])]
+        if kept:
+            self.waiting.appendList(kept)
+            self.handle.registerTimer(min(r[0] for r in kept))
+        for part in late:
+            if len(part):
+                yield self.table(key, [(int(f), v, None, False, False, 0, None, True) for f, v in zip(part["frame"], part["value"])])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = list(self.waiting.get())
+        ready, rest = sorted(r for r in held if r[0] <= now), [tuple(r) for r in held if r[0] > now]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(r[0] for r in rest))
+        else:
+            self.waiting.clear()
+        if ready:
+            yield self.taken(key, pd.DataFrame(ready, columns=["at", "frame", "value"]))
+
+    def taken(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        """Rows in their order; those not after the last frame are late and leave the memory alone."""
         memory, last = ([], [], -1), -1
-        if state.exists:
-            frames, values, start, last = state.get
+        if self.memory.exists():
+            frames, values, start, last = self.memory.get()
             memory = (list(frames), list(values), start)
-        rows = pd.concat(list(batches)).sort_values("frame")
         out = []
-        for frame, value in zip(rows["frame"].astype("int64"), rows["value"]):
+        for frame, value in zip(rows["frame"].astype("int64").tolist(), rows["value"].tolist()):
             if frame <= last:
-                out.append((*key, frame, value, None, False, False, len(memory[1]), memory[2], True))
+                out.append((frame, value, None, False, False, len(memory[1]), memory[2], True))
                 continue
             last = frame
             if value is None or value != value:
                 continue
-            memory, row = _advance(memory, frame, float(value), k, threshold)
-            out.append((*key, frame, float(value), *row, memory[2], False))
-        state.update((memory[0], memory[1], int(memory[2]), int(last)))
-        yield pd.DataFrame(out, columns=["sequence_id", "cell", "frame", "value", "score", "initialised", "changed", "references", "episode_start", "late"])
+            memory, row = _advance(memory, frame, float(value), self.k, self.threshold)
+            out.append((frame, float(value), *row, memory[2], False))
+        self.memory.update((memory[0], memory[1], int(memory[2]), int(last)))
+        return self.table(key, out)
+
+    def table(self, key, rows) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=names_of(RESULT))
+        made["episode_start"] = made["episode_start"].astype("Int64")
+        for name, part in reversed(list(zip(self.names, key))):
+            made.insert(0, name, part)
+        return made
 
-    return step
+    def close(self) -> None:
+        pass
 
 
-def memory_stream(observations: DataFrame, k=3, threshold=0.0) -> DataFrame:
-    """The same memory on a stream keyed by (sequence_id, cell).
+def memory_stream(observations: DataFrame, keys=("sequence_id", "cell"), k=3, threshold=0.0, clock=None, delay=None, initial: DataFrame | None = None) -> DataFrame:
+    """The same memory on a stream of (keys, frame, value); keys may have any names and types.
 
-    State lives in the checkpointed state store, so a restart continues where
-    it stopped. Rows at or before a cell's last frame are out of order: they
-    leave with ``late`` set and never touch the memory.
+    State lives in the checkpointed state store, so a restart continues where it
+    stopped; ``initial`` (keys and STATE) lets a new query continue the memories
+    another one exported.
+
+    Without ``clock``, rows are taken as they arrive; rows at or before a cell's
+    last frame leave with ``late`` set and never touch the memory. With
+    ``clock`` (a timestamp column) and ``delay``, rows wait in the state until
+    the watermark has passed them and are then taken by (time, frame), so any
+    arrival order within the delay gives the same result; rows behind the
+    watermark leave with ``late`` set. A row without a frame only moves the clock.
     """
-    return observations.select("sequence_id", "cell", "frame", "value").groupBy("sequence_id", "cell").applyInPandasWithState(
-        _step_function(k, threshold), OUTPUT, STATE, "append", "NoTimeout"
-    )
+    keys, spark = list(keys), observations.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    ddl = ", ".join(f"`{n}` {observations.schema[n].dataType.simpleString()}" for n in keys) + ", " + RESULT
+    rows = observations
+    if clock:
+        # A computed column is free of the watermark's own filter: late rows reach the side output instead of being dropped.
+        rows = rows.withWatermark(clock, delay).withColumn("at", F.unix_millis(clock))
+    rows = rows.select(*keys, "frame", "value", *(["at"] if clock else []))
+    start = checked_memory(initial, keys, k).select(*keys, *names_of(STATE)).groupBy(*keys) if initial is not None else None
+    processor = CellMemory(keys, k, threshold, bool(clock))
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, ddl, "append", "EventTime" if clock else "None", initialState=start)
+
+
+def exported_memory(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The memories in a query's state store, as rows (keys, STATE); NULL and late-only cells hold no exemplar and are left out."""
+    saved = spark.read.format("statestore").option("stateVarName", "memory").load(checkpoint)
+    return saved.select("key.*", "value.*").filter(F.size("frames") > 0)
+
+
+def exported_waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Rows still waiting for the watermark, as (keys, at, frame, value)."""
+    saved = spark.read.format("statestore").option("stateVarName", "waiting").load(checkpoint)
+    return saved.select("key.*", "list_element.*")

@@ -7,11 +7,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftlens.operators import scan
+from driftlens.session import stored
 from driftlens.sources import coco, maps, tables
 from driftlens.streaming import events as E
 from driftlens.streaming import memory as M
 
 OBS = "sequence_id long, cell string, frame long, value double"
+KEYS = ["sequence_id", "cell"]
 
 
 def reference_walk(values, k, threshold):
@@ -62,15 +65,89 @@ def test_stream_restart_and_prefix(spark, tmp_path):
     whole = batch_rows(M.memory_batch(frame, ["sequence_id", "cell"], 3, 3.0))
     frame.filter("frame < 9").write.mode("append").parquet(source)
     stream = lambda: spark.readStream.schema(frame.schema).parquet(source)
-    E.run_to_end(M.memory_stream(stream(), 3, 3.0), sink)
+    E.run_to_end(M.memory_stream(stream(), KEYS, 3, 3.0), sink)
     first = batch_rows(spark.read.parquet(sink + "/data"))
     assert first == {k: v for k, v in whole.items() if k[2] < 9}
     frame.filter("frame >= 9").unionByName(frame.filter("frame = 2")).write.mode("append").parquet(source)
-    E.run_to_end(M.memory_stream(stream(), 3, 3.0), sink)
+    E.run_to_end(M.memory_stream(stream(), KEYS, 3, 3.0), sink)
     out = spark.read.parquet(sink + "/data")
     assert batch_rows(out.filter("NOT late")) == whole and out.filter("late").count() == 4
 
 
+def test_one_hot_cell_stays_in_bounded_rows(spark, monkeypatch):
+    """200,000 frames of one cell: the sequential rule's result, and no stored row with more than 64 entries in a list."""
+    rng, longest = np.random.default_rng(5), []
+
+    def watched(df, name):
+        kept = stored(df, name)
+        lists = [f.name for f in kept.schema if f.dataType.typeName() == "array"]
+        longest.append(kept.select(F.max(F.greatest(F.lit(0), *[F.size(c) for c in lists]))).first()[0])
+        return kept
+
+    monkeypatch.setattr(M, "stored", watched)
+    monkeypatch.setattr(scan, "stored", watched)
+    values = [(f, None if v < 1 else float(v)) for f, v in enumerate(rng.integers(0, 40, 200_000).tolist())]
+    frame = spark.createDataFrame([(f, v) for f, v in values], "frame long, value double").selectExpr("DATE'2020-01-01' AS day", "frame", "value")
+    out = M.memory_batch(frame, ["day"], 3, 3.0)
+    got = {r.frame: (r.score, r.initialised, r.changed, r.references, r.episode_start) for r in out.collect()}
+    assert got == reference_walk(values, 3, 3.0)
+    assert len(longest) == 4 and max(longest) <= 64
+
+
+@pytest.mark.parametrize("fan", [2, 64])
+def test_scan_equals_running_concatenation(spark, fan):
+    rows = [(k, i, chr(97 + i % 26)) for k in range(2) for i in range(150) if i % 7 or k]
+    nodes = spark.createDataFrame(rows, "k int, i long, v string")
+    got = {(r.k, r.i): r.before for r in scan.exclusive(nodes, ["k"], "i", "v", lambda a, b: F.concat(a, b), F.lit(">"), fan=fan).collect()}
+    assert got == {(k, i): ">" + "".join(v for kk, j, v in rows if kk == k and j < i) for k, i, _ in rows}
+    assert scan.exclusive(nodes.filter("k > 5"), ["k"], "i", "v", lambda a, b: F.concat(a, b), F.lit("")).count() == 0
+
+
+def ordered(spark, tmp_path, parts, delay):
+    source, sink = str(tmp_path / "feed"), str(tmp_path / "sink")
+    schema = "room date, frame long, value double, ts timestamp"
+    for part in parts:
+        spark.createDataFrame(part, "room string, frame long, value double, at long").selectExpr("CAST(room AS date) AS room", "frame", "value", "timestamp_seconds(at) AS ts").coalesce(1).write.mode("append").parquet(source)
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    E.run_to_end(M.memory_stream(feed, ["room"], 2, 3.0, clock="ts", delay=delay), sink)
+    return spark.read.parquet(sink + "/data"), sink
+
+
+def test_shuffled_arrivals_give_the_batch_result(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [("2020-01-02", f, float(rng.integers(0, 12)), 1000 + 10 * f) for f in range(60)]
+    # No row comes more than 200 s after a later one: within the delay.
+    came = sorted(rows, key=lambda r: r[3] + int(rng.integers(0, 200)))
+    far = [(None, None, None, 10_000)]
+    out, sink = ordered(spark, tmp_path, [came[:20], came[20:40], came[40:], [("2020-01-02", 3, 99.0, 1030)], far], "220 seconds")
+    got = {r.frame: (r.score, r.initialised, r.changed, r.references, r.episode_start) for r in out.filter("NOT late").collect()}
+    assert got == reference_walk([(f, v) for _, f, v, _ in rows], 2, 3.0)
+    assert [(r.frame, r.value) for r in out.filter("late").collect()] == [(3, 99.0)]
+    assert M.exported_waiting(spark, sink + "/state").count() == 0
+
+
+def test_rows_wait_for_the_watermark(spark, tmp_path):
+    out, sink = ordered(spark, tmp_path, [[("2020-01-02", 0, 1.0, 100)], [("2020-01-02", 1, 2.0, 150)]], "60 seconds")
+    assert out.count() == 0
+    assert sorted(r.frame for r in M.exported_waiting(spark, sink + "/state").collect()) == [0, 1]
+
+
+def test_broken_memories_are_refused(spark):
+    good = ([3, 5], [1.0, 2.0], 2, 6)
+    broken = {
+        "missing_field": ([3], [1.0], None, 6), "frames_and_values_differ": ([3, 5], [1.0], 2, 6), "over_capacity": ([2, 3, 5], [1.0, 1.0, 2.0], 2, 6), "no_exemplar": ([], [], 2, 6),
+        "frames_not_rising": ([5, 5], [1.0, 2.0], 2, 6), "value_not_finite": ([3, 5], [1.0, float("inf")], 2, 6), "frame_after_the_last": ([3, 5], [1.0, 2.0], 2, 4),
+        "exemplar_before_its_episode": ([3, 5], [1.0, 2.0], 4, 6), "episode_not_begun": ([3, 5], [1.0, 2.0], -1, 6),
+    }
+    rows = [("ok", *good), ("twice", *good), ("twice", *good)] + [(name, *state) for name, state in broken.items()]
+    frame = spark.createDataFrame(rows, "cell string, " + M.STATE)
+    found = {(r.cell, r.problem) for r in M.memory_problems(frame, ["cell"], 2).collect()}
+    assert found == {("twice", "repeated_cell")} | {(name, name) for name in broken}
+    assert M.checked_memory(frame.filter("cell = 'ok'"), ["cell"], 2).count() == 1
+    with pytest.raises(ValueError, match="over_capacity"):
+        M.memory_stream(spark.readStream.format("rate").load().selectExpr("'c' AS cell", "value AS frame", "CAST(value AS double) AS value"), ["cell"], 2, 1.0, initial=frame.filter("cell = 'over_capacity'"))
+
+
 def test_replayed_epoch_does_not_double(spark, tmp_path):
     log = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a")], "unit_id int, sequence int, status string")
     log.write.parquet(str(tmp_path / "log"))

@@ -143,7 +143,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches):
         tool, row = loaded(Aligner, a_path, b_path), TaskContext.get().partitionId() << 40
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", 1 << 19):
             columns = aligned_batch(tool, part.column("text").to_pylist())
             head = [pa.array(np.arange(row, row + part.num_rows)), part.column("doc_id")]
             row += part.num_rows

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cached_property
 
 import numpy as np
 
@@ -22,9 +23,7 @@ class ByteLevel:
     """A byte-level BPE file. With ``special``, added tokens' strings in a text become their ids; without, they are text."""
 
     def __init__(self, path: str, special: bool):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -34,10 +33,19 @@ class ByteLevel:
         self.size = 1 + max(self.strings)
         self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
         self.allowed = set(self.added) if special else set()
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
-        self.exact.encode_special_tokens = not special
+        self.path, self.special = path, special
+
+    @cached_property
+    def exact(self):
+        """The defining library; loaded only where it is needed, as it takes memory in every worker."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        made.encode_special_tokens = not self.special
+        return made
 
     def encode(self, text: str) -> np.ndarray:
         try:

@@ -280,3 +280,33 @@ def component_stats(components: DataFrame, keys) -> DataFrame:
         F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"),
         (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"), F.avg("x").alias("cx"), F.avg("y").alias("cy"),
     )
+
+
+def summed_area(points: DataFrame, keys, frames: DataFrame, measures) -> DataFrame:
+    """Rows (keys, y, x, measures): sums over the frame's points up to and including each cell.
+
+    ``frames`` has one box (keys, fy0, fx0, fy1, fx1) per key. Running sums go
+    along the rows and then along the columns, so a window holds one line.
+    """
+    keys = list(keys)
+    cells = frames.select(*keys, F.explode(F.sequence("fy0", F.col("fy1") - 1)).alias("y"), "fx0", "fx1").select(*keys, "y", F.explode(F.sequence("fx0", F.col("fx1") - 1)).alias("x"))
+    out = cells.join(points.select(*keys, "y", "x", *measures), [*keys, "y", "x"], "left").fillna(0, list(measures))
+    for line, along in (("y", "x"), ("x", "y")):
+        run = Window.partitionBy(*keys, line).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.select(*keys, "y", "x", *[F.sum(m).over(run).alias(m) for m in measures])
+    return out
+
+
+def box_counts(points: DataFrame, keys, frames: DataFrame, measures, boxes: DataFrame, names) -> DataFrame:
+    """Rows (keys, names, measures): sums inside boxes (keys, names, y0, x0, y1, x1) by four look-ups each."""
+    keys, names = list(keys), list(names)
+    area = summed_area(points, keys, frames.join(boxes.select(*keys).distinct(), keys, "left_semi"), measures)
+    edge = lambda low, high, value: F.greatest(low, F.least(high, value))
+    inside = boxes.join(frames, keys).select(*keys, *names, *[
+        edge(F.col(f"f{axis}0"), F.col(f"f{axis}1"), F.col(f"{axis}{end}")).alias(f"{axis}{end}") for axis in "yx" for end in "01"
+    ])
+    corner = lambda y, x, sign: F.struct((F.col(y) - 1).alias("y"), (F.col(x) - 1).alias("x"), F.lit(sign).alias("_sign"))
+    corners = F.array(corner("y1", "x1", 1), corner("y0", "x1", -1), corner("y1", "x0", -1), corner("y0", "x0", 1))
+    asked = inside.select(*keys, *names, F.inline(corners))
+    # Corners before the frame find no cell and count 0.
+    return asked.join(area, [*keys, "y", "x"], "left").groupBy(*keys, *names).agg(*[F.coalesce(F.sum(F.col("_sign") * F.col(m)), F.lit(0)).alias(m) for m in measures])

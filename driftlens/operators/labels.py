@@ -144,52 +144,6 @@ def rank_tiles(ranked: DataFrame, sequence, size, stride, side, min_support, min
     return tiles.withColumn("reason", reason)
 
 
-def transition_candidates(pixels: DataFrame, image, channels, radius, min_pixels, min_support, min_fraction, side, context) -> DataFrame:
-    """Components of robust class appearances, disappearances and replacements.
-
-    Gains and losses are bit-sets outside the same-class dilation of the other
-    date. Class pairs are unfolded only for pixels that changed; components are
-    labelled per (image, event, from, to) and gated by size, support and share.
-    """
-    known = pixels.filter(F.col("support") & (F.col("old_bits") != 0) & (F.col("new_bits") != 0))
-    near = G.dilated_bits(pixels, image, ["old_bits", "new_bits"], radius)
-    near = near.withColumnRenamed("old_bits", "_old_near").withColumnRenamed("new_bits", "_new_near")
-    gains = known.join(near, [image, "y", "x"]).select(
-        image, "y", "x",
-        F.col("new_bits").bitwiseAND(F.bitwise_not("_old_near")).alias("_gain"),
-        F.col("old_bits").bitwiseAND(F.bitwise_not("_new_near")).alias("_loss"),
-    ).filter("_gain != 0 OR _loss != 0")
-    every = F.sequence(F.lit(0), F.lit(channels - 1))
-    members = lambda c: F.filter(every, lambda i: F.getbit(F.col(c).cast("int"), i) == 1)
-    none = F.lit(None).cast("int")
-    event = lambda kind, a, b: F.struct(F.lit(kind).alias("event"), a.alias("from_class"), b.alias("to_class"))
-    events = F.concat(
-        F.transform(members("_gain"), lambda g: event("appearance", none, g)),
-        F.transform(members("_loss"), lambda old: event("disappearance", old, none)),
-        F.flatten(F.transform(members("_loss"), lambda old: F.transform(members("_gain"), lambda g: event("replacement", old, g)))),
-    )
-    changed = gains.select(image, "y", "x", F.inline(events))
-    changed = changed.fillna(-1, ["from_class", "to_class"])
-    keys = [image, "event", "from_class", "to_class"]
-    stats = G.component_stats(G.connected_components(changed, [image], ["event", "from_class", "to_class"]), keys).filter(F.col("area") >= min_pixels)
-    # Support inside the core box: boxes are small next to the image, so known
-    # pixels are matched by image row, which bounds the join fan-out per row.
-    rows = stats.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1)))
-    counts = known.select(image, "y", F.col("x").alias("_px")).join(rows, [image, "y"]).filter(
-        (F.col("_px") >= F.col("x0")) & (F.col("_px") < F.col("x1"))
-    ).groupBy(*keys, "component").agg(F.count("*").alias("_supported"))
-    core = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    gated = stats.join(counts, [*keys, "component"]).withColumn("support_fraction", F.col("_supported") / core).withColumn(
-        "transition_fraction", F.col("area") / core
-    ).filter((F.col("support_fraction") >= min_support) & (F.col("transition_fraction") >= min_fraction))
-    grow = lambda c, d: F.greatest(F.lit(0), F.least(F.lit(side), F.col(c) + d))
-    return gated.select(
-        *keys, "component", "area", "x0", "y0", "x1", "y1", "support_fraction", "transition_fraction",
-        grow("x0", -context).alias("crop_x0"), grow("y0", -context).alias("crop_y0"),
-        grow("x1", context).alias("crop_x1"), grow("y1", context).alias("crop_y1"),
-    )
-
-
 def case_catalog(bases: DataFrame, states, scenarios) -> DataFrame:
     """Bases x states x scenarios from fixed short lists; H0 without a planted edit."""
     rows = F.array(*[

@@ -12,6 +12,7 @@ from driftlens.operators import labels as L
 from driftlens.operators import registry as V
 from driftlens.operators import scoring as C
 from driftlens.operators import segmentation as M
+from driftlens.operators import transitions as T
 from driftlens.plans.fixtures import FRAME_GRID, GRID, IMAGES, PX, frame_grid, grid, images, rounded, scores, table, with_sql
 from driftlens.plans.metrics import LGRID, labelled_grid, tidy
 
@@ -456,22 +457,59 @@ def ranked_tiles(spark, folder):
     return L.rank_tiles(ranked_pixels(spark, folder), "sequence_id", 2, 1, 4, 0.8, 4)
 
 
+def reach_sql(name, members):
+    """Components of ``members`` (image, layer, position) as rows with the least position of each."""
+    layer = "image_id, event, from_class, to_class"
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in layer.split(", "))
+    return (
+        f"{name}_edges AS MATERIALIZED (SELECT {', '.join('a.' + c for c in layer.split(', '))}, a.id AS a, b.id AS b FROM {members} a JOIN {members} b ON {same('a', 'b')} AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)",
+        f"{name}_reach AS (SELECT {layer}, id AS a, id AS b FROM {members} UNION SELECT {', '.join('r.' + c for c in layer.split(', '))}, r.a, e.b FROM {name}_reach r JOIN {name}_edges e ON {same('e', 'r')} AND e.a = r.b)",
+        f"{name} AS MATERIALIZED (SELECT * FROM (SELECT {layer}, a AS id, min(b) AS component FROM {name}_reach GROUP BY 1, 2, 3, 4, 5) JOIN {members} USING ({layer}, id))",
+    )
+
+
+_LAYER = "image_id, event, from_class, to_class"
 TRANS = ("near AS (SELECT image_id, y + dy AS y, x + dx AS x, bit_or(old_bits) AS o, bit_or(new_bits) AS n FROM grid, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx) GROUP BY 1, 2, 3)",
-  "known AS MATERIALIZED (SELECT g.*, new_bits & ~o AS gain, old_bits & ~n AS loss FROM grid g JOIN near USING (image_id, y, x) WHERE support AND old_bits <> 0 AND new_bits <> 0)",
+  "known AS MATERIALIZED (SELECT g.*, new_bits & ~old_bits AS gain, old_bits & ~new_bits AS loss, new_bits & ~o AS sure_gain, old_bits & ~n AS sure_loss FROM grid g JOIN near USING (image_id, y, x) WHERE support AND old_bits <> 0 AND new_bits <> 0)",
   "cl AS (SELECT unnest(range(7))::INTEGER AS c)",
-  """m AS MATERIALIZED (SELECT image_id, y, x, y * 2147483648 + x AS id, 'appearance' AS event, -1 AS from_class, c AS to_class FROM known, cl WHERE (gain >> c) & 1 = 1
-    UNION ALL SELECT image_id, y, x, y * 2147483648 + x, 'disappearance', c, -1 FROM known, cl WHERE (loss >> c) & 1 = 1
-    UNION ALL SELECT image_id, y, x, y * 2147483648 + x, 'replacement', a.c, b.c FROM known, cl a, cl b WHERE (loss >> a.c) & 1 = 1 AND (gain >> b.c) & 1 = 1)""",
-  "edges AS MATERIALIZED (SELECT a.image_id, a.event, a.from_class, a.to_class, a.id AS a, b.id AS b FROM m a JOIN m b ON a.image_id = b.image_id AND a.event = b.event AND a.from_class = b.from_class AND a.to_class = b.to_class AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)",
-  "reach AS (SELECT image_id, event, from_class, to_class, id AS a, id AS b FROM m UNION SELECT r.image_id, r.event, r.from_class, r.to_class, r.a, e.b FROM reach r JOIN edges e ON e.image_id = r.image_id AND e.event = r.event AND e.from_class = r.from_class AND e.to_class = r.to_class AND e.a = r.b)",
-  """st AS (SELECT image_id, event, from_class, to_class, component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM (SELECT image_id, event, from_class, to_class, a AS id, min(b) AS component FROM reach GROUP BY 1, 2, 3, 4, 5) JOIN m USING (image_id, event, from_class, to_class, id) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2)""",
-  """cand AS (SELECT *, (SELECT count(*) FROM known k WHERE k.image_id = st.image_id AND k.y >= y0 AND k.y < y1 AND k.x >= x0 AND k.x < x1) / ((x1 - x0) * (y1 - y0)) AS sf, area / ((x1 - x0) * (y1 - y0)) AS tf FROM st),
-  tc AS (SELECT image_id, event, from_class, to_class, component, area, x0, y0, x1, y1, round(sf, 9) AS support_fraction, round(tf, 9) AS transition_fraction, greatest(0, x0 - 3) AS crop_x0, greatest(0, y0 - 3) AS crop_y0, least(16, x1 + 3) AS crop_x1, least(16, y1 + 3) AS crop_y1 FROM cand WHERE sf >= 0.5 AND tf >= 0.5)""")
+  """raw AS MATERIALIZED (SELECT image_id, y, x, y * 2147483648 + x AS id, 'appearance' AS event, -1 AS from_class, c AS to_class, (sure_gain >> c) & 1 = 1 AS robust FROM known, cl WHERE (gain >> c) & 1 = 1
+    UNION ALL SELECT image_id, y, x, y * 2147483648 + x, 'disappearance', c, -1, (sure_loss >> c) & 1 = 1 FROM known, cl WHERE (loss >> c) & 1 = 1
+    UNION ALL SELECT image_id, y, x, y * 2147483648 + x, 'replacement', a.c, b.c, (sure_loss >> a.c) & 1 = 1 AND (sure_gain >> b.c) & 1 = 1 FROM known, cl a, cl b WHERE (loss >> a.c) & 1 = 1 AND (gain >> b.c) & 1 = 1)""",
+  "m AS MATERIALIZED (SELECT * FROM raw WHERE robust)", *reach_sql("rc", "m"), *reach_sql("pc", "raw"),
+  f"st AS (SELECT {_LAYER}, component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, avg(x) AS cx, avg(y) AS cy FROM rc GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2)")
+
+
+def inside(rows, box, where):
+    """Pixels of ``rows`` in a box of the outer row."""
+    y0, x0, y1, x1 = (f"{box}{c}" for c in ("y0", "x0", "y1", "x1"))
+    return f"(SELECT count(*) FROM {rows} k WHERE {where} AND k.y >= {y0} AND k.y < {y1} AND k.x >= {x0} AND k.x < {x1})"
+
+
+_SAME = " AND ".join(f"k.{c} = t.{c}" for c in _LAYER.split(", "))
+_PARENT = f"(SELECT p.component FROM pc p WHERE {_SAME.replace('k.', 'p.')} AND p.id = t.component)"
+_CROPS = f"""crops AS (SELECT t.*, {inside('known', 't.crop_', 'k.image_id = t.image_id')} AS common_pixels, {inside('rc', 't.crop_', _SAME + ' AND k.component = t.component')} AS candidate_pixels,
+    {inside('pc', 't.crop_', _SAME + f' AND k.component = {_PARENT}')} AS raw_pixels, {inside('pc', 't.crop_', _SAME + f' AND k.component = {_PARENT} AND NOT k.robust')} AS ignored_boundary_pixels FROM tc t)"""
+_CROP_BODY = "SELECT *, raw_pixels - ignored_boundary_pixels - candidate_pixels AS other_robust_pixels FROM crops"
+COMPONENT_MODE = f"""cand AS (SELECT *, {inside('known', 't.', 'k.image_id = t.image_id')} / ((x1 - x0) * (y1 - y0)) AS sf, area / ((x1 - x0) * (y1 - y0)) AS tf FROM st t),
+  tc AS (SELECT {_LAYER}, component, area, x0, y0, x1, y1, round(sf, 9) AS support_fraction, round(tf, 9) AS transition_fraction, greatest(0, x0 - 3) AS crop_x0, greatest(0, y0 - 3) AS crop_y0, least(16, x1 + 3) AS crop_x1, least(16, y1 + 3) AS crop_y1 FROM cand WHERE sf >= 0.5 AND tf >= 0.5)"""
+WINDOW_MODE = f"""wide AS (SELECT {_LAYER}, component, area, size AS window_size, least(greatest(0, CAST(round_even(cx - (size - 1) / 2, 0) AS INTEGER)), 16 - size) AS x0, least(greatest(0, CAST(round_even(cy - (size - 1) / 2, 0) AS INTEGER)), 16 - size) AS y0 FROM st, (VALUES (3), (5)) s(size)),
+  boxed AS (SELECT *, x0 + window_size AS x1, y0 + window_size AS y1 FROM wide),
+  cand AS (SELECT *, {inside('known', 't.', 'k.image_id = t.image_id')} / (window_size * window_size) AS sf, {inside('rc', 't.', _SAME + ' AND k.component = t.component')} AS n FROM boxed t),
+  tc AS (SELECT {_LAYER}, component, area, window_size, x0, y0, x1, y1, round(sf, 9) AS support_fraction, round(n / (window_size * window_size), 9) AS transition_fraction, x0 AS crop_x0, y0 AS crop_y0, x1 AS crop_x1, y1 AS crop_y1
+    FROM cand WHERE n >= 2 AND sf >= 0.4 AND n / (window_size * window_size) >= 0.1 QUALIFY row_number() OVER (PARTITION BY {_LAYER}, x0, y0, x1, y1 ORDER BY component) = 1)"""
+
+
+@register("transition_candidates", with_sql("RECURSIVE " + GRID, *TRANS, COMPONENT_MODE, _CROPS, body=_CROP_BODY))
+def transition_candidates(spark, folder):
+    """Component crops: the component's box is gated, the crop has a margin of three."""
+    out = T.transition_candidates(grid(spark, folder), "image_id", 7, 1, 2, 0.5, 0.5, SIDE, 3)
+    return tidy(out, ("support_fraction", "transition_fraction"))
 
 
-@register("transition_candidates", with_sql("RECURSIVE " + GRID, *TRANS, body="SELECT * FROM tc"))
-def transition_candidates(spark, folder):
-    out = L.transition_candidates(grid(spark, folder), "image_id", 7, 1, 2, 0.5, 0.5, SIDE, 3)
+@register("transition_windows", with_sql("RECURSIVE " + GRID, *TRANS, WINDOW_MODE, _CROPS, body=_CROP_BODY))
+def transition_windows(spark, folder):
+    """Window crops: squares of two sizes round each component's centroid."""
+    out = T.transition_candidates(grid(spark, folder), "image_id", 7, 1, 2, 0.4, 0.1, SIDE, sizes=(3, 5))
     return tidy(out, ("support_fraction", "transition_fraction"))
 
 

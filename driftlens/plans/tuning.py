@@ -8,7 +8,7 @@ from driftlens.operators import calibrate as C
 from driftlens.operators import decide as D
 from driftlens.operators import select as S
 from driftlens.plans.fixtures import CELLS, GRID, IMAGES, PX, UNITS, cells, grid, images, rounded, scores, table, units, with_sql
-from driftlens.plans.maps import FRAME_GRID4, RANKED, TRANS, ranked_tiles, transition_candidates
+from driftlens.plans.maps import COMPONENT_MODE, FRAME_GRID4, RANKED, TRANS, ranked_tiles, transition_candidates
 from driftlens.session import cut_lineage
 from driftlens.plans.metrics import PAIRS, case_rows, pair_rows, tidy
 
@@ -303,7 +303,7 @@ def even_spaced_units(spark, folder):
     return S.even_spaced(units(spark, folder).select("unit_id"), "unit_id", F.floor(F.col("unit_id") / 5000), 12)
 
 
-@register("round_robin_windows", with_sql("RECURSIVE " + GRID, *TRANS, """gi AS (SELECT event, from_class, to_class, row_number() OVER (PARTITION BY event ORDER BY from_class, to_class) AS gx FROM (SELECT DISTINCT event, from_class, to_class FROM tc)),
+@register("round_robin_windows", with_sql("RECURSIVE " + GRID, *TRANS, COMPONENT_MODE, """gi AS (SELECT event, from_class, to_class, row_number() OVER (PARTITION BY event ORDER BY from_class, to_class) AS gx FROM (SELECT DISTINCT event, from_class, to_class FROM tc)),
   dp AS (SELECT *, CAST(row_number() OVER (PARTITION BY event, from_class, to_class ORDER BY transition_fraction DESC, image_id, component) AS INTEGER) AS depth FROM tc)""",
   body="SELECT image_id, event, from_class, to_class, component, depth, CAST(row_number() OVER (ORDER BY depth, gx, list_position(['replacement', 'appearance', 'disappearance'], event)) AS INTEGER) AS pick FROM dp JOIN gi USING (event, from_class, to_class) QUALIFY pick <= 60"))
 def round_robin_windows(spark, folder):

@@ -16,6 +16,7 @@ from driftlens.plans.tuning import GRID101, LONG, long_scores
 from driftlens.session import cut_lineage, stored
 from driftlens.sources import maps, tables
 from driftlens.streaming import events as E
+from driftlens.streaming import live as V
 from driftlens.streaming import memory as M
 
 QUERIES, SQL = {}, {}
@@ -208,11 +209,10 @@ def latest_unit_status(spark, folder):
 
 @register("latest_unit_status_stream", LATEST)
 def latest_unit_status_stream(spark, folder):
-    """Several micro-batches; duplicated deliveries count once however late they come, then the latest record wins."""
+    """Several micro-batches in update mode; repeated deliveries count once however late they come, and the sink holds one row per unit."""
     log = run_log(spark, folder)
     feed = event_stream(spark, folder, log.unionByName(log.filter("event_id % 5 = 0")), batches=3)
-    data = E.run_partials(feed, E.shared_folder(spark, "status"), E.distinct_records)
-    return E.latest_status(E.distinct_records(spark.read.parquet(data)))
+    return E.run_upserts(E.latest_status_stream(feed), E.shared_folder(spark, "status"), ["unit_id"])
 
 
 @register("log_problems", """WITH l AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -336,6 +336,16 @@ def live_metrics_stream(spark, folder):
     return E.live_totals(spark.read.parquet(data))
 
 
+@register("live_metrics_frozen", live_sql("(SELECT * FROM e WHERE method = 'a' OR NOT EXISTS (SELECT 1 FROM units WHERE split = 'val' AND unit_id % 13 = 0))"))
+def live_metrics_frozen(spark, folder):
+    """Thresholds freeze inside the stream: TEST work arrives first, and method c never finishes its VAL work."""
+    pixels = long_scores(spark, folder).join(units(spark, folder).filter("split IN ('val', 'test')").select("unit_id", "building_id", "split"), "unit_id").filter("label IS NOT NULL")
+    plan = stored(pixels.groupBy("method", "building_id").agg(F.count_if(F.col("split") == "val").alias("expected")), "plan")
+    came = pixels.filter("split = 'test' OR method = 'a' OR unit_id % 13 != 0").select("method", "building_id", "unit_id", "split", "label", "score")
+    feed = fed(spark, [came.filter("split = 'test'"), came.filter("split = 'val' AND unit_id % 2 = 0"), came.filter("split = 'val' AND unit_id % 2 = 1")])
+    return V.run_live(feed, plan, E.shared_folder(spark, "live")).select("method", "building_id", "tp", "fp", "fn", "tn")
+
+
 def map_files(spark, folder):
     """One npz score map per (sequence, frame), as rows of (path, content)."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:

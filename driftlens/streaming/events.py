@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from driftlens.functions.metrics import confusion
 from driftlens.operators.decide import above
@@ -36,24 +37,78 @@ def run_partials(stream: DataFrame, folder: str, summarise) -> str:
     return folder + "/data"
 
 
+def run_upserts(stream: DataFrame, folder: str, keys, after=None) -> DataFrame:
+    """Drain a stream of changed rows into a table with one row per key; returns the table.
+
+    Every micro-batch writes the next version from the one before, so a replayed
+    epoch overwrites its own version and counts once. Versions older than the
+    one before are removed. ``after`` gets the table and the epoch when its
+    version is written. The work of an epoch grows with the table, not with the
+    log behind it.
+    """
+    keys, spark = list(keys), stream.sparkSession
+    version = lambda epoch: f"{folder}/data/v={epoch}"
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        session, rest = batch.sparkSession, [c for c in batch.columns if c not in keys]
+        rows = batch.withColumn("_new", F.lit(1))
+        if epoch:
+            rows = rows.unionByName(session.read.schema(batch.schema).parquet(version(epoch - 1)).withColumn("_new", F.lit(0)))
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_new").alias("_l")).select(*keys, "_l.*").select(*batch.columns)
+        last.write.mode("overwrite").parquet(version(epoch))
+        if after:
+            after(session.read.schema(batch.schema).parquet(version(epoch)), epoch)
+        removed(session, version(epoch - 2))
+
+    query = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return newest(spark, f"{folder}/data", "v", stream.schema)
+
+
+def newest(spark: SparkSession, path: str, number: str, schema) -> DataFrame:
+    """Rows of the folder with the highest ``number``; no rows where nothing was written."""
+    if not hadoop_path(spark, path)[0]:
+        return spark.createDataFrame([], schema)
+    every = spark.read.schema(StructType([*schema.fields, StructField(number, IntegerType())])).parquet(path)
+    last = every.agg(F.max(number)).first()[0]
+    return every.filter(F.col(number) == last).drop(number)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(whether it exists, path, file system) wherever Spark's file systems keep it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(place), place, system
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    exists, place, system = hadoop_path(spark, path)
+    if exists:
+        system.delete(place, True)
+
+
 def latest_status(log: DataFrame, key="unit_id", order="sequence") -> DataFrame:
     """Latest record per unit from an append-only log."""
     return merge_latest(log.withColumn("records", F.lit(1)), key, order)
 
 
 def merge_latest(parts: DataFrame, key="unit_id", order="sequence") -> DataFrame:
-    """Merge per-batch summaries (or raw records counted as 1)."""
+    """Merge summaries (or raw records counted as 1)."""
     return parts.groupBy(key).agg(F.max_by(F.struct("status", order), order).alias("_l"), F.sum("records").alias("records")).select(
         key, "_l.status", F.col(f"_l.{order}").alias(order), "records"
     )
 
 
-def distinct_records(log: DataFrame, key="unit_id", order="sequence") -> DataFrame:
-    """One row per record whatever was delivered twice; applied per micro-batch and again over all of them.
+def latest_status_stream(log: DataFrame, key="unit_id", order="sequence", clock=None, delay=None) -> DataFrame:
+    """The same on a stream, for update mode: every repeated delivery of a record counts once.
 
-    Nothing is dropped for being late, which a watermark would do.
+    The state store remembers the records seen. With ``clock`` and ``delay``, it
+    forgets them once the watermark has passed, and repeats that come later than
+    that count again.
     """
-    return log.select(key, order, "status").distinct()
+    if clock:
+        return latest_status(log.withWatermark(clock, delay).dropDuplicatesWithinWatermark([key, order]), key, order)
+    return latest_status(log.dropDuplicates([key, order]), key, order)
 
 
 def log_problems(log: DataFrame) -> DataFrame:

@@ -2,15 +2,18 @@
 
 import io
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftlens.operators import calibrate as C
 from driftlens.operators import scan
 from driftlens.session import stored
 from driftlens.sources import coco, maps, tables
 from driftlens.streaming import events as E
+from driftlens.streaming import live as V
 from driftlens.streaming import memory as M
 
 OBS = "sequence_id long, cell string, frame long, value double"
@@ -158,6 +161,59 @@ def test_replayed_epoch_does_not_double(spark, tmp_path):
     assert out == {1: ("b", 2), 2: ("a", 1)}
 
 
+def test_upsert_table_has_one_row_per_unit(spark, tmp_path):
+    source, sink = str(tmp_path / "log"), str(tmp_path / "out")
+    part = lambda rows: spark.createDataFrame(rows, "unit_id int, sequence int, status string").coalesce(1).write.mode("append").parquet(source)
+    run = lambda: E.run_upserts(E.latest_status_stream(spark.readStream.schema("unit_id int, sequence int, status string").parquet(source)), sink, ["unit_id"])
+    part([(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (None, 5, "n")])
+    assert {tuple(r) for r in run().collect()} == {(1, "b", 2, 2), (2, "a", 1, 1), (None, "n", 5, 1)}
+    # A record that comes again after others, an older one, and a new unit; then the same delivery once more.
+    part([(1, 1, "a"), (2, 0, "z"), (3, 9, "c")])
+    part([(1, 1, "a"), (2, 0, "z"), (3, 9, "c")])
+    assert {tuple(r) for r in run().collect()} == {(1, "b", 2, 2), (2, "a", 1, 2), (3, "c", 9, 1), (None, "n", 5, 1)}
+    assert len([d for d in os.listdir(sink + "/data") if d.startswith("v=")]) <= 2
+
+
+def live_pixels(seed):
+    rng, rows = np.random.default_rng(seed), []
+    for unit in range(60):
+        split, clean = ("val", "test")[unit % 2], rng.random() < 0.4
+        for _ in range(int(rng.integers(1, 30))):
+            label = None if rng.random() < 0.1 else 0 if clean else int(rng.integers(0, 2))
+            rows.append(("m", unit % 5 // 2, unit, split, label, float(np.float32(rng.random() * (1 + (label or 0))))))
+    return rows
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_thresholds_freeze_in_the_stream(spark, tmp_path, missing):
+    """TEST first, VAL afterwards in two parts; with a VAL pixel missing nothing may appear."""
+    rows = live_pixels(4)
+    frame = spark.createDataFrame(rows, "method string, building_id int, unit_id int, split string, label int, score float")
+    known = frame.filter("label IS NOT NULL")
+    plan = known.groupBy("method", "building_id").agg(F.count_if(F.col("split") == "val").alias("expected"))
+    if missing:
+        plan = plan.withColumn("expected", F.col("expected") + F.when(F.col("building_id") == 1, 1).otherwise(0))
+    source = str(tmp_path / "feed")
+    for part in ("split = 'test'", "split = 'val' AND unit_id % 4 = 0", "split = 'val' AND unit_id % 4 <> 0"):
+        frame.filter(part).coalesce(1).write.mode("append").parquet(source)
+    feed = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = V.run_live(feed, plan, str(tmp_path / "live"))
+    epochs = spark.read.parquet(str(tmp_path / "live" / "metrics")).groupBy("epoch").count().collect()
+    if missing:
+        assert out.count() == 0
+        return
+    units = frame.filter("split = 'val'").select("unit_id", "building_id").distinct()
+    best = C.calibrate_f1(known.drop("building_id"), units, ["method"], F.col("score")).first()
+    assert len(epochs) == 1 and {r["threshold"] for r in out.collect()} == {best["threshold"]}
+    want = {}
+    for _, building, _, split, label, score in rows:
+        if split == "test" and label is not None:
+            hit = np.float32(score) > np.float32(best["threshold"])
+            place = want.setdefault(building, [0, 0, 0, 0])
+            place[{(1, True): 0, (0, True): 1, (1, False): 2, (0, False): 3}[label, bool(hit)]] += 1
+    assert {r.building_id: [r.tp, r.fp, r.fn, r.tn] for r in out.collect()} == want
+
+
 def test_log_tail_rule(spark):
     rows = [("ok", 1, 1, "c"), ("ok", 2, 2, "c"), ("ok", 3, None, "c"), ("mid", 1, 1, "c"), ("mid", 2, None, "c"), ("mid", 3, 2, "c"), ("gap", 1, 1, "c"), ("gap", 2, 3, "d")]
     log = spark.createDataFrame(rows, "run_id string, position int, sequence int, config_hash string")

@@ -97,6 +97,71 @@ def resolve(images: DataFrame, candidates: DataFrame, renames: DataFrame) -> Dat
         F.when(F.col("_m").isNull(), "not_found").when(unique, rule).otherwise(F.concat(F.lit("ambiguous_"), rule)).alias("rule"),
     )
 
+def _first_and_last(rows: DataFrame, key, value: str, low: str, high: str) -> DataFrame:
+    """Least and greatest value per key: all that is needed to tell one from several."""
+    return rows.groupBy(key).agg(F.min(value).alias(low), F.max(value).alias(high))
+
+
+def rename_classes(images: DataFrame, closure: DataFrame) -> DataFrame:
+    """Rows (image_id, class, refused): the rename class an image's name belongs to.
+
+    A class is what one chain of renames connects, named by its last member. The
+    whole name is looked up first, then its basename, then the basename without
+    prefix; where the first of these that matches names several classes, the
+    image is refused.
+    """
+    members = closure.filter("NOT in_cycle").select("name", F.col("final_name").alias("class"))
+    whole, name = F.regexp_replace("file_name", r"\\", "/"), F.col("_whole")
+    staged = images.select("image_id", whole.alias("_whole"))
+    keys = [lambda c: c, N.basename, lambda c: N.normalized_name(N.basename(c))]
+    found = []
+    for k, key in enumerate(keys):
+        index = _first_and_last(members.withColumn(f"_k{k}", key(F.col("name"))), f"_k{k}", "class", f"_lo{k}", f"_hi{k}")
+        staged = staged.withColumn(f"_k{k}", key(name)).join(index, f"_k{k}", "left")
+        found.append(F.when(F.col(f"_lo{k}").isNotNull(), F.struct(F.col(f"_lo{k}").alias("lo"), F.col(f"_hi{k}").alias("hi"))))
+    first = F.coalesce(*found)
+    return staged.select("image_id", first["lo"].alias("class"), (first["lo"] != first["hi"]).alias("refused")).filter("class IS NOT NULL")
+
+
+def resolve_aliases(images: DataFrame, candidates: DataFrame, closure: DataFrame) -> DataFrame:
+    """Staged file matching where any member of a rename class stands for the image.
+
+    Needs images (image_id, file_name), candidates (path, relative to their
+    root) and ``rename_closure`` rows. Member names with a folder match only the
+    same folder. An image with several classes is refused as ambiguous once no
+    direct match has decided, before the later stages may guess.
+    """
+    path, base = F.col("path"), N.basename(F.col("path"))
+    bare = lambda c: N.normalized_name(N.basename(c))
+    # The folder stays, the basename loses its prefix.
+    placed = lambda c: F.concat(F.regexp_extract(c, r"^(.*/)?", 0), bare(c))
+    entry = lambda stage, key: F.struct(F.lit(stage).alias("stage"), key.alias("key"))
+    tag = lambda kind, key: F.concat(F.lit(kind), key)
+    index = candidates.select("path", F.inline(F.array(
+        entry(0, path), entry(1, base), entry(2, tag("b:", base)), entry(2, tag("r:", path)), entry(3, tag("b:", bare(path))), entry(3, tag("r:", placed(path))),
+        entry(4, tag("b:", F.lower(bare(path)))), entry(4, tag("r:", F.lower(placed(path)))),
+    ))).groupBy("stage", "key").agg(F.min("path").alias("_lo"), F.max("path").alias("_hi"))
+    member = F.col("name")
+    folder = member.contains("/")
+    either = lambda plain, qualified: F.when(folder, tag("r:", qualified)).otherwise(tag("b:", plain))
+    aliases = closure.filter("NOT in_cycle").select(F.col("final_name").alias("class"), F.inline(F.array(
+        entry(2, either(member, member)), entry(3, either(bare(member), placed(member))), entry(4, either(F.lower(bare(member)), F.lower(placed(member)))),
+    )))
+    # Files of a class are looked up once per class, not once per image and member.
+    of_class = aliases.join(index, ["stage", "key"]).groupBy("class", "stage").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    classes = rename_classes(images, closure)
+    through = classes.filter("NOT refused").join(of_class, "class").select("image_id", "stage", "_lo", "_hi")
+    refused = classes.filter("refused").select("image_id", F.lit(2).alias("stage"), F.lit("").alias("_lo"), F.lit("several").alias("_hi"))
+    whole, name = F.col("file_name"), N.basename(F.col("file_name"))
+    own = images.select("image_id", F.inline(F.array(entry(0, whole), entry(1, name), entry(3, tag("b:", bare(whole))), entry(4, tag("b:", F.lower(bare(whole))))))).join(index, ["stage", "key"])
+    hits = own.select("image_id", "stage", "_lo", "_hi").unionByName(through).unionByName(refused)
+    best = hits.groupBy("image_id", "stage").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).groupBy("image_id").agg(F.min_by(F.struct("stage", "_lo", "_hi"), "stage").alias("_m"))
+    rule, unique = F.get(F.array(*[F.lit(s) for s in STAGES]), F.col("_m.stage")), F.col("_m._lo") == F.col("_m._hi")
+    return images.select("image_id").join(best, "image_id", "left").select(
+        "image_id", F.when(unique, F.col("_m._lo")).alias("path"),
+        F.when(F.col("_m").isNull(), "not_found").when(unique, rule).otherwise(F.concat(F.lit("ambiguous_"), rule)).alias("rule"),
+    )
+
 
 def apply_rules(images: DataFrame, view_rules: DataFrame, file_rules: DataFrame, overrides: DataFrame) -> DataFrame:
     """View rule < file rule < reviewed override.

@@ -218,6 +218,43 @@ def resolved_files(spark, folder):
     return C.resolve(rows, candidate_paths(rows), renames)
 
 
+_ALIASED = """maps AS (SELECT file_name AS old, 'mid_' || image_id || '.jpg' AS new FROM images WHERE image_id % 6 = 2 UNION ALL SELECT 'mid_' || image_id || '.jpg', 'dir_b/renamed_' || image_id || '.jpg' FROM images WHERE image_id % 6 = 2),
+  good AS (SELECT DISTINCT file_name AS name, min(image_id) AS k FROM images WHERE image_id % 6 = 2 GROUP BY 1 HAVING count(*) = 1),
+  members AS (SELECT DISTINCT name, 'dir_b/renamed_' || k || '.jpg' AS cls FROM (SELECT name, k FROM good UNION ALL SELECT unnest(['mid_' || image_id || '.jpg', 'dir_b/renamed_' || image_id || '.jpg']), image_id FROM images WHERE image_id % 6 = 2)),
+  files AS (SELECT DISTINCT path FROM (SELECT CASE image_id % 12 WHEN 0 THEN file_name WHEN 1 THEN 'dir_a/' || file_name WHEN 2 THEN 'dir_b/renamed_' || image_id || '.jpg' WHEN 8 THEN 'dir_f/mid_' || image_id || '.jpg' WHEN 3 THEN 'dir_c/deadbeef-' || substr(file_name, 10)
+    WHEN 4 THEN 'dir_d/' || upper(substr(file_name, 10)) WHEN 5 THEN 'dir_z/renamed_' || (image_id - 3) || '.jpg' END AS path FROM images) WHERE path IS NOT NULL),
+  asked AS (SELECT image_id, CASE image_id % 24 WHEN 2 THEN 'mid_' || image_id || '.jpg' WHEN 8 THEN 'cafef00d-' || substr(file_name, 10) WHEN 14 THEN 'renamed_' || image_id || '.jpg' ELSE file_name END AS file_name FROM images)"""
+_BARE = "regexp_replace(regexp_replace({0}, '^.*/', ''), '^[0-9a-fA-F]{{8}}-', '')"
+_PLACED = "regexp_extract({0}, '^(.*/)?') || " + _BARE
+
+
+@register("alias_resolved_files", with_sql(IMAGES, _ALIASED, f"""idx AS (SELECT path, unnest([0, 1, 2, 2, 3, 3, 4, 4]) AS stage, unnest([path, regexp_replace(path, '^.*/', ''), 'b:' || regexp_replace(path, '^.*/', ''), 'r:' || path, 'b:' || {_BARE.format('path')}, 'r:' || {_PLACED.format('path')},
+    'b:' || lower({_BARE.format('path')}), 'r:' || lower({_PLACED.format('path')})]) AS key FROM files)""",
+  f"""al AS (SELECT cls, unnest([2, 3, 4]) AS stage, unnest(CASE WHEN contains(name, '/') THEN ['r:' || name, 'r:' || {_PLACED.format('name')}, 'r:' || lower({_PLACED.format('name')})] ELSE ['b:' || name, 'b:' || {_BARE.format('name')}, 'b:' || lower({_BARE.format('name')})] END) AS key FROM members),
+  c0 AS (SELECT image_id, count(DISTINCT cls) AS n, min(cls) AS cls FROM asked JOIN members ON name = file_name GROUP BY 1),
+  c1 AS (SELECT image_id, count(DISTINCT cls) AS n, min(cls) AS cls FROM asked JOIN members ON regexp_replace(name, '^.*/', '') = regexp_replace(file_name, '^.*/', '') GROUP BY 1),
+  c2 AS (SELECT image_id, count(DISTINCT cls) AS n, min(cls) AS cls FROM asked JOIN members ON {_BARE.format('name')} = {_BARE.format('file_name')} GROUP BY 1),
+  cl AS (SELECT image_id, coalesce(c0.n, c1.n, c2.n) AS n, CASE WHEN c0.n IS NOT NULL THEN c0.cls WHEN c1.n IS NOT NULL THEN c1.cls ELSE c2.cls END AS cls FROM asked LEFT JOIN c0 USING (image_id) LEFT JOIN c1 USING (image_id) LEFT JOIN c2 USING (image_id)),
+  own AS (SELECT image_id, unnest([0, 1, 3, 4]) AS stage, unnest([file_name, regexp_replace(file_name, '^.*/', ''), 'b:' || {_BARE.format('file_name')}, 'b:' || lower({_BARE.format('file_name')})]) AS key FROM asked),
+  hits AS (SELECT image_id, stage, path FROM own JOIN idx USING (stage, key) UNION SELECT image_id, stage, path FROM cl JOIN al USING (cls) JOIN idx USING (stage, key) WHERE n = 1 UNION SELECT image_id, 2, unnest(['', 'several']) FROM cl WHERE n > 1),
+  best AS (SELECT image_id, stage, min(path) AS p, count(DISTINCT path) AS n FROM hits GROUP BY 1, 2 QUALIFY stage = min(stage) OVER (PARTITION BY image_id))""",
+  body="""SELECT image_id, CASE WHEN n = 1 THEN p END AS path, CASE WHEN n IS NULL THEN 'not_found' ELSE CASE WHEN n > 1 THEN 'ambiguous_' ELSE '' END || ['explicit_path', 'exact_basename', 'rename_map', 'stripped_prefix', 'casefold'][stage + 1] END AS rule FROM images LEFT JOIN best USING (image_id)"""))
+def alias_resolved_files(spark, folder):
+    """Chains of two renames: images ask by the first, a middle, a re-prefixed or a folderless last name; files carry a middle or the last one."""
+    rows, k, name = manifest(spark, folder), F.col("image_id"), F.col("file_name")
+    number, bare = k.cast("string"), F.substring("file_name", 10, 200)
+    jpg = lambda start, n=number: F.concat(F.lit(start), n, F.lit(".jpg"))
+    steps = F.array(F.struct(name.alias("old_name"), jpg("mid_").alias("new_name")), F.struct(jpg("mid_").alias("old_name"), jpg("dir_b/renamed_").alias("new_name")))
+    maps = rows.filter(k % 6 == 2).select(F.inline(steps))
+    place = (
+        F.when(k % 12 == 0, name).when(k % 12 == 1, F.concat(F.lit("dir_a/"), name)).when(k % 12 == 2, jpg("dir_b/renamed_")).when(k % 12 == 8, jpg("dir_f/mid_"))
+        .when(k % 12 == 3, F.concat(F.lit("dir_c/deadbeef-"), bare)).when(k % 12 == 4, F.concat(F.lit("dir_d/"), F.upper(bare))).when(k % 12 == 5, jpg("dir_z/renamed_", (k - 3).cast("string")))
+    )
+    files = rows.select(place.alias("path")).filter("path IS NOT NULL").distinct()
+    asked = rows.select("image_id", F.when(k % 24 == 2, jpg("mid_")).when(k % 24 == 8, F.concat(F.lit("cafef00d-"), bare)).when(k % 24 == 14, jpg("renamed_")).otherwise(name).alias("file_name"))
+    return C.resolve_aliases(asked, files, C.rename_closure(maps))
+
+
 @register("applied_rules", with_sql(IMAGES, f"named AS (SELECT *, {_NORM} AS nm, {_VIEW} AS vw, {_YEAR} AS yr FROM images)",
   "vr AS (SELECT DISTINCT vw AS view_id, 'B_' || vw AS building_id FROM named WHERE vw LIKE '%en'), fr AS (SELECT nm, min(image_id) AS k FROM named WHERE image_id % 10 = 3 GROUP BY 1)",
   body="""SELECT image_id, CASE WHEN image_id % 15 = 0 THEN NULL WHEN fr.k IS NOT NULL THEN 'fr_' || fr.k ELSE vr.view_id END AS view_id,

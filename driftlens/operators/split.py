@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions.geometry import tile_count
 from driftlens.functions.names import normalized_name
 from driftlens.operators.ranks import bucketed_rank, hex_bucket, running_totals
+from driftlens.session import stored
 
 IDENTITY_KEYS = ("building_id", "view_id", "sha256")
 SPLITS = ("train", "val", "test")
@@ -61,6 +62,99 @@ def assign_split(buildings: DataFrame, fixed: DataFrame, fractions: dict[str, fl
     return chosen.unionByName(owned.filter("split IS NOT NULL").select("building_id", "weight", "split"))
 
 
+def _deviations(assigned: DataFrame, fractions: dict[str, float]) -> tuple[dict[str, float], dict[str, int]]:
+    """Weight above target and number of buildings per split; three sums reach the driver."""
+    rows = {r["split"]: r for r in assigned.groupBy("split").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}
+    total = sum(float(r["w"]) for r in rows.values())
+    return {s: (float(rows[s]["w"]) if s in rows else 0.0) - f * total for s, f in fractions.items()}, {s: rows[s]["n"] if s in rows else 0 for s in fractions}
+
+
+def squared_deviation(assigned: DataFrame, fractions: dict[str, float]) -> float:
+    """Sum over splits of the squared weight off the target."""
+    return sum(d * d for d in _deviations(assigned, fractions)[0].values())
+
+
+def balanced_split(buildings: DataFrame, fixed: DataFrame, fractions: dict[str, float], seed=42, rounds=200) -> DataFrame:
+    """Whole buildings to splits by a search for the least squared deviation from the target weights.
+
+    Starts from the hash order of ``assign_split``. Each round makes the best
+    single move or swap of free buildings: what it gains depends on the moved
+    weight alone and is best at half the difference of two deviations, so the
+    nearest weights to that on both sides are enough. The search ends where
+    none gains anything; it never ends above its start. A split keeps its last
+    building. Of equal weights the building with the least id goes.
+    """
+    start = stored(assign_split(buildings, fixed, fractions, seed).join(fixed.select("building_id", F.lit(True).alias("_held")), "building_id", "left"), "split-start")
+    moved: dict = {}
+    kind = start.schema["building_id"].dataType
+    assigned = start
+    for _ in range(rounds):
+        off, count = _deviations(assigned, fractions)
+        free = assigned.filter("_held IS NULL").groupBy("split", "weight").agg(F.min("building_id").alias("id"))
+        best = _best_exchange(stored(free, "split-weights"), off, count)
+        if best is None:
+            break
+        for building, split in best:
+            moved[building] = split
+        changes = assigned.sparkSession.createDataFrame(list(moved.items()), f"building_id {kind.simpleString()}, _to string")
+        # At most two buildings a round: bounded by ``rounds``.
+        assigned = start.join(F.broadcast(changes), "building_id", "left").withColumn("split", F.coalesce("_to", "split")).drop("_to")
+    return assigned.select("building_id", "weight", "split")
+
+
+def _best_exchange(free: DataFrame, off: dict[str, float], count: dict[str, int]):
+    """[(building, new split), ...] of the move or swap that lowers the squared deviation most, or None."""
+    splits = [s for s in off]
+    gain = lambda d, want: 2 * d * (d - 2 * want)
+    wants = {(s, t): (off[s] - off[t]) / 2 for s in splits for t in splits if s != t}
+    weight, options = F.col("weight"), []
+    asks = []
+    for (s, t), want in wants.items():
+        if count[s] > 1:
+            here = F.col("split") == s
+            asks += [F.max_by(F.struct("weight", "id"), F.when(here & (weight <= want), weight)).alias(f"{s}>{t}<"), F.min_by(F.struct("weight", "id"), F.when(here & (weight >= want), weight)).alias(f"{s}>{t}>")]
+    if asks:
+        row = free.agg(*asks).first()
+        for (s, t), want in wants.items():
+            for found in (row[f"{s}>{t}{end}"] for end in "<>" if f"{s}>{t}{end}" in row.asDict()):
+                if found is not None and found["weight"] is not None:
+                    options.append((gain(float(found["weight"]), want), [(found["id"], t)]))
+    pairs = [(k, s, t) for k, (s, t) in enumerate((s, t) for i, s in enumerate(splits) for t in splits[i + 1:])]
+    for r in _nearest_differences(free, [(k, s, t, wants[s, t]) for k, s, t in pairs]).collect():
+        _, s, t = pairs[r["pair"]]
+        options.append((gain(float(r["wa"]) - float(r["wb"]), wants[s, t]), [(r["ida"], t), (r["idb"], s)]))
+    options = [o for o in options if o[0] < -1e-9]
+    return min(options, key=lambda o: (o[0], len(o[1]), [str(b) for b, _ in o[1]]))[1] if options else None
+
+
+def _nearest_differences(free: DataFrame, pairs, buckets=1024) -> DataFrame:
+    """Per pair (number, s, t, want) the weights of s and t whose difference is nearest to ``want`` from below and from above.
+
+    Both weight lists are merged in order, t's weights shifted by ``want``. Only
+    one bucket of weights is ordered together; what stands before and after it
+    is one value per bucket.
+    """
+    line = F.explode(F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(s).alias("s"), F.lit(t).alias("t"), F.lit(float(w)).alias("want")) for k, s, t, w in pairs]))
+    weight = F.col("weight").cast("double")
+    rows = free.select("split", "weight", "id", line.alias("_p")).select("split", "weight", "id", "_p.*").filter("split = s OR split = t")
+    rows = rows.withColumn("place", F.when(F.col("split") == F.col("s"), weight).otherwise(weight + F.col("want")))
+    span = rows.agg(F.struct(F.min("place").alias("low"), F.max("place").alias("high"))).scalar()
+    part = F.floor((F.col("place") - F.col("_span.low")) / F.greatest(F.col("_span.high") - F.col("_span.low"), F.lit(1e-9)) * (buckets - 1)).cast("int")
+    rows = rows.withColumn("_span", span).withColumn("_b", part).withColumn("_t", F.when(F.col("split") == F.col("t"), F.struct("place", "weight", "id")))
+    ends = rows.groupBy("pair", "_b").agg(F.max("_t").alias("_last"), F.min("_t").alias("_first"))
+    order = Window.partitionBy("pair").orderBy("_b")
+    ends = ends.select("pair", "_b", F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_under"), F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_over"))
+    inner = Window.partitionBy("pair", "_b").orderBy("place")
+    near = rows.withColumn("_low", F.max("_t").over(inner)).withColumn("_high", F.min("_t").over(inner.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    near = near.filter("split = s").join(ends, ["pair", "_b"])
+    both = F.explode(F.array(F.coalesce("_low", "_under"), F.coalesce("_high", "_over"))).alias("_n")
+    found = near.select("pair", "want", F.col("weight").alias("wa"), F.col("id").alias("ida"), "place", both).filter("_n IS NOT NULL")
+    gap = F.col("wa") - F.col("_n.weight")
+    # The exchange gains by how near the difference comes to the wanted one.
+    best = F.struct(F.abs(gap - F.col("want")).alias("miss"), F.col("ida").cast("string").alias("tie"))
+    return found.filter(gap != 0).groupBy("pair").agg(F.min_by(F.struct("wa", "ida", F.col("_n.weight").alias("wb"), F.col("_n.id").alias("idb")), best).alias("_f")).select("pair", "_f.*")
+
+
 def assign_split_constrained(series: DataFrame, fixed: DataFrame, fractions: dict[str, float], seed=42) -> DataFrame:
     """Only medium series enter fresh holdouts, up to rounded building counts.
 

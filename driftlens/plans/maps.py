@@ -97,20 +97,36 @@ def transformed_points(spark, folder):
     return part.select("p_partkey", rounded(x, 6).alias("px"), rounded(y, 6).alias("py"), (~ok).alias("horizon"))
 
 
-@register("expanded_canvas", with_sql(IMAGES, """pts AS (SELECT image_id, width, height, list_transform([[-0.5::DOUBLE, -0.5::DOUBLE], [width - 0.5::DOUBLE, -0.5::DOUBLE], [width - 0.5::DOUBLE, height - 0.5::DOUBLE], [-0.5::DOUBLE, height - 0.5::DOUBLE]],
+_CANVAS = ("""pts AS (SELECT image_id, width, height, list_transform([[-0.5::DOUBLE, -0.5::DOUBLE], [width - 0.5::DOUBLE, -0.5::DOUBLE], [width - 0.5::DOUBLE, height - 0.5::DOUBLE], [-0.5::DOUBLE, height - 0.5::DOUBLE]],
   lambda p: [(1.1::DOUBLE * p[1] + 0.02::DOUBLE * p[2] - 3.0::DOUBLE) / (0.0001::DOUBLE * p[1] + 0.0002::DOUBLE * p[2] + 1.0::DOUBLE), (0.01::DOUBLE * p[1] + 0.9::DOUBLE * p[2] + 2.0::DOUBLE) / (0.0001::DOUBLE * p[1] + 0.0002::DOUBLE * p[2] + 1.0::DOUBLE)]) AS m FROM images)""",
   """box AS (SELECT image_id, CAST(floor(least(-0.5::DOUBLE, list_min(list_transform(m, lambda p: p[1]))) + 0.5 + 1e-9) AS BIGINT) AS "left",
   CAST(floor(least(-0.5::DOUBLE, list_min(list_transform(m, lambda p: p[2]))) + 0.5 + 1e-9) AS BIGINT) AS top,
   CAST(ceil(greatest(width - 0.5::DOUBLE, list_max(list_transform(m, lambda p: p[1]))) + 0.5 - 1e-9) AS BIGINT) AS rgt,
   CAST(ceil(greatest(height - 0.5::DOUBLE, list_max(list_transform(m, lambda p: p[2]))) + 0.5 - 1e-9) AS BIGINT) AS bottom FROM pts)""",
-  body="""SELECT image_id, "left", top, rgt - "left" AS canvas_width, bottom - top AS canvas_height,
-  CASE WHEN greatest(rgt - "left", bottom - top) > 1500 THEN 'unsafe_size' END AS problem FROM box"""))
+  """canvas AS (SELECT image_id, "left", top, rgt - "left" AS canvas_width, bottom - top AS canvas_height, CASE WHEN greatest(rgt - "left", bottom - top) > 1500 THEN 'unsafe_size' END AS problem FROM box)""")
+
+
+@register("expanded_canvas", with_sql(IMAGES, *_CANVAS, body="SELECT * FROM canvas"))
 def expanded_canvas(spark, folder):
     w, h = F.col("width"), F.col("height")
     canvas = G.expanded_canvas(w, h, w, h, G.homography(*HOMOGRAPHY), max_side=1500)
     return images(spark, folder).select("image_id", *[c.alias(n) for n, c in canvas.items()])
 
 
+@register("canvas_problems", with_sql(IMAGES, *_CANVAS, """broken AS (SELECT *, CASE image_id % 6 WHEN 1 THEN 'singular' WHEN 2 THEN 'horizon' WHEN 3 THEN 'not_finite' WHEN 4 THEN 'not_finite' END AS fault FROM canvas)""",
+  body="""SELECT image_id, CASE WHEN fault IS NULL THEN "left" END AS "left", CASE WHEN fault IS NULL THEN top END AS top, CASE WHEN fault IS NULL THEN canvas_width END AS canvas_width, CASE WHEN fault IS NULL THEN canvas_height END AS canvas_height, coalesce(fault, problem) AS problem FROM broken"""))
+def canvas_problems(spark, folder):
+    """The same matrix scaled down by 1e12, and singular, horizon, NaN and zero ones."""
+    w, h, kind = F.col("width"), F.col("height"), F.col("image_id") % 6
+    good = G.homography(*HOMOGRAPHY)
+    cell = lambda i, j: (
+        F.when(kind == 0, good[i][j] * 1e-12).when(kind == 1, good[0][j] * (i + 1)).when(kind == 2, good[i][j] - F.when(F.lit((i, j) == (2, 2)), 1.01).otherwise(0.0))
+        .when(kind == 3, F.when(F.lit((i, j) == (1, 2)), float("nan")).otherwise(good[i][j])).when(kind == 4, F.lit(0.0)).otherwise(good[i][j])
+    )
+    canvas = G.expanded_canvas(w, h, w, h, [[cell(i, j) for j in range(3)] for i in range(3)], max_side=1500)
+    return images(spark, folder).select("image_id", *[c.alias(n) for n, c in canvas.items()])
+
+
 INVERSE = (1.0, 0.25, -1.5, -0.25, 1.0, 2.25, 0.0, 0.0, 1.0)
 _PLACED = """placed AS (SELECT image_id, y, x, x + 0.25::DOUBLE * y - 1.5::DOUBLE AS sx, -0.25::DOUBLE * x + y + 2.25::DOUBLE AS sy FROM grid)"""
 

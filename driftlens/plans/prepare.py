@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from driftlens.functions import digest as H
@@ -12,7 +14,7 @@ from driftlens.operators import sequences as Q
 from driftlens.operators import split as S
 from driftlens.plans.fixtures import CELLS, GRID, IMAGES, PX, UNITS, cells, grid, images, rounded, table, units, with_sql
 from driftlens.plans.metrics import tidy
-from driftlens.session import cut_lineage
+from driftlens.session import cut_lineage, stored
 from driftlens.sources import coco, tables
 
 QUERIES, SQL = {}, {}
@@ -273,10 +275,11 @@ def applied_rules(spark, folder):
     return C.apply_rules(rows, views, files, over)
 
 
-@register("rule_conflicts", with_sql(IMAGES, body=f"SELECT view_id, count(DISTINCT building_id) AS buildings FROM (SELECT {_VIEW} AS view_id, building_id FROM images) WHERE view_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT building_id) > 1"))
+@register("rule_conflicts", with_sql(IMAGES, body=f"SELECT view_id, count(DISTINCT b) AS buildings FROM (SELECT {_VIEW} AS view_id, CASE WHEN image_id % 40 = 7 THEN 'moved' ELSE building_id END AS b FROM images) WHERE view_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT b) > 1"))
 def rule_conflicts(spark, folder):
-    """Views that their images give to several buildings."""
-    rows = manifest(spark, folder).select(N.view_from_name(F.col("file_name")).alias("view_id"), "building_id").filter("view_id IS NOT NULL")
+    """Views that their images give to several buildings; every fortieth image names another one."""
+    building = F.when(F.col("image_id") % 40 == 7, "moved").otherwise(F.col("building_id"))
+    rows = manifest(spark, folder).select(N.view_from_name(F.col("file_name")).alias("view_id"), building.alias("building_id")).filter("view_id IS NOT NULL")
     return C.rule_conflicts(rows)
 
 
@@ -443,6 +446,23 @@ def assigned_split(spark, folder):
     return S.assign_split(*sequence_weights(spark, folder), FRACTIONS)
 
 
+@register("balanced_split", with_sql(_WEIGHTS, body="SELECT count(*) AS buildings, CAST(sum(weight) AS BIGINT) AS weight, count(fx) AS kept_owners, true AS not_above_hash_order, true AS within_one, 3 AS splits FROM w"))
+def balanced_split(spark, folder):
+    """The searched split against the constraints: owners stay, the squared deviation never exceeds that of the hash order, and with these weights no split is off by one."""
+    buildings, fixed = sequence_weights(spark, folder)
+    searched = stored(S.balanced_split(buildings, fixed, FRACTIONS), "balanced")
+    kept = searched.join(fixed.withColumnRenamed("split", "_own"), "building_id", "left")
+    apart = lambda rows: S.squared_deviation(rows, FRACTIONS)
+    sums = searched.groupBy("split").agg(F.sum("weight").alias("w"))
+    whole = sums.agg(F.sum("w")).scalar()
+    off = reduce(lambda acc, s: acc.when(F.col("split") == s, FRACTIONS[s]), list(FRACTIONS)[1:], F.when(F.col("split") == list(FRACTIONS)[0], FRACTIONS[list(FRACTIONS)[0]]))
+    gaps = sums.agg(F.max(F.abs(F.col("w") - off * whole)).alias("gap"), F.count("*").cast("int").alias("n"))
+    return kept.agg(
+        F.count("*").alias("buildings"), F.sum("weight").cast("long").alias("weight"), F.count_if(F.col("_own") == F.col("split")).alias("kept_owners"),
+        F.lit(apart(searched) <= apart(S.assign_split(buildings, fixed, FRACTIONS))).alias("not_above_hash_order"),
+    ).withColumn("within_one", gaps.select(F.col("gap") < 1).scalar()).withColumn("splits", gaps.select("n").scalar())
+
+
 def order_series(spark, folder):
     """Customers as buildings, order priority as view, order year as year."""
     o = table(spark, folder, "orders")

@@ -40,7 +40,7 @@ class Aligner:
     """Byte strings of both vocabularies, the identity map, and each id written out."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = loaded(ByteLevel, a_path, False), loaded(Pieces, b_path)
+        self.a, self.b = ByteLevel(a_path, False), Pieces(b_path)
         self.words = [Words(v.strings, v.size) for v in (self.a, self.b)]
         by_bytes = {word: i for i, word in sorted(self.b.strings.items())}
         self.same = np.array([by_bytes.get(self.a.strings.get(i), -1) for i in range(self.a.size)])

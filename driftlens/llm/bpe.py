@@ -11,21 +11,22 @@ only ``doc_id`` and ``text`` are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from driftlens.llm.common import arrow_schema, slices, table
+from driftlens.llm.common import arrow_schema, held, slices, table
 
 #: Fixed value: the published piece pattern, with white space as Unicode defines it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pieces remembered per generation and Python worker, and the longest piece worth remembering.
-REMEMBERED, LONGEST = 200_000, 40
+REMEMBERED, LONGEST = 300_000, 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,36 +56,56 @@ class Vocabulary:
             self.merges[vocab[left] << 20 | vocab[right]] = rank << 20 | vocab[left + right]
         self.cut = regex.compile("(" + "|".join(regex.escape(w) for w in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.find = regex.compile(PIECES).findall
+        self.kind = np.dtype("<u2" if len(self.strings) <= 1 << 16 else "<u4")
         self.pieces = Remembered(self)
+        self.length = np.array([len(w) for w in self.strings])
+        self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
+        self.data = np.frombuffer(b"".join(self.strings), np.uint8)
+        told = np.array([f"{i}," for i in range(len(self.strings))], f"S{len(str(len(self.strings))) + 1}")
+        self.told, self.told_size = told.view(np.uint8).reshape(len(told), -1), np.char.str_len(told)
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as numbers of ``kind`` in a row."""
+        if self.cut is None or not any(w in text for w in self.added):
+            return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        parts = self.cut.split(text)
+        return b"".join(
+            np.array([self.added[part]], self.kind).tobytes() if k % 2 else b"".join(map(self.pieces.__getitem__, self.find(part))) for k, part in enumerate(parts)
+        )
 
     def encode(self, text: str) -> list[int]:
-        if self.cut is None or not any(w in text for w in self.added):
-            parts = [text]
-        else:
-            parts = self.cut.split(text)
-        out: list[int] = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(self.added[part])
-            else:
-                for ids in map(self.pieces.__getitem__, self.find(part)):
-                    out += ids
-        return out
+        return np.frombuffer(self.packed(text), self.kind).tolist()
+
+    def flat(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of several texts in one array, and where each text's begin."""
+        parts = [self.packed(t) if t else b"" for t in texts]
+        return np.frombuffer(b"".join(parts), self.kind).astype(np.int64), np.cumsum([0, *map(len, parts)]) // self.kind.itemsize
+
+    def joined(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes the ids stand for, scattered from the vocabulary's buffer, and where each id's begin."""
+        size = self.length[ids]
+        at = np.concatenate([[0], np.cumsum(size)])
+        return self.data[np.repeat(self.start[ids] - at[:-1], size) + np.arange(at[-1])], at
+
+    def written(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decimal ids with a comma after each, and where each begins."""
+        size = self.told_size[ids]
+        return self.told[ids][np.arange(self.told.shape[1]) < size[:, None]], np.concatenate([[0], np.cumsum(size)])
 
     def decode(self, ids) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class Remembered(dict):
-    """Ids by piece in two generations; the older one goes when the younger is full, so memory stays bounded."""
+    """Packed ids by piece in two generations; the older one goes when the younger is full, so memory stays bounded."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.single, self.merges, self.older = vocabulary.single, vocabulary.merges, {}
+        self.single, self.merges, self.kind, self.older = vocabulary.single, vocabulary.merges, vocabulary.kind, {}
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = merged([self.single[b] for b in piece.encode()], self.merges)
+            ids = np.array(merged([self.single[b] for b in piece.encode()], self.merges), self.kind).tobytes()
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -124,15 +145,13 @@ def merged(symbols: list[int], merges: dict[int, int]) -> list[int]:
     return [s for s in symbols if s >= 0] if gone else symbols
 
 
-LOADED: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
     """One vocabulary per Python worker; every machine has the tokenizer files installed."""
-    if path not in LOADED:
+    def read() -> Vocabulary:
         with open(path, encoding="utf-8") as file:
-            LOADED[path] = Vocabulary(file.read())
-    return LOADED[path]
+            return Vocabulary(file.read())
+
+    return held((Vocabulary, path), read)
 
 
 def encode(df: DataFrame, path: str) -> DataFrame:
@@ -142,8 +161,9 @@ def encode(df: DataFrame, path: str) -> DataFrame:
     def run(batches):
         words = vocabulary(path)
         for part in slices(batches, "text", 2 << 20):
-            ids = [words.encode(t) if t else [] for t in part.column("text").to_pylist()]
-            yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())).cast(schema.field("ids").type)], schema=schema)
+            ids, at = words.flat(part.column("text").to_pylist())
+            listed = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.record_batch([part.column("doc_id").cast(pa.int64()), listed.cast(schema.field("ids").type)], schema=schema)
 
     return df.select("doc_id", "text").mapInArrow(run, ddl)
 
@@ -172,11 +192,23 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def encoded_and_back(docs: DataFrame, path: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the ids and of the text decoded from them."""
-    return decode(encode(docs, path), path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the ids and of the text decoded from them, in one pass over the texts."""
+    ddl, schema = arrow_schema(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def run(batches):
+        words = vocabulary(path)
+        for part in slices(batches, "text", 1 << 20):
+            ids, at = words.flat(part.column("text").to_pylist())
+            (back, back_at), (told, told_at) = words.joined(ids), words.written(ids)
+            back, told, rows = memoryview(back.tobytes()), memoryview(told.tobytes()), list(zip(at, at[1:]))
+            digests = [
+                [hashlib.sha256(told[told_at[a]: max(told_at[a], told_at[b] - 1)]).hexdigest() for a, b in rows],
+                # As text: bytes that are no UTF-8 become U+FFFD before they are hashed.
+                [hashlib.sha256(bytes(back[back_at[a]: back_at[b]]).decode("utf-8", "replace").encode()).hexdigest() for a, b in rows],
+            ]
+            yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(at).astype(np.int64)), *[pa.array(d, pa.string()) for d in digests]], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:

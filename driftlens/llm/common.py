@@ -46,6 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HELD: dict = {}
+
+
+def held(key, build):
+    """The one model a Python worker keeps: another one takes its place, so what the stages of an application load does not add up."""
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = build()
+    return HELD[key]
+
+
 def crc_class(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; NULL ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

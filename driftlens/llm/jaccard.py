@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import arrow_schema, raw, slices, table, written
+from driftlens.llm.common import HELD, arrow_schema, raw, slices, table, written
 from driftlens.llm.components import components
 from driftlens.llm.repeats import BUCKET_BYTES, SLICE_BYTES, Rolling, bucket_of, mixed, narrow, widened
 from driftlens.llm.suffixtree import words_of
@@ -75,6 +75,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     ddl, schema = arrow_schema(docs, "doc_id long, row_hash long, n long, node binary")
 
     def run(batches):
+        HELD.clear()
         for part in slices(batches, "text"):
             grams, at = shingle_sets(*raw(part.column("text")))
             columns = [part.column("doc_id").cast(pa.int64()), part.column("row_hash"), pa.array(np.diff(at), pa.int64()), pa.array(digests(grams, at), pa.binary())]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from driftlens.llm.common import crc_class, raw, slices, table
+from driftlens.llm.common import crc_class, held, raw, slices, table
 
 DOCS, CHARS, SEGMENT = 48, 1200, 512
 UNKNOWN = "und"
@@ -134,9 +134,6 @@ class Parsers:
         return total * np.array(self.bits) / np.maximum(1, sizes)[:, None]
 
 
-BUILT: dict[int, Parsers] = {}
-
-
 def samples_of(df: DataFrame, docs: int = DOCS, chars: int = CHARS) -> dict[str, bytes]:
     """Bounded labelled sample per language: docs with the smallest id hashes, whatever the partitioning."""
     known = df.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -157,11 +154,7 @@ def predict(df: DataFrame, samples: dict[str, bytes], carry: tuple[str, ...] = (
     schema = to_arrow_schema(result)
 
     def run(batches):
-        key = hash(tuple(sorted(model.value.items())))
-        if key not in BUILT:
-            BUILT.clear()
-            BUILT[key] = Parsers(model.value)
-        parsers = BUILT[key]
+        parsers = held((Parsers, tuple(sorted(model.value.items()))), lambda: Parsers(model.value))
         for part in slices(batches, "_text"):
             names, scores = best(parsers, part.column("_text"), np.asarray(part.column("_letters").fill_null(False)))
             columns = [c.cast(schema.field(k).type) for k, c in enumerate(part.columns[: len(carry)])]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import raw, written
+from driftlens.llm.common import HELD, raw, written
 
 SLICE_BYTES, BUCKET_BYTES, HOT = 2 << 20, 12 << 20, 400
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -93,7 +93,8 @@ class Stretches:
             self.set(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), at)
             return
         grams = self.rolling.grams(gram)
-        bits = np.uint64(max(1, len(grams).bit_length()))
+        # As many bits of the hash in every slice, or two slices might order the same grams differently.
+        bits = np.uint64(32)
         low = (np.uint64(1) << bits) - np.uint64(1)
         best = sliding_minimum((grams & ~low) | np.arange(len(grams), dtype=np.uint64), window - gram + 1)
         place = (best & low).astype(np.int64)
@@ -180,6 +181,7 @@ class Slice:
     """Documents of one slice in (id, text) order, with their symbols."""
 
     def __init__(self, rows: pa.Table, kind):
+        HELD.clear()
         ids = np.array([LAST if v is None else int(v) for v in rows.column("doc_id").to_pylist()], np.int64)
         data, at = raw(rows.column("text"))
         if len(ids):
@@ -198,7 +200,7 @@ class Kind:
     window, gram, per_byte = 50, 24, 1.0
 
     def tie(self, data, at):
-        return Rolling(BYTE_VALUES[data]).of(at[:-1], at[1:])
+        return contents(data, at[:-1], at[1:])
 
     def symbols(self, data, at):
         """Value per symbol, offsets per document, byte range per symbol."""
@@ -350,13 +352,13 @@ def chunks(items: np.ndarray, anchor: np.ndarray, cost: np.ndarray, most: int):
         first = past
 
 
-def contents(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of each stretch, worked out in blocks to bound memory."""
-    out, first = np.empty(len(at) - 1, np.uint64), 0
+def contents(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """Hash of each stretch, in rising order of place, worked out in blocks to bound memory."""
+    out, first = np.empty(len(begin), np.uint64), 0
     while first < len(out):
-        past = max(first + 1, int(np.searchsorted(at, at[first] + (1 << 20), "right")) - 1)
-        rolling = Rolling(BYTE_VALUES[data[at[first]: at[past]]])
-        out[first:past] = rolling.of(at[first:past] - at[first], at[first + 1: past + 1] - at[first])
+        past = max(first + 1, int(np.searchsorted(end, begin[first] + most, "right")))
+        rolling = Rolling(BYTE_VALUES[data[begin[first]: end[past - 1]]])
+        out[first:past] = rolling.of(begin[first:past] - begin[first], end[first:past] - begin[first])
         first = past
     return out
 
@@ -371,7 +373,7 @@ class Entries:
         self.data = np.concatenate([b for _, b in parts])
         self.anchor, size, ids = self.columns[0], self.columns[1], self.columns[2]
         self.at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        content = contents(self.data, self.at)
+        content = contents(self.data, self.at[:-1], self.at[1:])
         order = np.lexsort((ids, content, self.anchor))
         a, c = self.anchor[order], content[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])

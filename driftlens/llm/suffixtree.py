@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from driftlens.llm.common import table
-from driftlens.llm.repeats import BYTE_VALUES, Entries, Kind, Rolling, Slice, chunks, covered, mark, pack, taken
+from driftlens.llm.repeats import Entries, Kind, Slice, chunks, contents, covered, mark, pack, taken
 
 WINDOW, GRAM, CHUNK = 35, 8, 1_000_000
 SPACES = np.zeros(256, bool)
@@ -41,7 +41,7 @@ def words_of(data: np.ndarray, at: np.ndarray):
     ends = at[1:] - 1
     after[ends[ends >= 0]] = False
     past = np.flatnonzero(solid & ~after) + 1
-    return Rolling(BYTE_VALUES[data]).of(first, past), np.searchsorted(first, at), (first, past)
+    return contents(data, first, past), np.searchsorted(first, at), (first, past)
 
 
 def nodes_at(values: np.ndarray, depth: int) -> np.ndarray:

@@ -14,6 +14,7 @@ from functools import cached_property
 import numpy as np
 
 from driftlens.llm.bpe import byte_letters
+from driftlens.llm.common import held
 
 #: Fixed value: the published piece pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,11 +73,6 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-LOADED: dict[tuple, object] = {}
-
-
 def loaded(kind, *args):
-    """One tokenizer per worker and file; every machine has the files installed."""
-    if (kind, *args) not in LOADED:
-        LOADED[(kind, *args)] = kind(*args)
-    return LOADED[(kind, *args)]
+    """One tokenizer per worker; every machine has the files installed."""
+    return held((kind, *args), lambda: kind(*args))

@@ -365,7 +365,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the least (doc_id, row_hash) of each component; texts without words all stay."""
+    """The rows of ``docs`` with the least (doc_id, row_hash) of each component; texts without words all stay. Further columns may have any names."""
+    names = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(names)])
     groups = similar_groups(docs)
     pick = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
     best = groups.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(pick).alias("p")).select("p.doc_id", "p.row_hash", F.lit(True).alias("_once"))
@@ -375,7 +377,7 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
     # Rows repeated word for word share id and hash: one of them stays.
     kept = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_own", "doc_id").orderBy(F.lit(1)))).filter(~F.col("_once") | (F.col("_k") == 1))
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return kept.select(*docs.columns).toDF(*names)
 
 
 def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:

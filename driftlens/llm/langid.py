@@ -147,8 +147,12 @@ def samples_of(df: DataFrame, docs: int = DOCS, chars: int = CHARS) -> dict[str,
 
 
 def predict(df: DataFrame, samples: dict[str, bytes], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns with lang_pred and score; score is second-best cost over the sum of the two best."""
+    """The ``carry`` columns with lang_pred and score; score is second-best cost over the sum of the two best.
+
+    Carried columns may have any names; those named like a result column are replaced.
+    """
     model = df.sparkSession.sparkContext.broadcast(samples)
+    carry = [c for c in carry if c not in ("lang_pred", "score")]
     kept = df.select(*[f"`{c}`" for c in carry])
     result = StructType([*kept.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
     schema = to_arrow_schema(result)
@@ -160,7 +164,7 @@ def predict(df: DataFrame, samples: dict[str, bytes], carry: tuple[str, ...] = (
             columns = [c.cast(schema.field(k).type) for k, c in enumerate(part.columns[: len(carry)])]
             yield pa.record_batch([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
-    return df.select(*[f"`{c}`" for c in carry], F.col("text").alias("_text"), F.col("text").rlike(r"\p{L}").alias("_letters")).mapInArrow(run, result)
+    return df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"), F.col("text").rlike(r"\p{L}").alias("_letters")).mapInArrow(run, result)
 
 
 def best(parsers: Parsers, texts, letters: np.ndarray):

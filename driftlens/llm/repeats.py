@@ -184,10 +184,9 @@ class Slice:
         HELD.clear()
         ids = np.array([LAST if v is None else int(v) for v in rows.column("doc_id").to_pylist()], np.int64)
         data, at = raw(rows.column("text"))
-        if len(ids):
-            order = np.lexsort((np.diff(at), kind.tie(data, at), ids))
-        else:
-            order = np.zeros(0, np.int64)
+        # Only equal ids need their texts told apart.
+        alone = len(np.unique(ids)) == len(ids)
+        order = np.argsort(ids) if alone else np.lexsort((np.diff(at), kind.tie(data, at), ids))
         self.rows, self.ids = rows.take(pa.array(order)), ids[order]
         self.data, self.at = raw(self.rows.column("text"))
         values, self.symbol_at, self.places = kind.symbols(self.data, self.at)
@@ -246,8 +245,10 @@ def mark(docs: DataFrame, kind: Kind, finish, ddl: str) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count, buckets = max(1, math.ceil(total / SLICE_BYTES)), max(1, math.ceil(total * kind.per_byte / BUCKET_BYTES))
     width = min(8, math.ceil((math.log2(total + 2) + 8) / 8))
-    dealt = docs.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
-    narrowed = dealt.select("_slice", "doc_id", "text")
+    # A name that no column of the caller has.
+    own = "_slice" + "_" * max([0, *[len(c) for c in docs.columns]])
+    dealt = docs.withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
+    narrowed = dealt.select(F.col(own).alias("_slice"), "doc_id", "text")
 
     def send_anchors(key, rows):
         own, variants = Slice(rows, kind).found.anchors()
@@ -318,7 +319,7 @@ def mark(docs: DataFrame, kind: Kind, finish, ddl: str) -> DataFrame:
         .groupBy("_bucket").applyInArrow(compare_stretches, "_slice int, _bucket int, _marks binary"), "marks",
     )
     both = flags.withColumn("_step", F.lit(1)).unionByName(marks.withColumn("_step", F.lit(2)))
-    return dealt.groupBy("_slice").cogroup(both.groupBy("_slice")).applyInArrow(cut, ddl)
+    return dealt.groupBy(own).cogroup(both.groupBy("_slice")).applyInArrow(cut, ddl)
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from driftlens.llm import itq, jaccard, lpf, repeats, suffixtree
+from driftlens.llm import itq, jaccard, langid, lpf, repeats, suffixtree
 from driftlens.llm.components import components
 from tests.llm import cases
 
@@ -90,6 +90,27 @@ def test_empty_table(spark):
     assert jaccard.first_of_groups(none).count() == 0
 
 
+def test_clashing_column_names(docs):
+    more = docs.selectExpr("*", "'s' AS _slice", "'o' AS _own", "1 AS _id", "'h' AS _hash", "true AS _once", "2 AS _k", "'t' AS _text", "'l' AS _letters", "'p' AS lang_pred", "'n' AS n_bytes", "'k' AS kept")
+    n = more.count()
+    for rows, result in ((lpf.remove_copies(more), {"n_bytes", "n_removed", "kept", "spans"}), (suffixtree.remove_repeats(more), {"n_words", "n_removed", "kept"})):
+        assert rows.count() == n and {r["_slice"] for r in rows.collect()} == {"s"} and set(rows.columns) == set(more.columns) | result
+    first = jaccard.first_of_groups(more)
+    assert first.columns == more.columns and cases.plain(first.select(docs.columns).collect()) == cases.plain(jaccard.first_of_groups(docs).collect())
+    told = langid.predict(more, langid.samples_of(more), tuple(more.columns)).collect()
+    assert len(told) == n and {(r["_text"], r["_letters"]) for r in told} == {("t", "l")}
+
+
+@pytest.mark.parametrize("query", ["bytes", "words"])
+def test_whole_small_table_against_brute_force(spark, query):
+    folder = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    if query == "bytes":
+        assert cases.plain(lpf.op2_lpf(spark, folder).collect()) == cases.plain(cases.cut_bytes(rows))
+    else:
+        assert cases.plain(suffixtree.op3_suffixtree(spark, folder).collect()) == cases.plain([(d, n, k, cases.sha(text)) for d, n, k, text in cases.cut_words(rows)])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(120).selectExpr("id AS a", "id + 1 AS b")
     got = components(edges)

@@ -1,11 +1,13 @@
-"""Suffix-array deduplication by longest-previous-factor arrays.
+"""Removal of later copies of byte strings, keeping the first.
 
 Every byte that lies in a ``window``-byte string which also starts in a
-document with a smaller id is removed; strings are judged on the input. The
-suffixes that may match (see ``repeats``) are sorted; with the longest common
-prefixes of neighbours, the previous and the next suffix of a smaller document
-in suffix order give the longest previous factor, and a suffix whose factor
-reaches the window length is a later copy. The first document keeps it.
+document with a smaller id is removed; strings are judged on the input. Only
+the test "longest previous factor of at least the window" is needed, so no
+factor lengths and no common prefixes are worked out: the windows that may
+match (see ``repeats``) are sorted as suffixes cut at the window, and inside a
+run of equal ones the least ids before and after take the place of the previous
+and next smaller positions. Stretches that agree as a whole are told by their
+hash. The README says why.
 
 NULL ids come after all ids; rows with equal ids do not affect each other; NULL
 and empty texts keep nothing. Every input row gives one output row; extra

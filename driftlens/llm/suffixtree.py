@@ -1,14 +1,14 @@
-"""Substring deduplication by prefix-partitioned suffix trees.
+"""Removal of word windows that occur elsewhere.
 
 Every word that lies in a window of ``window`` words whose sequence also starts
 anywhere else, same document included, is removed; windows are judged on the
-input. Suffixes are partitioned by a prefix key that the text itself chooses
-(see ``repeats``): the anchor's words, or the whole window where an anchor has
-very many contexts, so every group fits memory. Inside a group the tree's
-levels are built by doubling: two suffixes are in one node of depth 2d when
-their nodes of depth d, and those d words on, agree. Nodes of the window's
-depth with two leaves or more are the deep internal nodes; the windows below
-them are repeats.
+input. Windows are partitioned by a key that the text itself chooses (see
+``repeats``): the hash of an anchor inside the window, or of the whole window
+where an anchor has very many contexts, so every group fits memory. This is not
+a prefix of the suffix, and no tree is kept: inside a group positions are named
+by doubling (two are alike at depth 2d when their names at depth d, and those d
+words on, agree) up to the window's depth, where a name that occurs twice marks
+repeats. The README says why.
 
 Words are kept byte for byte; NULL and empty texts have none. Every input row
 gives one output row; extra columns are passed on, those named like a result

@@ -32,7 +32,7 @@ def neighbours(rows, held):
                 yield out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2])
 def test_search_ends_where_no_exchange_helps(spark, seed):
     rng = np.random.default_rng(seed)
     weights = [(k, float(w)) for k, w in enumerate(rng.integers(1, 60, 18) * (1.5 if seed == 2 else 1))]

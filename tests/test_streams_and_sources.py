@@ -106,6 +106,33 @@ def test_scan_equals_running_concatenation(spark, fan):
     assert scan.exclusive(nodes.filter("k > 5"), ["k"], "i", "v", lambda a, b: F.concat(a, b), F.lit("")).count() == 0
 
 
+def test_cells_share_buckets_of_state(spark, tmp_path):
+    """600 cells with NULLs and whole numbers beyond doubles come out as from the batch form; the store has a key per bucket, not per cell."""
+    rng, far = np.random.default_rng(12), 2**53
+    rows = [(None if s == 7 else far + s, None if s % 5 == 0 else f"c{s % 5}", f, float(rng.integers(0, 12))) for s in range(300) for f in range(6)]
+    rows += [(far + s, "d", f, None if f == 3 else float(f)) for s in range(300) for f in range(5)]
+    source, sinks = str(tmp_path / "feed"), [str(tmp_path / "first"), str(tmp_path / "second")]
+    frame = spark.createDataFrame(rows, OBS)
+    key = lambda r: (r.sequence_id, r.cell, r.frame)
+    values = {}
+    for s, c, f, v in rows:
+        values.setdefault((s, c), []).append((f, v))
+    truth = {(*cell, f): r for cell, own in values.items() for f, r in reference_walk(own, 3, 3.0).items()}
+    frame.filter("frame < 3").write.parquet(source)
+    stream = lambda: spark.readStream.schema(frame.schema).parquet(source)
+    E.run_to_end(M.memory_stream(stream(), KEYS, 3, 3.0, buckets=8), sinks[0])
+    saved = stored(M.exported_memory(spark, sinks[0] + "/state"), "saved")
+    assert saved.schema["sequence_id"].dataType.simpleString() == "bigint" and saved.count() == len(values)
+    store = spark.read.format("statestore").option("stateVarName", "memory").load(sinks[0] + "/state")
+    assert store.select("key").distinct().count() == 8
+    source = str(tmp_path / "rest")
+    frame.filter("frame >= 3").write.parquet(source)
+    E.run_to_end(M.memory_stream(stream(), KEYS, 3, 3.0, initial=saved, buckets=8), sinks[1])
+    out = spark.read.parquet(*[s + "/data" for s in sinks]).collect()
+    assert not any(r.late for r in out) and len(out) == len(truth)
+    assert {key(r): (r.score, r.initialised, r.changed, r.references, r.episode_start) for r in out} == truth
+
+
 def ordered(spark, tmp_path, parts, delay):
     source, sink = str(tmp_path / "feed"), str(tmp_path / "sink")
     schema = "room date, frame long, value double, ts timestamp"

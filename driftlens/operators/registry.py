@@ -7,13 +7,12 @@ user's array function on bounded tiles with a halo.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions import scores as S
 from driftlens.operators import scoring as C
+from driftlens.operators.scoring import tile_scores  # noqa: F401
 
 _SCORERS: dict[str, tuple] = {}
 
@@ -40,38 +39,6 @@ def score_pixels(name: str, pixels: DataFrame, image: str, reference, source, **
     return scored.select(image, "y", "x", "score", "raw_score", "native")
 
 
-def tile_scores(pixels: DataFrame, image: str, columns, function, size=64, halo=0) -> DataFrame:
-    """Apply ``function(planes, support) -> plane`` to tiles of size + 2 * halo cells.
-
-    A pixel is copied to every tile whose halo contains it (at most four for a
-    halo up to the tile size), so a task holds one bounded tile at a time.
-    """
-    if not 0 <= halo <= size:
-        raise ValueError("halo must lie between 0 and the tile size")
-    kind = dict(pixels.dtypes)[image]
-    near = lambda c: F.sequence(F.floor((F.col(c) - halo) / size).cast("int"), F.floor((F.col(c) + halo) / size).cast("int"))
-    tiled = pixels.filter("support").withColumn("_ty", F.explode(near("y"))).withColumn("_tx", F.explode(near("x")))
-    side = size + 2 * halo
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        top, left = pdf["_ty"].iat[0] * size, pdf["_tx"].iat[0] * size
-        y, x = pdf["y"].to_numpy() - top + halo, pdf["x"].to_numpy() - left + halo
-        support = np.zeros((side, side), bool)
-        support[y, x] = True
-        planes = {c: np.zeros((side, side), np.float64) for c in columns}
-        for c in columns:
-            planes[c][y, x] = pdf[c].to_numpy(np.float64)
-        plane = np.asarray(function(planes, support), np.float64)
-        if plane.shape != support.shape:
-            raise ValueError("a scorer must keep the tile's shape")
-        own = (y >= halo) & (y < halo + size) & (x >= halo) & (x < halo + size)
-        out = pdf.loc[own, [image, "y", "x"]].copy()
-        out["score"] = plane[y[own], x[own]]
-        return out
-
-    return tiled.select(image, "y", "x", "_ty", "_tx", *columns).groupBy(image, "_ty", "_tx").applyInPandas(run, f"{image} {kind}, y int, x int, score double")
-
-
 def _rgb(pixels, image, reference, source):
     value = S.rgb_difference([F.col(c) for c in reference], [F.col(c) for c in source])
     return pixels.filter("support").select(image, "y", "x", value.alias("score"))

@@ -162,3 +162,24 @@ def test_tolerance_ignores_contour_jitter(spark):
     out = L.tolerant_labels(spark.createDataFrame(rows, "image int, y int, x int, old_bits int, new_bits int, support boolean"), "image", 1)
     got = {(r.y, r.x): r.label for r in out.collect()}
     assert all(got[y, 4] is None for y in range(6)) and got[0, 0] == 1 and got[5, 0] == 0
+
+
+def test_groups_go_on_across_batches(spark):
+    """Groups longer and shorter than a record batch, one with a NULL key, come whole and once."""
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 1), (2, 23), (3, 2), (None, 9), (5, 4)) for i in range(n)], "k int, i int")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        out = C.sorted_groups(rows, ["k"], lambda g: {"n": [len(g["i"])], "total": [int(g["i"].sum())]}, "n long, total long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted((r.n, r.total) for r in out) == sorted((n, n * (n - 1) // 2) for n in (1, 23, 2, 9, 4))
+
+
+def test_ssim_shuffles_colours_once(spark):
+    """One exchange of colours by tile; weighted copies of moments are neither made nor aggregated."""
+    ref = np.random.default_rng(1).integers(0, 256, (70, 70, 3))
+    out = C.ssim_change(rgb_frame(spark, ref, ref, np.ones((70, 70), bool)), "image", *CHANNELS)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 1
+    assert out.count() == 4900

@@ -241,6 +241,21 @@ def test_thresholds_freeze_in_the_stream(spark, tmp_path, missing):
     assert {r.building_id: [r.tp, r.fp, r.fn, r.tn] for r in out.collect()} == want
 
 
+def test_units_of_a_building_are_dealt_over_parts(spark, tmp_path):
+    """One building's units lie in many keys of the state; a frozen threshold stays when more VAL pixels come."""
+    rows = [("m", 1, unit, "val", unit % 2, 0.2 + 0.6 * (unit % 2)) for unit in range(300)] + [("m", 1, 900 + i, "test", 1, 0.5) for i in range(4)]
+    frame = spark.createDataFrame(rows, "method string, building_id int, unit_id int, split string, label int, score float")
+    plan = spark.createDataFrame([("m", 1, 300)], "method string, building_id int, expected long")
+    source, sink = str(tmp_path / "feed"), str(tmp_path / "live")
+    run = lambda: V.run_live(spark.readStream.schema(frame.schema).parquet(source), plan, sink).first()
+    frame.coalesce(1).write.mode("append").parquet(source)
+    first = run()
+    spark.createDataFrame([("m", 1, unit, "val", 1, 0.01) for unit in range(1000, 1400)], frame.schema).coalesce(1).write.mode("append").parquet(source)
+    assert run() == first and (first.tp, first.fp, first.fn, first.tn) in ((4, 0, 0, 0), (0, 0, 4, 0))
+    store = spark.read.format("statestore").option("stateVarName", "units").load(sink + "/state")
+    assert store.select("key").distinct().count() == V.PARTS
+
+
 def test_log_tail_rule(spark):
     rows = [("ok", 1, 1, "c"), ("ok", 2, 2, "c"), ("ok", 3, None, "c"), ("mid", 1, 1, "c"), ("mid", 2, None, "c"), ("mid", 3, 2, "c"), ("gap", 1, 1, "c"), ("gap", 2, 3, "d")]
     log = spark.createDataFrame(rows, "run_id string, position int, sequence int, config_hash string")

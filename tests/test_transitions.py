@@ -99,3 +99,38 @@ def test_box_counts(spark):
     cut = lambda v, low, high: max(low, min(high, v))
     want = {b: int(plane[cut(y0, 3, 12) - 3: cut(y1, 3, 12) - 3, cut(x0, -2, 5) + 2: cut(x1, -2, 5) + 2].sum()) for _, b, y0, x0, y1, x1 in boxes}
     assert {r["b"]: r["n"] for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("sizes", [None, (5, 70)])
+def test_components_across_blocks_equal_a_plain_walk(spark, monkeypatch, sizes):
+    """Four blocks and a few pixels of five more; robust and raw components cross their borders."""
+    side = 130
+    monkeypatch.setitem(globals(), "SIDE", side)
+    rng = np.random.default_rng(4)
+    old, new = (np.kron(rng.integers(1, 4, (15, 15)), np.ones((9, 9), int))[:side, :side] for _ in range(2))
+    new[62:66, :] = 1
+    old[62:66, :] = 2
+    support = rng.random((side, side)) < 0.97
+    pixels = [(7, y, x, int(old[y, x]), int(new[y, x]), bool(support[y, x])) for y in range(side) for x in range(side)]
+    want = by_hand(old, new, support, 2, 0.4, 0.1, 2, sizes)
+    frame = spark.createDataFrame(pixels, "image int, y int, x int, old_bits int, new_bits int, support boolean")
+    out = T.transition_candidates(frame, "image", 2, 1, 2, 0.4, 0.1, side, 2, sizes)
+    size = F.col("window_size") if sizes else F.lit(None)
+    names = ["event", "from_class", "to_class", "component", size, "y0", "x0", "y1", "x1", "crop_y0", "crop_x0", "crop_y1", "crop_x1", "common_pixels", "candidate_pixels", "raw_pixels", "ignored_boundary_pixels", "other_robust_pixels"]
+    assert sorted((tuple(r) for r in out.select(*names).collect()), key=repr) == want
+    assert any(r[5] < 64 < r[7] for r in want) and any(r[-1] for r in want)
+
+
+def test_changes_of_many_classes_stay_inside_tasks(spark, monkeypatch):
+    """No table between two steps has a row per pixel and class pair: 19 changes a pixel here."""
+    frame = spark.range(32 * 32).selectExpr("1 AS image", "CAST(id DIV 32 AS INT) AS y", "CAST(id % 32 AS INT) AS x", "15 AS old_bits", "112 AS new_bits", "true AS support")
+    kept, rows = T.stored, []
+
+    def counted(df, name):
+        table = kept(df, name)
+        rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(T, "stored", counted)
+    assert T.transition_candidates(frame, "image", 7, 1, 2, 0.5, 0.5, 32, 3).count() == 19
+    assert max(rows) <= 32 * 32

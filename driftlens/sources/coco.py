@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlens.session import stored
+
 IMAGE = "struct<id:bigint,file_name:string,width:int,height:int>"
 ANNOTATION = "struct<id:bigint,image_id:bigint,category_id:int,area:double,bbox:array<double>,iscrowd:int,segmentation:struct<size:array<int>,counts:array<int>>>"
 CATEGORY = "struct<id:int,name:string>"
@@ -21,8 +23,8 @@ def read_coco(spark: SparkSession, path, one_per_line=False):
 
 
 def parse_coco(documents: DataFrame, column: str):
-    """The same from a text column of JSON documents."""
-    return explode_documents(documents.select(F.from_json(column, SCHEMA).alias("_d")).select("_d.*"))
+    """The same from a text column of JSON documents, each parsed once for all three tables."""
+    return explode_documents(stored(documents.select(F.from_json(column, SCHEMA).alias("_d")).select("_d.*"), "documents"))
 
 
 def explode_documents(documents: DataFrame):

@@ -274,6 +274,14 @@ def test_map_files(spark, tmp_path):
     assert {r.unit: r.problem for r in rows if r.problem} == {"hole": "nonfinite_in_support", "wide": "scores_not_2d_float32"}
 
 
+def test_coco_text_is_parsed_once(spark):
+    """Broken text gives no rows; the three tables read one parsed copy."""
+    texts = ['{"images": [{"id": 1}], "annotations": [{"id": 7, "image_id": 1, "area": 2.5}, {"id": 8, "image_id": 1}], "categories": []}', "{", None]
+    parsed = coco.parse_coco(spark.createDataFrame([(t,) for t in texts], "document string"), "document")
+    assert [t.count() for t in parsed] == [1, 2, 0] and {r.area for r in parsed[1].collect()} == {2.5, None}
+    assert not any("from_json" in t._jdf.queryExecution().optimizedPlan().toString() for t in parsed)
+
+
 def test_coco_file(spark, tmp_path):
     document = {"images": [{"id": 1, "file_name": "a.jpg", "width": 4, "height": 3}], "categories": [{"id": 2, "name": "wall"}], "annotations": [
         {"id": 7, "image_id": 1, "category_id": 2, "area": 0, "iscrowd": 0}, {"id": 8, "image_id": 1, "category_id": 2, "segmentation": {"size": [3, 4], "counts": [1, 2, 9]}}]}

@@ -145,7 +145,7 @@ def rank_tiles(ranked: DataFrame, sequence, size, stride, side, min_support, min
 
 
 def case_catalog(bases: DataFrame, states, scenarios) -> DataFrame:
-    """Bases x states x scenarios from fixed short lists; H0 without a planted edit."""
+    """Bases x states x scenarios from fixed short lists; H0 without a planted edit. A column ``repeated`` of the bases is kept."""
     rows = F.array(*[
         F.struct(F.lit(s).alias("state"), F.lit(i).alias("scenario_id"), F.lit(k).alias("nuisance_kind"))
         for s in states for i, k in scenarios
@@ -158,7 +158,7 @@ def case_catalog(bases: DataFrame, states, scenarios) -> DataFrame:
         F.concat_ws("/", F.col("base_id").cast("string"), "state", "scenario_id").alias("case_id"), "base_id", "building_id", "split",
         "state", "scenario_id", "nuisance_kind", F.when(full > 0, "H1").otherwise("H0").alias("hypothesis"),
         (F.col("state") == "self_paste").alias("sham"), ((full > 0) & (seen == 0)).alias("hidden_edit"),
-        ratio(seen, full).alias("retained_fraction"), "comparable_fraction",
+        ratio(seen, full).alias("retained_fraction"), "comparable_fraction", *[c for c in ("repeated",) if c in bases.columns],
     )
 
 

@@ -111,6 +111,28 @@ def test_runs_and_crowd(spark):
     assert got == {(2, 0): 1, (0, 1): 1, (1, 1): 0, (0, 0): 2}
 
 
+def test_runs_are_summed_inside_their_row(spark):
+    """Ids may repeat, empty and null run lists set nothing, and pixels are sent to others only once they are merged."""
+    rows = [(1, 5, 0, 0, 3, [2, 3, 4]), (1, 6, 1, 0, 3, [0, 1, 8, 2]), (1, 6, 1, 0, 3, []), (1, 6, 1, 0, 3, None)]
+    frame = spark.createDataFrame(rows, "annotation_id int, image_id int, channel int, iscrowd int, height int, counts array<int>")
+    out = G.rasterize_runs(frame)
+    assert sorted(map(tuple, out.collect())) == [(5, 0, 1, 1), (5, 1, 1, 1), (5, 2, 0, 1), (6, 0, 0, 2), (6, 0, 3, 2), (6, 1, 3, 2)]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window") == 0
+
+
+def test_only_repeated_bases_are_told_apart(spark):
+    from driftlens.plans import maps
+
+    bases = spark.createDataFrame([(1, 5, 2), (1, 5, 2), (1, 0, 0), (2, 5, 0), (3, 0, 0)], "base_id int, edit_pixels int, visible_edit_pixels int")
+    bases = bases.selectExpr("*", "0 AS building_id", "'val' AS split", "1.0D AS comparable_fraction")
+    cases = L.case_catalog(maps.repeats(bases), ("unchanged", "paint"), (("none", "none"),))
+    by = ["state", "hypothesis", "hidden_edit"]
+    got = maps.catalog_counts(cases, by)
+    want = cases.groupBy(*by).agg(F.count("*").alias("cases"), F.countDistinct("case_id").alias("ids"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and {r.ids for r in got.collect()} == {1, 2, 3}
+    assert cases.filter("repeated").select("base_id").distinct().collect()[0][0] == 1
+
+
 def rgb_frame(spark, ref, src, support):
     rows = [(0, y, x, *map(int, ref[y, x]), *map(int, src[y, x]), bool(support[y, x])) for y in range(ref.shape[0]) for x in range(ref.shape[1])]
     return spark.createDataFrame(rows, "image int, y int, x int, r int, g int, b int, s_r int, s_g int, s_b int, support boolean")

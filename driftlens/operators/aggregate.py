@@ -102,21 +102,24 @@ def guarded_macro(rows: DataFrame, by, metrics, building="building_id", spine=No
 
 
 def exposure_macro(rows: DataFrame, by, metrics, building="building_id") -> DataFrame:
-    """Each row counts in its split and in ``all_selected``, in its exposure and in ``all``."""
+    """Each row counts in its split and in ``all_selected``, in its exposure and in ``all``.
+
+    Exposures are numbered in their alphabetical order: a maximum of strings would
+    have all repeated rows sorted, one of numbers is merged in a hash table.
+    """
     expanded = rows.withColumn("split_scope", F.explode(F.array("split", F.lit("all_selected")))).withColumn(
         "training_scope", F.explode(F.array(F.lit("all"), "exposure"))
     )
-    keys = [*by, "split_scope", "training_scope"]
+    keys, kinds = [*by, "split_scope", "training_scope"], ("seen", "verified_unseen", "unknown")
     positive = F.col("tp") + F.col("fn") > 0
     gated = {m: F.when(positive, F.col(m)) if m in POSITIVE_ONLY else F.col(m) for m in metrics}
     level = expanded.groupBy(*keys, building).agg(
-        F.count("*").alias("pairs"), F.max("exposure").alias("exposure"),
+        F.count("*").alias("pairs"), F.max(F.array_position(F.array(*[F.lit(k) for k in sorted(kinds)]), F.col("exposure"))).alias("exposure"),
         *[F.avg(gated[m]).alias(m) for m in metrics],
     )
-    kinds = ("seen", "verified_unseen", "unknown")
     return level.groupBy(*keys).agg(
         F.count("*").alias("buildings"), F.sum("pairs").alias("pairs"),
-        *[F.count_if(F.col("exposure") == k).alias(f"{k}_buildings") for k in kinds],
+        *[F.count_if(F.col("exposure") == sorted(kinds).index(k) + 1).alias(f"{k}_buildings") for k in kinds],
         *[F.avg(m).alias(m) for m in metrics],
     )
 

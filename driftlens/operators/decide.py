@@ -24,11 +24,12 @@ def decide(score, threshold, native=None, is_native=None, support=None) -> Colum
     return mask & support if support is not None else mask
 
 
-def unit_counts(pixels: DataFrame, keys, predictions: dict[str, Column], label="label") -> DataFrame:
+def unit_counts(pixels: DataFrame, keys, predictions: dict[str, Column], label="label", attributes=None) -> DataFrame:
     """Confusion of several predictors in one pass, one row per (unit, method).
 
     The wide partial aggregate shuffles once; methods become rows only after
-    pixels have been reduced to units.
+    pixels have been reduced to units. ``attributes`` (keys, more) join before
+    that, so a join sorts one row per unit.
     """
     label = F.col(label)
     aggs = [c for name, pred in predictions.items() for c in M.confusion(pred, label, f"{name}__")]
@@ -40,7 +41,11 @@ def unit_counts(pixels: DataFrame, keys, predictions: dict[str, Column], label="
             for name in predictions
         ]
     )
-    return wide.select(*keys, F.inline(rows))
+    more = []
+    if attributes is not None:
+        more = [c for c in attributes.columns if c not in keys]
+        wide = wide.join(attributes, list(keys))
+    return wide.select(*keys, *more, F.inline(rows)).select(*keys, "method", *fields, *more)
 
 
 def match_support(left: DataFrame, right: DataFrame, keys, payload) -> DataFrame:

@@ -143,3 +143,14 @@ def test_coverage_keeps_missing_apart(spark):
     actual = spark.createDataFrame([(0, "completed", None, True), (1, "failed", "x", False)], "unit_id int, status string, reason string, evaluable boolean")
     row = one(A.coverage(expected, actual, "unit_id", ["split"]))
     assert (row["expected"], row["completed"], row["failed"], row["missing"], row["status"]) == (4, 1, 1, 2, "partial")
+
+
+def test_exposure_macro_merges_without_sorting(spark):
+    rows = [("a", "val", "x", e, tp, fp, 1, 4, 0.5) for e, tp, fp in (("seen", 1, 0), ("unknown", 2, 1), ("verified_unseen", 0, 3))] + [("a", "val", "y", "seen", 1, 1, 0, 2, 0.25)]
+    frame = spark.createDataFrame(rows, "method string, split string, building_id string, exposure string, tp long, fp long, fn long, tn long, fpr double")
+    out = A.exposure_macro(frame, ["method"], ["fpr"])
+    got = {(r.split_scope, r.training_scope): (r.buildings, r.pairs, r.seen_buildings, r.verified_unseen_buildings, r.unknown_buildings, r.fpr) for r in out.collect()}
+    assert got["val", "all"] == got["all_selected", "all"] == (2, 4, 1, 1, 0, 0.375)
+    assert got["val", "seen"] == (2, 2, 2, 0, 0, 0.375) and got["val", "unknown"] == (1, 1, 0, 0, 1, 0.5)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan

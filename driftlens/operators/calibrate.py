@@ -231,11 +231,12 @@ def lofo_thresholds(negatives: DataFrame, keys, budgets=(0.01, 0.05), building="
     ``heldout`` may list (keys, building) that have no negatives of their own.
     """
     keys = list(keys)
-    hist = negatives.groupBy(*keys, building, unit, F.col("score").cast("float").alias("score")).agg(F.count("*").alias("_n"))
-    per_unit = cut_lineage(hist.groupBy(*keys, building, unit).agg(F.sum("_n").alias("_un")))
+    # Scores of one unit seldom repeat, so a table of them per unit would hold about every row.
+    rows = negatives.select(*keys, building, unit, F.col("score").cast("float").alias("score"))
+    per_unit = cut_lineage(rows.groupBy(*keys, building, unit).agg(F.count("*").alias("_un")))
     per_building = per_unit.groupBy(*keys, building).agg(F.count("*").alias("_units"))
     weight = per_unit.join(per_building, [*keys, building]).select(*keys, building, unit, (1 / (F.col("_un") * F.col("_units"))).alias("_w"))
-    mass = hist.join(weight, [*keys, building, unit]).groupBy(*keys, building, "score").agg(F.sum(F.col("_n") * F.col("_w")).alias("_m"))
+    mass = rows.join(weight, [*keys, building, unit]).groupBy(*keys, building, "score").agg(F.sum("_w").alias("_m"))
     mass = cut_lineage(mass)
     together = mass.groupBy(*keys, "score").agg(F.sum("_m").alias("_m"), F.count("*").alias("_holders"))
     curve = cut_lineage(running_totals(together, keys, score_bucket(F.col("score")), ["score"], ["_m"]).select(*keys, "score", "_holders", F.col("cum__m").alias("_c")))

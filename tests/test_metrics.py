@@ -154,3 +154,13 @@ def test_exposure_macro_merges_without_sorting(spark):
     assert got["val", "seen"] == (2, 2, 2, 0, 0, 0.375) and got["val", "unknown"] == (1, 1, 0, 0, 1, 0.5)
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_lofo_counts_units_without_their_scores(spark, monkeypatch):
+    """A unit's pixels are counted on their own; grouped by score as well they would be about as many rows as pixels."""
+    plans, cut = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    rows = [("m", b, f"{b}{u}", s) for b, values in (("A", (0.1, 0.1, 0.7)), ("B", (0.2, 0.4)), ("C", (0.1, 0.9))) for u, s in enumerate(values * 2)]
+    got = C.lofo_thresholds(spark.createDataFrame(rows, "method string, building_id string, unit_id string, score double"), ["method"], (0.3,))
+    assert {r.building_id: (round(r.threshold, 6), round(r.achieved_fpr, 6)) for r in got.collect()} == {"A": (0.4, 0.25), "B": (0.7, 0.25), "C": (0.4, 0.166667)}
+    assert plans[0].count("Aggregate") == 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftlens.operators import calibrate as C
 from driftlens.operators import scan
+from driftlens.plans import live
 from driftlens.session import stored
 from driftlens.sources import coco, maps, tables
 from driftlens.streaming import events as E
@@ -201,6 +202,41 @@ def test_upsert_table_has_one_row_per_unit(spark, tmp_path):
     assert len([d for d in os.listdir(sink + "/data") if d.startswith("v=")]) <= 2
 
 
+@pytest.mark.parametrize("on_disk", [False, True])
+def test_latest_table_holds_its_counts_itself(spark, tmp_path, on_disk):
+    """Only the records seen are state, in the store asked for whatever the session was set to; a restart goes on from both, a replayed epoch counts once."""
+    source, sink, kind = str(tmp_path / "log"), str(tmp_path / "out"), E.STORE + "providerClass"
+    schema = "unit_id int, sequence int, status string"
+    part = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    feed = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = lambda: {tuple(r) for r in E.run_latest(feed(), sink, on_disk=on_disk).collect()}
+    before, other = spark.conf.get(kind), (E.ON_HEAP if on_disk else E.ON_DISK)[kind]
+    spark.conf.set(kind, other)
+    try:
+        part([(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (None, 5, "n")])
+        assert run() == {(1, "b", 2, 2), (2, "a", 1, 1), (None, "n", 5, 1)}
+        part([(1, 1, "a"), (2, 0, "z"), (3, 9, "c"), (3, 9, "c")])
+        part([(1, 2, "b"), (2, 0, "z"), (3, 8, "d"), (None, 5, "n")])
+        last = {(1, "b", 2, 2), (2, "a", 1, 2), (3, "c", 9, 2), (None, "n", 5, 1)}
+        assert run() == last
+        # As after a failure before the last commit.
+        for name in ("2", ".2.crc"):
+            os.remove(f"{sink}/state/commits/{name}")
+        assert run() == last and spark.conf.get(kind) == other
+    finally:
+        spark.conf.set(kind, before)
+    assert [r.operatorName for r in spark.read.format("state-metadata").load(sink + "/state").collect()] == ["dedupe"]
+    with open(sink + "/state/offsets/0") as held:
+        assert json.loads(held.read().split("\n")[1])["conf"][kind] == (E.ON_DISK if on_disk else E.ON_HEAP)[kind]
+
+
+def test_every_core_has_a_file_of_a_micro_batch(spark, tmp_path):
+    feed = live.event_stream(spark, None, spark.range(1000).toDF("n"), batches=3)
+    out = spark.read.parquet(E.run_partials(feed.withColumn("file", F.input_file_name()), str(tmp_path), lambda batch: batch))
+    got = out.groupBy("epoch").agg(F.countDistinct("file").alias("files"), F.count("*").alias("rows")).collect()
+    assert [r.files for r in got] == [spark.sparkContext.defaultParallelism] * 3 and sum(r.rows for r in got) == 1000
+
+
 def live_pixels(seed):
     rng, rows = np.random.default_rng(seed), []
     for unit in range(60):
